@@ -3,17 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarrylog.llm import line_dedup, mixing, quality_rules, sentencepiece_codec, simhash
 from quarrylog.llm.common import table
 
 
-def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarrylog.llm.quality_rules import judge_documents
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicate_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = mixing.mix(docs.select("doc_id", "source", mixing.n_words().alias("size"), mixing.quality_weight().alias("quality")))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
 
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    out = judge_documents(docs, table(spark, sf_dir, "labels"))
+    out = quality_rules.judge_documents(docs, table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = sentencepiece_codec.load_codec(sentencepiece_codec.default_model_file())
+    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), codec)
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_line_dedup, op4_mixing, op8_quality_rules, op9_sentencepiece)}
 ORACLES: dict[str, str] = {}
