@@ -55,7 +55,7 @@ def build_double_array(keys: dict[bytes, int]) -> DoubleArray:
     used[0] = True
     place = {0: 0}
     value[0] = ends[0]
-    first = dense = 1
+    first = dense = 257  # so that any free slot serves any byte
     todo = [0]
     for node in todo:
         children = trie[node]
