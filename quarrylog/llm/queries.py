@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.llm import line_dedup, mixing, quality_rules, sentencepiece_codec, simhash
+from quarrylog.llm import line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, spotsigs, token_counts, url_filter
 from quarrylog.llm.common import table
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicate_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -24,6 +28,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     out = quality_rules.judge_documents(docs, table(spark, sf_dir, "labels"))
@@ -35,5 +48,9 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), codec)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_line_dedup, op4_mixing, op8_quality_rules, op9_sentencepiece)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_spotsigs, op2_simhash, op3_line_dedup, op4_mixing, op6_url_filter, op7_token_counts, op8_quality_rules, op9_sentencepiece, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}
