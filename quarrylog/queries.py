@@ -1,6 +1,121 @@
-"""Queries over the test tables, by name, with the SQL that must give the same rows."""
+"""Queries over the test tables, by name, with the SQL that must give the same rows.
+
+The tables hold no logs, so entries are derived from ``events`` by SQL that both engines run; as its events of one user lie
+hours apart, the burst detectors run with windows of days.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrylog.operators import correlation, detectors, parsing
+from quarrylog.sources.logs import ENTRIES_SQL, PLACES, log_entries, places
+
+DAY = 86_400
+BURST = {"threshold": 3, "window_s": 3 * DAY}
+LINES_SQL = """SELECT event_id AS line_no, CASE event_id % 5
+ WHEN 0 THEN concat(strftime(ts, '%b %d %H:%M:%S'), ' host sshd[', CAST(event_id AS STRING), ']: Failed password for invalid user u', CAST(user_id AS STRING), ' from 10.0.0.', CAST(user_id % 200 AS STRING), ' port 22 ssh2')
+ WHEN 1 THEN concat(strftime(ts, '%Y-%m-%dT%H:%M:%S'), ' EVENT_ID=', CASE event_id % 3 WHEN 0 THEN '4624' WHEN 1 THEN '4625' ELSE '4700' END, ' USER=u', CAST(user_id AS STRING), ' IP=10.0.1.7')
+ WHEN 2 THEN concat('10.0.2.9 - - [', strftime(ts, '%d/%b/%Y:%H:%M:%S'), ' +0000] "GET /p?id=', CAST(event_id AS STRING), ' HTTP/1.1" 404 12')
+ WHEN 3 THEN 'sshd[1]: garbage' ELSE 'nothing known' END AS value FROM events"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = LINES_SQL.replace("strftime", "date_format")
+    for a, b in (("%b %d %H:%M:%S", "MMM dd HH:mm:ss"), ("%Y-%m-%dT%H:%M:%S", "yyyy-MM-dd''T''HH:mm:ss"), ("%d/%b/%Y:%H:%M:%S", "dd/MMM/yyyy:HH:mm:ss")):
+        sql = sql.replace(a, b)
+    return spark.sql(sql.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors' alerts, in the order in which they are registered, without repeats."""
+    e = log_entries(spark, sf_dir)
+    found = [
+        detectors.brute_force(e, **BURST), detectors.password_spray(e, **BURST), detectors.web_alerts(e, detectors.SQLI, "SQL_INJECTION", "CRITICAL"),
+        detectors.web_alerts(e, detectors.XSS, "XSS", "HIGH"), detectors.impossible_travel(e, places(spark)), detectors.insider_threat(e),
+    ]
+    out = found[0].select(*detectors.ALERT)
+    for df in found[1:]:
+        out = out.unionByName(df.select(*detectors.ALERT))
+    return correlation.deduplicate(out)
+
+
+QUERIES = {
+    "parse_classify": lambda s, d: parsing.parse(_lines(s, d), 2024).select("line_no", "outcome", F.coalesce("source", F.lit("")).alias("source")),
+    "parse_entries": lambda s, d: parsing.parse(_lines(s, d), 2024).where("outcome = 'parsed'").select("line_no", "source", "timestamp", "username", "ip_address", "status", "event_type", "path", "status_code"),
+    "parse_stats": lambda s, d: parsing.parse_stats(parsing.parse(_lines(s, d), 2024)),
+    "statistics": lambda s, d: detectors.statistics(log_entries(s, d)),
+    "top_user": lambda s, d: detectors.top_value(log_entries(s, d), "username"),
+    "top_ip": lambda s, d: detectors.top_value(log_entries(s, d), "ip_address"),
+    "sqli_alerts": lambda s, d: detectors.web_alerts(log_entries(s, d), detectors.SQLI, "SQL_INJECTION", "CRITICAL").select("line_no", "pattern"),
+    "xss_alerts": lambda s, d: detectors.web_alerts(log_entries(s, d), detectors.XSS, "XSS", "HIGH").select("line_no", "pattern"),
+    "brute_force": lambda s, d: detectors.brute_force(log_entries(s, d), **BURST).select("username", "ip_address", "timestamp", F.col("n").cast("long").alias("attempts")),
+    "password_spray": lambda s, d: detectors.password_spray(log_entries(s, d), **BURST).select("ip_address", "timestamp", F.col("n").cast("long").alias("unique_users")),
+    "impossible_travel": lambda s, d: detectors.impossible_travel(log_entries(s, d), places(s)).select("username", "ip_address", "timestamp", "line_no"),
+    "insider_scores": lambda s, d: detectors.insider_scores(log_entries(s, d)).select("username", "events", "unusual_hours", "sensitive", F.col("score").cast("long").alias("score")),
+    "features_ip": lambda s, d: detectors.features(log_entries(s, d), "ip_address"),
+    "features_user": lambda s, d: detectors.features(log_entries(s, d), "username"),
+    "alert_counts": lambda s, d: _alerts(s, d).groupBy("alert_type", "severity").agg(F.count("*").alias("n")),
+    "incident_risk": lambda s, d: correlation.incidents(_alerts(s, d)),
+}
+
+_E = f"WITH e AS ({ENTRIES_SQL})"
+_TOP = "SELECT {c} AS value, count(*) AS n FROM e GROUP BY {c} ORDER BY n DESC, min(line_no) LIMIT 1"
+_NORMAL = "lower(url_decode(replace(url_decode(replace(request, '+', ' ')), '+', ' ')))"
+_FEATURES = """SELECT {c} AS entity_id, CAST(count(*) AS DOUBLE) AS total, CAST(count(*) FILTER (event_type = 'LOGIN_FAILED') AS DOUBLE) AS failed, CAST(count(*) FILTER (event_type = 'LOGIN_SUCCESS') AS DOUBLE) AS success,
+ CAST(count(DISTINCT CASE WHEN username NOT IN ('', '-') THEN username END) AS DOUBLE) AS users, CAST(count(DISTINCT ip_address) AS DOUBLE) AS ips, CAST(count(DISTINCT CASE WHEN request <> '' THEN request END) AS DOUBLE) AS paths,
+ CAST(count(*) FILTER (event_type = 'HTTP_REQUEST') AS DOUBLE) AS http, CAST(count(*) FILTER (event_type = 'HTTP_REQUEST' AND status_code >= 400) AS DOUBLE) AS http_errors, CAST(count(*) FILTER (event_type <> 'HTTP_REQUEST') AS DOUBLE) AS auth,
+ CAST(count(*) FILTER (hour(timestamp) < 5) AS DOUBLE) AS unusual_hours, CAST(count(DISTINCT source) AS DOUBLE) AS sources, count(*) FILTER (event_type = 'LOGIN_FAILED') / count(*) AS failed_ratio FROM e {w} GROUP BY 1"""
+_PLACES = ", ".join(f"('{ip}', '{city}', {lat}, {lon})" for ip, city, lat, lon, _ in PLACES)
+
+
+def _bursts(keys: str, measure: str, out: str) -> str:
+    same = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    frame = f"OVER (PARTITION BY {keys} ORDER BY t RANGE BETWEEN CURRENT ROW AND {3 * DAY * 1_000_000} FOLLOWING)"
+    return f"""WITH RECURSIVE e AS ({ENTRIES_SQL}), f AS (SELECT *, epoch_us(timestamp) AS t, row_number() OVER (PARTITION BY {keys} ORDER BY timestamp, line_no) AS rn FROM e WHERE event_type = 'LOGIN_FAILED'),
+ g AS (SELECT *, max(rn) {frame} AS r, {measure.replace('FRAME', frame)} AS u FROM f), c AS (SELECT *, CASE WHEN u = -1 THEN r - rn + 1 ELSE u END AS n FROM g), able AS (SELECT * FROM c WHERE n >= 3),
+ nxt AS (SELECT {', '.join('a.' + k for k in keys.split(', '))}, a.rn, min(b.rn) AS after FROM able a LEFT JOIN able b ON {same} AND b.rn > a.r GROUP BY ALL),
+ walk AS (SELECT {keys}, min(rn) AS rn FROM able GROUP BY {keys} UNION ALL SELECT {', '.join('a.' + k for k in keys.split(', '))}, b.after FROM walk a JOIN nxt b ON {same} AND a.rn = b.rn WHERE b.after IS NOT NULL)
+ SELECT {', '.join('a.' + k for k in keys.split(', '))}, b.timestamp, CAST(b.n AS BIGINT) AS {out} FROM walk a JOIN able b ON {same} AND a.rn = b.rn"""
+
+
+def _claim(value: str) -> str:
+    return f"CASE event_id % 5 {value} END"
+
+
+_OUTCOME = _claim("WHEN 0 THEN 'parsed' WHEN 1 THEN CASE event_id % 3 WHEN 2 THEN 'malformed' ELSE 'parsed' END WHEN 2 THEN 'parsed' WHEN 3 THEN 'malformed' ELSE 'unsupported'")
+_SOURCE = _claim("WHEN 0 THEN 'linux' WHEN 1 THEN 'windows' WHEN 2 THEN 'apache' WHEN 3 THEN 'linux' ELSE ''")
+def _bank(bank: tuple) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    cases = " ".join(f"WHEN regexp_matches(q, {quoted(p)}) THEN {quoted(n)}" for n, p, _, _ in bank)
+    return f"{_E}, m AS (SELECT line_no, CASE {cases} END AS pattern FROM (SELECT line_no, {_NORMAL} AS q FROM e)) SELECT line_no, pattern FROM m WHERE pattern IS NOT NULL"
+
+
+_LINES = f"WITH p AS (SELECT event_id AS line_no, {_OUTCOME} AS outcome, {_SOURCE} AS source, * FROM events)"
+ORACLES = {
+    "parse_classify": f"{_LINES} SELECT line_no, outcome, source FROM p",
+    "parse_entries": f"""{_LINES} SELECT line_no, source, date_trunc('second', ts)::TIMESTAMP AS timestamp, CASE WHEN source = 'apache' THEN '-' ELSE concat('u', user_id) END AS username,
+ CASE source WHEN 'linux' THEN concat('10.0.0.', user_id % 200) WHEN 'windows' THEN '10.0.1.7' ELSE '10.0.2.9' END AS ip_address, CASE WHEN source = 'windows' AND event_id % 3 = 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+ CASE WHEN source = 'apache' THEN 'HTTP_REQUEST' WHEN source = 'windows' AND event_id % 3 = 0 THEN 'LOGIN_SUCCESS' ELSE 'LOGIN_FAILED' END AS event_type, CASE WHEN source = 'apache' THEN concat('/p?id=', event_id) ELSE '' END AS path,
+ CASE WHEN source = 'apache' THEN 404 END AS status_code FROM p WHERE outcome = 'parsed'""",
+    "parse_stats": f"""{_LINES} SELECT count(*) AS total_lines, count(*) FILTER (outcome = 'parsed') AS parsed_lines, count(*) FILTER (outcome = 'malformed') AS malformed_lines, count(*) FILTER (outcome = 'unsupported') AS unsupported_lines,
+ count(*) FILTER (outcome = 'parsed' AND source = 'linux') AS linux_lines, count(*) FILTER (outcome = 'parsed' AND source = 'windows') AS windows_lines, count(*) FILTER (outcome = 'parsed' AND source = 'apache') AS apache_lines FROM p""",
+    "statistics": f"""{_E} SELECT count(*) AS total, count(*) FILTER (source = 'linux') AS linux, count(*) FILTER (source = 'windows') AS windows, count(*) FILTER (source = 'apache') AS apache,
+ count(*) FILTER (event_type = 'LOGIN_SUCCESS') AS successful_logins, count(*) FILTER (event_type = 'LOGIN_FAILED') AS failed_logins, count(*) FILTER (event_type = 'HTTP_REQUEST') AS http_requests,
+ count(DISTINCT CASE WHEN username <> '-' THEN username END) AS unique_users, count(DISTINCT ip_address) AS unique_ips FROM e""",
+    "top_user": f"{_E} {_TOP.format(c='username')}",
+    "top_ip": f"{_E} {_TOP.format(c='ip_address')}",
+    "sqli_alerts": _bank(detectors.SQLI),
+    "xss_alerts": _bank(detectors.XSS),
+    "brute_force": _bursts("username, ip_address", "-1", "attempts"),
+    "password_spray": _bursts("ip_address", "count(DISTINCT username) FRAME", "unique_users"),
+    "impossible_travel": f"""WITH e AS ({ENTRIES_SQL}), g(ip, city, lat, lon) AS (VALUES {_PLACES}), h AS (SELECT e.*, g.* FROM e LEFT JOIN g ON e.ip_address = g.ip WHERE event_type = 'LOGIN_SUCCESS' AND username <> '-'),
+ p AS (SELECT *, lag(ip_address) OVER w AS i0, lag(city) OVER w AS c0, lag(lat) OVER w AS a0, lag(lon) OVER w AS o0, (epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER w) / 1e6 AS s FROM h WINDOW w AS (PARTITION BY username ORDER BY timestamp, line_no))
+ SELECT username, ip_address, timestamp, line_no FROM p WHERE i0 <> ip_address AND c0 <> city AND (s <= 0 OR 2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - a0) / 2), 2) + cos(radians(a0)) * cos(radians(lat)) * pow(sin(radians(lon - o0) / 2), 2))) / (s / 3600) > 900)""",
+    "insider_scores": f"""{_E}, u AS (SELECT username, count(*) AS events, count(*) FILTER (hour(timestamp) < 5) AS unusual_hours, count(*) FILTER (request LIKE '/admin%') AS sensitive FROM e WHERE username <> '-' GROUP BY 1),
+ m AS (SELECT username, max(n) AS majority, count(*) AS ips FROM (SELECT username, ip_address, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1)
+ SELECT u.*, CAST(CASE WHEN username = 'admin' THEN 30 ELSE 0 END + CASE WHEN unusual_hours > 0 THEN 20 ELSE 0 END + CASE WHEN events >= 20 THEN 20 ELSE 0 END + CASE WHEN sensitive > 0 THEN 20 ELSE 0 END + CASE WHEN majority >= 2 AND ips > 1 THEN 20 ELSE 0 END AS BIGINT) AS score FROM u JOIN m USING (username)""",
+    "features_ip": f"{_E} {_FEATURES.format(c='ip_address', w='')}",
+    "features_user": f"{_E} {_FEATURES.format(c='username', w="WHERE username <> '-'")}",
+}
