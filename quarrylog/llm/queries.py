@@ -57,4 +57,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_spotsigs, op2_simhash, op3_line_dedup, op4_mixing, op5_substring_dedup, op6_url_filter, op7_token_counts, op8_quality_rules, op9_sentencepiece, op10_quality_classifier)}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_line_dedup": r"""WITH l AS (SELECT doc_id, text, i, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
+ u AS (SELECT *, count(*) FILTER (i > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]')) OVER (PARTITION BY doc_id ORDER BY i) AS unit FROM l),
+ v AS (SELECT doc_id, unit, string_agg(line, chr(10) ORDER BY i) AS body FROM u GROUP BY ALL),
+ b AS (SELECT *, regexp_replace(body, '[\x20\x09-\x0D]+$', '') AS bare FROM v),
+ w AS (SELECT *, lead(bare) OVER (PARTITION BY doc_id ORDER BY unit) AS after FROM b),
+ r AS (SELECT *, after IS NOT NULL AND row_number() OVER (PARTITION BY bare, after ORDER BY doc_id, unit) > 1 AS later FROM w),
+ d AS (SELECT *, later OR coalesce(lag(later) OVER (PARTITION BY doc_id ORDER BY unit), false) AS gone FROM r)
+ SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY unit) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted_lines FROM d GROUP BY doc_id""",
+}
