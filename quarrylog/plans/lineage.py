@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,10 +21,3 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared checkpoint folder: lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def release(df: DataFrame) -> None:
-    df.unpersist(blocking=False)
-
-
-SPILLABLE = StorageLevel.MEMORY_AND_DISK
