@@ -54,9 +54,11 @@ def greedy_bursts(df: DataFrame, keys: list[str], threshold: int, window_s: int,
     df = df.withColumn("t", F.unix_micros(F.col("timestamp").cast("timestamp"))).withColumn("rn", F.row_number().over(order))
     df = df.withColumn("r", F.max("rn").over(ahead))
     df = df.withColumn("n", (F.size(F.collect_set(distinct).over(ahead)) if distinct else F.col("r") - F.col("rn") + 1).cast("int"))
-    able = df.where(F.col("n") >= threshold).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rn", "r", "n", "timestamp", "line_no"))).alias("xs"))
+    members = F.array_join(F.array_sort(F.collect_set(distinct).over(ahead)), ",") if distinct else F.lit(None).cast("string")
+    df = df.withColumn("members", members).where(F.col("n") >= threshold)
+    able = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rn", "r", "n", "timestamp", "line_no", "members"))).alias("xs"))
     walk = F.expr("aggregate(xs, named_struct('next', 0, 'out', filter(xs, x -> false)), (a, x) -> IF(x.rn >= a.next, named_struct('next', x.r + 1, 'out', array_append(a.out, x)), a), a -> a.out)")
-    return able.select(*keys, F.explode(walk).alias("b")).select(*keys, F.col("b.timestamp"), F.col("b.n").alias("n"), F.col("b.line_no").alias("line_no"))
+    return able.select(*keys, F.explode(walk).alias("b")).select(*keys, F.col("b.timestamp"), F.col("b.n").alias("n"), F.col("b.line_no").alias("line_no"), F.col("b.members").alias("members"))
 
 
 def _graded(df: DataFrame, alert_type: str, threshold: int, user: Column) -> DataFrame:
@@ -71,7 +73,7 @@ def brute_force(entries: DataFrame, threshold: int = 5, window_s: int = 120) ->
 
 def password_spray(entries: DataFrame, threshold: int = 5, window_s: int = 120) -> DataFrame:
     failed = entries.where("event_type = 'LOGIN_FAILED' and username <> '' and ip_address <> ''")
-    return _graded(greedy_bursts(failed, ["ip_address"], threshold, window_s, "username"), "PASSWORD_SPRAY", threshold, F.lit("-"))
+    return _graded(greedy_bursts(failed, ["ip_address"], threshold, window_s, "username"), "PASSWORD_SPRAY", threshold, F.col("members"))
 
 
 def impossible_travel(entries: DataFrame, places: DataFrame, max_speed: float = 900.0) -> DataFrame:

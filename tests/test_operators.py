@@ -37,6 +37,12 @@ def test_bursts_as_a_plain_loop(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_spray_names_its_users(spark):
+    rows = [entry(n, 5 * n, u) for n, u in enumerate(["eve", "bob", "eve", "amy", "dan"])]
+    got = detectors.password_spray(spark.createDataFrame(rows, ENTRY), 4, 60).collect()
+    assert [(r["username"], r["n"], r["risk_score"]) for r in got] == [("amy,bob,dan,eve", 4, 70)]
+
+
 def test_parse_counts(spark):
     lines = [
         "Jun  6 09:01:20 server sshd[1014]: Accepted password for alice from 192.168.1.18 port 46945 ssh2",
