@@ -108,11 +108,11 @@ def insider_threat(entries: DataFrame, threshold: int = 50) -> DataFrame:
     return df.select(F.lit("INSIDER_THREAT").alias("alert_type"), F.lit("MEDIUM").alias("severity"), F.col("anchor.timestamp").alias("timestamp"), "username", F.col("anchor.ip_address").alias("ip_address"), F.least(F.lit(0.95), 0.55 + F.col("score") / max(threshold, 1) * 0.2).alias("confidence"), F.least(F.lit(90), 40 + F.floor(F.col("score") / 2).cast("int")).alias("risk_score"), F.col("anchor.line_no").alias("line_no"))
 
 
-def features(entries: DataFrame, entity: str) -> DataFrame:
-    """The twelve behaviour features of each address or user."""
+def features(entries: DataFrame, entity: str, extra: list[Column] | None = None) -> DataFrame:
+    """The twelve behaviour features of each address or user, and the ``extra`` aggregates asked for."""
     df = entries.where("username not in ('', '-')") if entity == "username" else entries.where("ip_address <> ''")
     f = lambda c: F.count_if(c).cast("double")
     d = lambda c: F.count_distinct(c).cast("double")
     failed, ok, http = (F.col("event_type") == x for x in ("LOGIN_FAILED", "LOGIN_SUCCESS", "HTTP_REQUEST"))
-    out = df.groupBy(F.col(entity).alias("entity_id")).agg(F.count("*").cast("double").alias("total"), f(failed).alias("failed"), f(ok).alias("success"), d(F.when(~F.col("username").isin("", "-"), F.col("username"))).alias("users"), d(F.when(F.col("ip_address") != "", F.col("ip_address"))).alias("ips"), d(F.when(F.col("request") != "", F.col("request"))).alias("paths"), f(http).alias("http"), f(http & (F.col("status_code") >= 400)).alias("http_errors"), f(failed | ok).alias("auth"), f(F.hour("timestamp") < 5).alias("unusual_hours"), d("source").alias("sources"))
+    out = df.groupBy(F.col(entity).alias("entity_id")).agg(F.count("*").cast("double").alias("total"), f(failed).alias("failed"), f(ok).alias("success"), d(F.when(~F.col("username").isin("", "-"), F.col("username"))).alias("users"), d(F.when(F.col("ip_address") != "", F.col("ip_address"))).alias("ips"), d(F.when(F.col("request") != "", F.col("request"))).alias("paths"), f(http).alias("http"), f(http & (F.col("status_code") >= 400)).alias("http_errors"), f(failed | ok).alias("auth"), f(F.hour("timestamp") < 5).alias("unusual_hours"), d("source").alias("sources"), *(extra or []))
     return out.withColumn("failed_ratio", F.col("failed") / F.col("total"))
