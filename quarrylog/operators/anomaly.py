@@ -94,16 +94,16 @@ def isolation(x: np.ndarray, forest: list[tuple]) -> np.ndarray:
     return 2.0 ** (-depth / len(forest) / max(mean_depth(forest[0][0]), 1e-9))
 
 
-def score(vectors: DataFrame, contamination: float = 0.05, trees: int = 100, sample: int = 256, seed: int = 42, minimum: int = 20) -> DataFrame | None:
+def score(vectors: DataFrame, contamination: float = 0.05, trees: int = 100, sample: int = 256, seed: int = 42, minimum: int = 20) -> DataFrame:
     """``vectors`` with decision and score (0 to 100, higher is more anomalous); types of fewer than ``minimum`` entities have no rows.
 
-    None if that leaves no type. Isolation scores are rounded to six digits, so the exact percentile behind the decision
+    An empty table if that leaves no type. Isolation scores are rounded to six digits, so the exact percentile behind the decision
     holds a million distinct values at most.
     """
     sizes = {r["entity_type"]: r["count"] for r in vectors.groupBy("entity_type").count().collect()}  # a row for each type
     kinds = sorted(k for k, n in sizes.items() if n >= minimum)
     if not kinds:
-        return None
+        return vectors.limit(0).withColumn("decision", F.lit(0.0)).withColumn("score", F.lit(0.0))
     forest = fit(vectors, kinds, trees, sample, seed)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,8 +141,6 @@ def anomalies(entries: DataFrame, contamination: float = 0.05, trees: int = 100,
     """Alerts on entities whose score reaches ``threshold``, with notes on the features that stand out; empty where no type is large enough."""
     vectors = cut(entity_vectors(entries, with_users))
     scored = score(vectors, contamination, trees, 256, seed, minimum)
-    if scored is None:
-        scored = vectors.limit(0).withColumn("decision", F.lit(0.0)).withColumn("score", F.lit(0.0))
     sums = [F.sum(F.get("v", F.lit(k))).alias(f"s{k}") for k in range(len(NAMES))]
     totals = vectors.groupBy("entity_type").agg(F.count("*").alias("n"), *sums)
     df = scored.where(F.col("score") >= threshold).join(F.broadcast(totals), "entity_type")  # two rows at most

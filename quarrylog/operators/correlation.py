@@ -11,11 +11,11 @@ from quarrylog.plans.lineage import cut
 
 
 def deduplicate(alerts: DataFrame) -> DataFrame:
-    """The first alert of each type, time, address and user, with an id that depends on them alone."""
-    key = ["alert_type", "timestamp", "ip_address", "username"]
+    """The first alert of each type, time, address, user and evidence, with an id that depends on them alone."""
+    key = ["alert_type", "timestamp", "ip_address", "username", "evidence"]
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("line_no"))
     df = alerts.select(*ALERT).withColumn("__r", rank).where("__r = 1").drop("__r")
-    return df.withColumn("alert_id", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in key]), 256))
+    return df.withColumn("alert_id", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]), 256))
 
 
 def incidents(alerts: DataFrame, window_s: int = 300) -> DataFrame:

@@ -21,7 +21,18 @@ XSS = (
     ("onclick=", r"\bonclick\s*=", 0.90, 78), ("onmouseover=", r"\bonmouseover\s*=", 0.90, 78), ("<svg", r"<\s*svg\b", 0.88, 75), ("<img", r"<\s*img\b", 0.80, 72),
 )
 SECOND = 1_000_000
-ALERT = ("alert_type", "severity", "timestamp", "username", "ip_address", "confidence", "risk_score", "line_no")
+ALERT = ("alert_type", "severity", "timestamp", "username", "ip_address", "confidence", "risk_score", "line_no", "source", "description", "evidence")
+#: The order in which an alert names the patterns that match.
+SQLI_ORDER = ("UNION SELECT", "OR 1=1", "OR '1'='1'", "AND 1=1", "quote-OR tautology", "information_schema", "DROP TABLE", "INSERT INTO", "UPDATE SET", "DELETE FROM", "SLEEP(", "WAITFOR DELAY", "PG_SLEEP(")
+
+
+def _evidence(**fields: Column) -> Column:
+    """The fields as JSON, nulls included."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"}).alias("evidence")
+
+
+def _stamp(c: str) -> Column:
+    return F.col(c).cast("string")
 
 
 def statistics(entries: DataFrame) -> DataFrame:
@@ -44,7 +55,10 @@ def web_alerts(entries: DataFrame, bank: tuple, alert_type: str, severity: str)
     df = entries.where("event_type = 'HTTP_REQUEST' and request <> ''").withColumn("normalized", normalize_request(F.col("request")))
     hits = F.array_compact(F.array(*[F.when(F.col("normalized").rlike("(?U)" + p), F.struct(F.lit(n).alias("pattern"), F.lit(c).alias("confidence"), F.lit(r).alias("risk_score"))) for n, p, c, r in bank]))
     df = df.withColumn("hits", hits).where("size(hits) > 0").withColumn("best", F.get("hits", F.lit(0)))
-    return df.select(F.lit(alert_type).alias("alert_type"), F.lit(severity).alias("severity"), "timestamp", "username", "ip_address", "best.confidence", "best.risk_score", "line_no", "best.pattern")
+    listed = [n for n in SQLI_ORDER if bank is SQLI] or [n for n, *_ in bank]
+    names = F.filter(F.array(*map(F.lit, listed)), lambda n: F.exists("hits", lambda h: h["pattern"] == n))
+    evidence = _evidence(pattern=F.col("best.pattern"), request=F.col("request"), normalized_request=F.col("normalized"), matched_indicators=names)
+    return df.select(F.lit(alert_type).alias("alert_type"), F.lit(severity).alias("severity"), "timestamp", "username", "ip_address", "best.confidence", "best.risk_score", "line_no", "source", F.concat(F.lit(f"{alert_type} pattern in request: "), "best.pattern").alias("description"), evidence, "best.pattern")
 
 
 def greedy_bursts(df: DataFrame, keys: list[str], threshold: int, window_s: int, distinct: str | None = None) -> DataFrame:
@@ -54,38 +68,47 @@ def greedy_bursts(df: DataFrame, keys: list[str], threshold: int, window_s: int,
     df = df.withColumn("t", F.unix_micros(F.col("timestamp").cast("timestamp"))).withColumn("rn", F.row_number().over(order))
     df = df.withColumn("r", F.max("rn").over(ahead))
     df = df.withColumn("n", (F.size(F.collect_set(distinct).over(ahead)) if distinct else F.col("r") - F.col("rn") + 1).cast("int"))
+    df = df.withColumn("end", F.max("timestamp").over(ahead)).withColumn("seen", F.collect_set("source").over(ahead))
     members = F.array_join(F.array_sort(F.collect_set(distinct).over(ahead)), ",") if distinct else F.lit(None).cast("string")
     df = df.withColumn("members", members).where(F.col("n") >= threshold)
-    able = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rn", "r", "n", "timestamp", "line_no", "members"))).alias("xs"))
+    able = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rn", "r", "n", "timestamp", "line_no", "members", "end", "seen"))).alias("xs"))
     walk = F.expr("aggregate(xs, named_struct('next', 0, 'out', filter(xs, x -> false)), (a, x) -> IF(x.rn >= a.next, named_struct('next', x.r + 1, 'out', array_append(a.out, x)), a), a -> a.out)")
-    return able.select(*keys, F.explode(walk).alias("b")).select(*keys, F.col("b.timestamp"), F.col("b.n").alias("n"), F.col("b.line_no").alias("line_no"), F.col("b.members").alias("members"))
+    return able.select(*keys, F.explode(walk).alias("b")).select(*keys, F.col("b.timestamp"), F.col("b.n").alias("n"), F.col("b.line_no").alias("line_no"), F.col("b.members").alias("members"), F.col("b.end").alias("end"), F.col("b.seen").alias("seen"))
 
 
-def _graded(df: DataFrame, alert_type: str, threshold: int, user: Column) -> DataFrame:
+def _graded(df: DataFrame, alert_type: str, threshold: int, window_s: int, user: Column, **more: Column) -> DataFrame:
     over = F.greatest(F.lit(0), F.col("n") - threshold)
-    return df.select(F.lit(alert_type).alias("alert_type"), F.lit("HIGH").alias("severity"), "timestamp", user.alias("username"), "ip_address", F.least(F.lit(0.99), 0.85 + 0.02 * over).alias("confidence"), F.least(F.lit(95), 70 + 2 * over).alias("risk_score"), "line_no", "n")
+    evidence = _evidence(**more, threshold=F.lit(threshold), window_seconds=F.lit(window_s), start_time=_stamp("timestamp"), end_time=_stamp("end"))
+    source = F.when(F.size("seen") == 1, F.get("seen", F.lit(0))).otherwise("mixed").alias("source")
+    about = F.concat(F.lit(f"{alert_type}: "), F.col("n").cast("string"), F.lit(" within "), F.lit(str(window_s)), F.lit(" s by "), user, F.lit(" from "), "ip_address")
+    return df.select(F.lit(alert_type).alias("alert_type"), F.lit("HIGH").alias("severity"), "timestamp", user.alias("username"), "ip_address", F.least(F.lit(0.99), 0.85 + 0.02 * over).alias("confidence"), F.least(F.lit(95), 70 + 2 * over).alias("risk_score"), "line_no", source, about.alias("description"), evidence, "n")
 
 
 def brute_force(entries: DataFrame, threshold: int = 5, window_s: int = 120) -> DataFrame:
     failed = entries.where("event_type = 'LOGIN_FAILED' and username <> '' and ip_address <> ''")
-    return _graded(greedy_bursts(failed, ["username", "ip_address"], threshold, window_s), "BRUTE_FORCE", threshold, F.col("username"))
+    return _graded(greedy_bursts(failed, ["username", "ip_address"], threshold, window_s), "BRUTE_FORCE", threshold, window_s, F.col("username"), attempts=F.col("n"))
 
 
 def password_spray(entries: DataFrame, threshold: int = 5, window_s: int = 120) -> DataFrame:
     failed = entries.where("event_type = 'LOGIN_FAILED' and username <> '' and ip_address <> ''")
-    return _graded(greedy_bursts(failed, ["ip_address"], threshold, window_s, "username"), "PASSWORD_SPRAY", threshold, F.col("members"))
+    return _graded(greedy_bursts(failed, ["ip_address"], threshold, window_s, "username"), "PASSWORD_SPRAY", threshold, window_s, F.col("members"), unique_users=F.col("n"), users=F.split("members", ","))
 
 
 def impossible_travel(entries: DataFrame, places: DataFrame, max_speed: float = 900.0) -> DataFrame:
     """Consecutive logins of a user whose places lie too far apart for the time between; an unknown address breaks the pair."""
     logins = entries.where("event_type = 'LOGIN_SUCCESS' and username not in ('', '-')")
     here = logins.join(places, F.trim("ip_address") == F.col("ip"), "left").withColumn("t", F.unix_micros(F.col("timestamp").cast("timestamp")))
-    before = F.lag(F.struct("ip_address", "t", "city", "lat", "lon")).over(Window.partitionBy("username").orderBy("t", "line_no"))
+    before = F.lag(F.struct("ip_address", "t", "city", "country", "lat", "lon")).over(Window.partitionBy("username").orderBy("t", "line_no"))
     df = here.withColumn("p", before).where("p.ip_address <> ip_address and p.city <> city")
     df = df.withColumn("km", haversine_km(F.col("p.lat"), F.col("p.lon"), F.col("lat"), F.col("lon"))).withColumn("s", (F.col("t") - F.col("p.t")) / SECOND)
     df = df.withColumn("speed", F.when(F.col("s") <= 0, F.lit(float("inf"))).otherwise(F.col("km") / (F.col("s") / 3600))).where(F.col("speed") > max_speed)
-    ratio = F.col("speed") / max_speed
-    return df.select(F.lit("IMPOSSIBLE_TRAVEL").alias("alert_type"), F.lit("HIGH").alias("severity"), "timestamp", "username", "ip_address", F.least(F.lit(0.99), 0.75 + F.least(ratio, F.lit(5.0)) * 0.04).alias("confidence"), F.least(F.lit(95), 70 + (F.least(ratio, F.lit(10.0)) * 2).cast("int")).alias("risk_score"), "line_no")
+    ratio = F.col("speed") / max_speed if max_speed > 0 else F.lit(1.0)
+    evidence = _evidence(
+        previous_ip=F.col("p.ip_address"), current_ip=F.col("ip_address"), previous_location=F.concat_ws(", ", "p.city", "p.country"), current_location=F.concat_ws(", ", "city", "country"),
+        distance_km=F.round("km", 2), elapsed_seconds=F.col("s"), required_speed_kmh=F.when(F.col("s") > 0, F.round("speed", 2)), configured_speed_threshold=F.lit(max_speed),
+    )
+    about = F.concat("username", F.lit(" seen in "), "p.city", F.lit(" and then in "), "city").alias("description")
+    return df.select(F.lit("IMPOSSIBLE_TRAVEL").alias("alert_type"), F.lit("HIGH").alias("severity"), "timestamp", "username", "ip_address", F.least(F.lit(0.99), 0.75 + F.least(ratio, F.lit(5.0)) * 0.04).alias("confidence"), F.least(F.lit(95), 70 + (F.least(ratio, F.lit(10.0)) * 2).cast("int")).alias("risk_score"), "line_no", "source", about, evidence)
 
 
 def insider_scores(entries: DataFrame) -> DataFrame:
@@ -94,18 +117,23 @@ def insider_scores(entries: DataFrame) -> DataFrame:
     request = F.lower("request")
     hit = (F.col("event_type") == "HTTP_REQUEST") & F.exists(F.array(*map(F.lit, SENSITIVE)), lambda p: F.startswith(request, p))
     by_ip = df.where("ip_address <> ''").groupBy("username", "ip_address").agg(F.count("*").alias("n")).groupBy("username").agg(F.max("n").alias("majority"), F.count("*").alias("ips")).withColumnRenamed("username", "u")
-    last = lambda c: F.max(F.when(c, F.struct("timestamp", "line_no", "ip_address")))
+    last = lambda c: F.max(F.when(c, F.struct("timestamp", "line_no", "ip_address", "source")))
     unusual = F.hour("timestamp") < 5
     users = df.groupBy("username").agg(F.count("*").alias("events"), F.count_if(unusual).alias("unusual_hours"), F.count_if(hit).alias("sensitive"), F.coalesce(last(hit), last(unusual), last(F.lit(True))).alias("anchor"))
     users = users.join(by_ip, F.col("username") == F.col("u"), "left").drop("u")
-    signals = ((F.lower("username").isin(*PRIVILEGED), 30), (F.col("unusual_hours") > 0, 20), (F.col("events") >= 20, 20), (F.col("sensitive") > 0, 20), (F.coalesce((F.col("majority") >= 2) & (F.col("ips") > 1), F.lit(False)), 20))
-    score = sum((F.when(c, n).otherwise(0) for c, n in signals), F.lit(0))
-    return users.select("username", "events", "unusual_hours", "sensitive", score.alias("score"), "anchor")
+    signals = (
+        ("privileged_account", F.lower("username").isin(*PRIVILEGED), 30), ("unusual_hour", F.col("unusual_hours") > 0, 20), ("high_activity_volume", F.col("events") >= 20, 20),
+        ("sensitive_resource_access", F.col("sensitive") > 0, 20), ("unusual_source_ip", F.coalesce((F.col("majority") >= 2) & (F.col("ips") > 1), F.lit(False)), 20),
+    )
+    score = sum((F.when(c, n).otherwise(0) for _, c, n in signals), F.lit(0))
+    return users.select("username", "events", "unusual_hours", "sensitive", score.alias("score"), "anchor", F.array_compact(F.array(*[F.when(c, name) for name, c, _ in signals])).alias("signals"))
 
 
 def insider_threat(entries: DataFrame, threshold: int = 50) -> DataFrame:
     df = insider_scores(entries).where(F.col("score") >= threshold)
-    return df.select(F.lit("INSIDER_THREAT").alias("alert_type"), F.lit("MEDIUM").alias("severity"), F.col("anchor.timestamp").alias("timestamp"), "username", F.col("anchor.ip_address").alias("ip_address"), F.least(F.lit(0.95), 0.55 + F.col("score") / max(threshold, 1) * 0.2).alias("confidence"), F.least(F.lit(90), 40 + F.floor(F.col("score") / 2).cast("int")).alias("risk_score"), F.col("anchor.line_no").alias("line_no"))
+    evidence = _evidence(score=F.col("score"), threshold=F.lit(threshold), signals=F.col("signals"), event_count=F.col("events"), privileged=F.array_contains("signals", "privileged_account"), unusual_hour_count=F.col("unusual_hours"), sensitive_access_count=F.col("sensitive"))
+    about = F.concat(F.lit("Signals of "), "username", F.lit(": "), F.array_join("signals", ", ")).alias("description")
+    return df.select(F.lit("INSIDER_THREAT").alias("alert_type"), F.lit("MEDIUM").alias("severity"), F.col("anchor.timestamp").alias("timestamp"), "username", F.col("anchor.ip_address").alias("ip_address"), F.least(F.lit(0.95), 0.55 + F.col("score") / max(threshold, 1) * 0.2).alias("confidence"), F.least(F.lit(90), 40 + F.floor(F.col("score") / 2).cast("int")).alias("risk_score"), F.col("anchor.line_no").alias("line_no"), F.col("anchor.source").alias("source"), about, evidence)
 
 
 def features(entries: DataFrame, entity: str, extra: list[Column] | None = None) -> DataFrame:

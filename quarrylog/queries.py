@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.operators import correlation, detectors, parsing
+from quarrylog.operators import anomaly, correlation, detectors, parsing
 from quarrylog.sources.logs import ENTRIES_SQL, PLACES, log_entries, places
 
 DAY = 86_400
+#: The derived logs have eleven addresses only, so the forest is grown from ten entities on.
+FEW = 10
 BURST = {"threshold": 3, "window_s": 3 * DAY}
 LINES_SQL = """SELECT event_id AS line_no, CASE event_id % 5
  WHEN 0 THEN concat(strftime(ts, '%b %d %H:%M:%S'), ' host sshd[', CAST(event_id AS STRING), ']: Failed password for invalid user u', CAST(user_id AS STRING), ' from 10.0.0.', CAST(user_id % 200 AS STRING), ' port 22 ssh2')
@@ -57,6 +59,7 @@ QUERIES = {
     "features_ip": lambda s, d: detectors.features(log_entries(s, d), "ip_address"),
     "features_user": lambda s, d: detectors.features(log_entries(s, d), "username"),
     "alert_counts": lambda s, d: _alerts(s, d).groupBy("alert_type", "severity").agg(F.count("*").alias("n")),
+    "anomaly_scores": lambda s, d: anomaly.score(anomaly.entity_vectors(log_entries(s, d)), minimum=FEW).select("entity_type", "entity_id", "decision", "score"),
     "incident_risk": lambda s, d: correlation.incidents(_alerts(s, d)),
 }
 

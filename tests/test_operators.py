@@ -94,3 +94,14 @@ def test_components_as_union_find(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_alerts_carry_evidence_and_differ_by_it(spark):
+    requests = ["/a?q=1 union select x", "/b?q=' or '1'='1' and 1=1", "/a?q=1 union select x"]
+    rows = [entry(n, 0, "-", "9.9.9.9", "HTTP_REQUEST", q) for n, q in enumerate(requests)]
+    alerts = detectors.web_alerts(spark.createDataFrame(rows, ENTRY), detectors.SQLI, "SQL_INJECTION", "CRITICAL")
+    got = {r["line_no"]: r for r in correlation.deduplicate(alerts).collect()}
+    assert sorted(got) == [0, 1] and len({r["alert_id"] for r in got.values()}) == 2
+    assert '"pattern":"UNION SELECT"' in got[0]["evidence"] and "AND 1=1" in got[1]["evidence"]
+    flood = detectors.brute_force(spark.createDataFrame([entry(n, 6 * n) for n in range(5)], ENTRY)).first()
+    assert '"attempts":5' in flood["evidence"] and '"end_time":"2026-06-26 09:00:24"' in flood["evidence"] and flood["source"] == "linux"
