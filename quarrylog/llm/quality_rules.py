@@ -152,10 +152,11 @@ def risk_controlled_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, a
     strata = grid.agg(F.count_distinct("stratum")).first()[0]
     tested = grid.withColumn("p", binomial_tail("k", "n", alpha / len(RULES)))
     level = delta / (len(RULES) * max(1, strata))
+    # the highest bin is the most lenient cutoff, so the sequence runs downwards and stops at the highest bin that fails
     passed = tested.groupBy("stratum", "rule").agg(
-        F.coalesce(F.min(F.when(F.col("p") > level, F.col("bin"))) - 1, F.max("bin")).alias("bin")
+        F.coalesce(F.max(F.when(F.col("p") > level, F.col("bin"))) + 1, F.lit(1)).alias("bin"), F.max("bin").alias("most")
     )
-    return passed.where("bin >= 1").groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "bin"))).alias("bins"))
+    return passed.where("bin <= most").groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "bin"))).alias("bins"))
 
 
 def verdicts(stats: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:

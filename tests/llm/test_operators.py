@@ -47,6 +47,42 @@ def test_binomial_tail(spark):
         assert abs(p - want) <= 1e-9 * max(want, 1e-30)
 
 
+def test_cutoffs_and_verdicts(spark):
+    """Against a plain loop: from the most lenient cutoff down, until one can't be certified."""
+    from math import comb
+
+    rng = random.Random(6)
+    rows, quality = [], {}
+    for k in range(2600):
+        lang = "en" if k % 13 else "few"  # 200 rows of "few" certify nothing
+        good, symbols = k % 10 < 9, rng.choice([0, 0, 0, 1]) if k % 10 < 9 else rng.choice([2, 6, 12])
+        rows.append((k, " ".join(f"w{k}x{j}" + "#" * (symbols if j == 3 else 0) for j in range(12)), lang))
+        quality[k] = int(good)
+    labels = spark.createDataFrame(list(quality.items()), "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    stats = {r["doc_id"]: r for r in quality_rules.document_statistics(df).collect()}
+    score = {
+        "symbols": lambda r: r["n_symbols"] / r["word_chars"], "dup_lines": lambda r: r["n_dup_lines"] / r["n_lines"],
+        "repeats": lambda r: r["n_repeat_words"] / r["n_words"], "word_length": lambda r: r["word_chars"] / r["n_words"],
+    }
+    alpha, level, want = 0.02 / 4, 0.05 / (4 * 2), {}
+    for lang in ("en", "few"):
+        good = [r for k, r in stats.items() if r["lang"] == lang and quality[k]]
+        for rule, (_, cuts) in quality_rules.RULES.items():
+            for cutoff in cuts:
+                n, x = len(good), sum(score[rule](r) > cutoff for r in good)
+                if x >= n * alpha or sum(comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(x + 1)) > level:
+                    break
+                want[lang, rule] = cutoff
+    cutoffs = quality_rules.risk_controlled_cutoffs(quality_rules.document_statistics(df), labels, "lang").collect()
+    assert {(r["stratum"], k): quality_rules.RULES[k][1][-b] for r in cutoffs for k, b in r["bins"].items()} == want
+    assert want["en", "symbols"] == 0.05 and want["en", "word_length"] < 40 and not any(lang == "few" for lang, _ in want)
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge_documents(df, labels).collect()}
+    assert kept == {k: all(score[rule](r) <= want.get((r["lang"], rule), 1e9) for rule in score) for k, r in stats.items()}
+    bad = [k for k in kept if not quality[k] and stats[k]["lang"] == "en"]
+    assert sum(not kept[k] for k in bad) > len(bad) / 2 and all(kept[k] for k in kept if quality[k])
+
+
 def test_line_dedup(docs):
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
     import re
