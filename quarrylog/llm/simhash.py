@@ -121,26 +121,35 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     return index.repartition("key").sortWithinPartitions("key").mapInArrow(_link_batches, "a long, b long").distinct()
 
 
+def _rooted(docs: DataFrame) -> DataFrame:
+    """``near_duplicate_components`` with ``root``, a fingerprint that names the component whatever its ids."""
+    prints = cut(fingerprints(docs.drop("component_id", "root")))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    groups = connected_components(links(nodes.select("fp")))
+    rooted = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_fp = cut(rooted.join(named, "root").select("fp", "component_id", "root"))
+    return prints.join(of_fp, "fp")
+
+
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and others) without the text, with ``fp`` and ``component_id``, the least doc_id reachable.
 
     Null texts and texts without words have fingerprint 0 and are linked like others. Rows that repeat an id or a text stay
     rows of their own. A component whose ids are all null has a null component_id. An empty table gives an empty one.
     """
-    prints = cut(fingerprints(docs.drop("component_id")))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = connected_components(links(nodes.select("fp")))
-    rooted = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = cut(rooted.join(named, "root").select("fp", "component_id"))
-    return prints.join(of_fp, "fp")
+    return _rooted(docs).drop("root")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The row of the least id of every component (of the least text hash where ids repeat), with the columns of ``docs``."""
     light = docs.select("doc_id", "text", *row_key())
-    groups = near_duplicate_components(light)
+    return keep_least(docs, _rooted(light))
+
+
+def keep_least(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the least of their ``root`` in ``rooted`` (KEY, doc_id, root): ids may be null or repeat."""
     best = F.struct(F.col("doc_id").isNull(), *KEY)
-    keepers = groups.groupBy("component_id").agg(F.min(best).alias("k")).select(*[F.col(f"k.{c}").alias(c) for c in KEY])
+    keepers = rooted.groupBy("root").agg(F.min(best).alias("k")).select(*[F.col(f"k.{c}").alias(c) for c in KEY])
     kept = docs.select("*", *row_key()).join(cut(keepers), list(KEY), "left_semi")
     return kept.dropDuplicates(list(KEY)).select(*docs.columns)

@@ -121,6 +121,14 @@ def test_simhash(docs):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(k for k in root if root[k] == k)
 
 
+def test_simhash_keeps_unrelated_rows_of_null_or_repeated_ids(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randrange(999)) for _ in range(60))
+    rows = [(None, text()) for _ in range(5)] + [(1, text()), (1, text()), (2, text())]
+    kept = simhash.keep_one_of_each(spark.createDataFrame([*rows, (None, rows[0][1]), (9, rows[5][1])], "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, rows))
+
+
 def test_mixing(docs):
     light = docs.select("doc_id", "source", mixing.n_words().alias("size"), mixing.quality_weight().alias("quality"))
     rows = mixing.mix(light).collect()
