@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quarrylog.llm import line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, spotsigs, substring_dedup, token_counts, url_filter
+from quarrylog.llm import line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, shingle_dedup, simhash, spotsigs, substring_dedup, token_counts, url_filter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -129,6 +129,58 @@ def test_simhash_keeps_unrelated_rows_of_null_or_repeated_ids(spark):
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, rows))
 
 
+def test_near_dedup_stage_against_all_pairs(spark):
+    """Copies with edits around a similarity of 0.8, a hot passage in all texts, a hub of near copies, null and repeated ids."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    hot = [word() for _ in range(30)]
+    bases = [hot + [word() for _ in range(rng.randrange(40, 160))] for _ in range(40)]
+
+    def edited(w, n):
+        w = list(w)
+        for k in rng.sample(range(len(w)), n):
+            w[k] = word()
+        return w
+
+    made = [*bases, *(edited(b, n) for b in bases[:30] for n in (1, 2, 3, 4)), *(edited(bases[39], rng.randrange(1, 6)) for _ in range(60)), [], ["one", "two"], ["One", "two"], bases[0]]
+    ids = [*range(len(made))]
+    rng.shuffle(ids)
+    rows = [(None if k % 17 == 0 else 1 if k % 19 == 0 else k, " ".join(made[k])) for k in ids] + [(7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = 0
+    for a, x in enumerate(sets):
+        for b in range(a):
+            if x == sets[b] or 5 * len(x & sets[b]) >= 4 * len(x | sets[b]):
+                near += x != sets[b]
+                root[find(a)] = find(b)
+    groups = {}
+    for k in range(len(rows)):
+        groups.setdefault(find(k), []).append(rows[k])
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert near > 80 and len(groups) < len(rows) - 80
+    assert len(got) == len(groups)
+    for g in groups.values():
+        (kept,) = [r for r in got if r in g]
+        assert kept[0] == min((r[0] for r in g if r[0] is not None), default=None)
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert shingle_dedup.keep_one_of_each(none).count() == 0
+
+
 def test_mixing(docs):
     light = docs.select("doc_id", "source", mixing.n_words().alias("size"), mixing.quality_weight().alias("quality"))
     rows = mixing.mix(light).collect()
