@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import html
+import re
+from html.entities import html5
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: The entities that HTML knows without a semicolon, too; the table is Python's.
+_BARE = "|".join(sorted((re.escape(n) for n in html5 if not n.endswith(";")), key=len, reverse=True))
+ENTITY = rf"&(?:#[0-9]|#[xX][0-9a-fA-F]|[A-Za-z][A-Za-z0-9]{{0,31}};|{_BARE})"
 
 
 def normalize_line(c: Column) -> Column:
@@ -17,16 +27,33 @@ def url_decode(c: Column) -> Column:
     return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
-def normalize_request(c: Column, passes: int = 2) -> Column:
-    """URL-decoded up to ``passes`` times, common HTML entities undone once, lower-cased, white space collapsed."""
+def url_decoded(c: Column, passes: int = 2) -> Column:
     c = F.coalesce(c, F.lit(""))
     for _ in range(max(1, passes)):
         c = url_decode(c)
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(plain))
+    return c
+
+
+@F.arrow_udf(StringType())
+def _unescape(texts: pa.Array) -> pa.Array:
+    return pa.array([x if x is None else html.unescape(x) for x in texts.to_pylist()], type=pa.string())
+
+
+def html_unescape(c: Column) -> Column:
+    """All character references of HTML undone once; only texts that hold one are sent to Python."""
+    return F.coalesce(_unescape(F.when(c.rlike(ENTITY), c)), c)
+
+
+def folded(c: Column) -> Column:
+    """Lower-cased, with runs of white space as one space and none at the ends."""
     return F.trim(F.regexp_replace(F.lower(c), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
+def normalize_request(c: Column, passes: int = 2) -> Column:
+    """URL-decoded up to ``passes`` times, HTML references undone once, lower-cased, white space collapsed."""
+    return folded(html_unescape(url_decoded(c, passes)))
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), F.lit(2.0))
     h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)

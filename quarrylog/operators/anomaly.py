@@ -13,8 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylog.config import AnalyzerConfig, AnomalyConfig, block
 from quarrylog.operators.detectors import features
 from quarrylog.plans.lineage import cut
+from quarrylog.plans.sampling import least_by_hash
 
 #: Our feature columns with the names that alerts give them.
 NAMES = {
@@ -24,10 +26,11 @@ NAMES = {
 TREE = "entity_type string, tree int, psi int, feature array<int>, split array<double>, child array<int>, path array<double>"
 
 
-def entity_vectors(entries: DataFrame, with_users: bool = True) -> DataFrame:
-    """``(entity_type, entity_id, last_seen, v)``: the features of each address and, if asked for, of each user."""
+def entity_vectors(entries: DataFrame, with_users: bool = True, config: AnalyzerConfig | AnomalyConfig | None = None) -> DataFrame:
+    """``(entity_type, entity_id, last_seen, sources, v)``: the features of each address and, if asked for, of each user."""
     kinds = (("ip", "ip_address"), ("user", "username"))[: 2 if with_users else 1]
-    parts = [features(entries, c, [F.max("timestamp").alias("last_seen")]).select(F.lit(k).alias("entity_type"), "entity_id", "last_seen", F.array(*NAMES).alias("v")) for k, c in kinds]
+    more = [F.max("timestamp").alias("last_seen"), F.array_sort(F.collect_set(F.nullif("source", F.lit("")))).alias("seen_sources")]
+    parts = [features(entries, c, more, config).select(F.lit(k).alias("entity_type"), "entity_id", "last_seen", F.col("seen_sources").alias("sources"), F.array(*NAMES).alias("v")) for k, c in kinds]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -59,10 +62,11 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> tuple[list[int], list[float
     return feature, split, child, path
 
 
-def fit(vectors: DataFrame, kinds: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> dict[str, list[tuple]]:
-    """The trees of each type. Hashes of the ids choose a tree's entities, so results don't depend on partitions."""
-    by_hash = [F.xxhash64("entity_id", F.lit(seed)), F.col("entity_id")]
-    pools = [vectors.where(F.col("entity_type") == k).orderBy(*by_hash).limit(trees * sample) for k in kinds]
+def fit(vectors: DataFrame, sizes: dict[str, int], trees: int = 100, sample: int = 256, seed: int = 42) -> dict[str, list[tuple]]:
+    """The trees of each type; sizes: its entities. Hashes of the ids choose a tree's entities, so results don't depend on partitions."""
+    kinds = sorted(sizes)
+    h = F.xxhash64("entity_id", F.lit(seed))
+    pools = [least_by_hash(vectors.where(F.col("entity_type") == k), h, ["entity_id"], trees * sample, sizes[k]) for k in kinds]
     pool = pools[0]
     for p in pools[1:]:
         pool = pool.unionByName(p)
@@ -104,7 +108,7 @@ def score(vectors: DataFrame, contamination: float = 0.05, trees: int = 100, sam
     kinds = sorted(k for k, n in sizes.items() if n >= minimum)
     if not kinds:
         return vectors.limit(0).withColumn("decision", F.lit(0.0)).withColumn("score", F.lit(0.0))
-    forest = fit(vectors, kinds, trees, sample, seed)
+    forest = fit(vectors, {k: sizes[k] for k in kinds}, trees, sample, seed)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -115,8 +119,8 @@ def score(vectors: DataFrame, contamination: float = 0.05, trees: int = 100, sam
                     out[rows] = isolation(np.array(pdf["v"].iloc[rows].tolist(), dtype=np.float64), forest[k])
             yield pdf.assign(isolation=out.round(6))
 
-    schema = "entity_type string, entity_id string, last_seen timestamp_ntz, v array<double>, isolation double"
-    found = cut(vectors.where(F.col("entity_type").isin(kinds)).select("entity_type", "entity_id", "last_seen", "v").mapInPandas(run, schema))
+    schema = "entity_type string, entity_id string, last_seen timestamp_ntz, sources array<string>, v array<double>, isolation double"
+    found = cut(vectors.where(F.col("entity_type").isin(kinds)).select("entity_type", "entity_id", "last_seen", "sources", "v").mapInPandas(run, schema))
     offset = found.groupBy("entity_type").agg(F.percentile(-F.col("isolation"), F.lit(contamination)).alias("offset"))
     df = found.join(F.broadcast(offset), "entity_type")  # two rows at most
     decision = -F.col("isolation") - F.col("offset")
@@ -137,9 +141,11 @@ def _notes(mean: list[Column]) -> Column:
     return F.transform(F.slice(F.array_sort(F.array_compact(F.array(*found))), 1, 5), lambda x: x["text"])
 
 
-def anomalies(entries: DataFrame, contamination: float = 0.05, trees: int = 100, seed: int = 42, minimum: int = 20, threshold: float = 70.0, with_users: bool = True) -> DataFrame:
-    """Alerts on entities whose score reaches ``threshold``, with notes on the features that stand out; empty where no type is large enough."""
-    vectors = cut(entity_vectors(entries, with_users))
+def anomalies(entries: DataFrame, config: AnalyzerConfig | AnomalyConfig | None = None) -> DataFrame:
+    """Alerts on entities whose score reaches the threshold, with notes on the features that stand out; empty where no type is large enough."""
+    c = block(config, AnomalyConfig)
+    contamination, trees, seed, minimum, threshold = c.contamination, c.n_estimators, c.random_state, c.minimum_samples, c.alert_threshold
+    vectors = cut(entity_vectors(entries, c.include_user_entities, c))
     scored = score(vectors, contamination, trees, 256, seed, minimum)
     sums = [F.sum(F.get("v", F.lit(k))).alias(f"s{k}") for k in range(len(NAMES))]
     totals = vectors.groupBy("entity_type").agg(F.count("*").alias("n"), *sums)
@@ -149,11 +155,12 @@ def anomalies(entries: DataFrame, contamination: float = 0.05, trees: int = 100,
     sure = 0.5 + s / 200 if threshold <= 0 else 0.55 + F.greatest(F.lit(0.0), s - threshold) / 100 + s / 400
     df = df.withColumn("notes", _notes(mean))
     shown = F.struct(*[F.get("v", F.lit(k)).alias(n) for k, n in enumerate(NAMES.values())])
-    evidence = F.struct(F.lit("IsolationForest").alias("model"), F.col("entity_id").alias("entity"), "entity_type", F.round("score", 2).alias("anomaly_score"), F.round("decision", 6).alias("decision_function"), shown.alias("features"), F.col("notes").alias("behavioral_notes"))
+    evidence = F.struct(F.lit("IsolationForest").alias("model"), F.struct(F.lit(float(contamination)).alias("contamination"), F.lit(trees).alias("n_estimators"), F.lit(seed).alias("random_state"), F.lit(minimum).alias("minimum_samples"), F.lit(float(threshold)).alias("alert_threshold")).alias("model_parameters"), F.col("entity_id").alias("entity"), "entity_type", F.round("score", 2).alias("anomaly_score"), F.round("decision", 6).alias("decision_function"), shown.alias("features"), F.col("notes").alias("behavioral_notes"), F.col("sources").alias("sample_sources"), F.lit("the score tells how unusual an entity is among its peers, not that it attacks").alias("score_note"))
     about = F.concat(F.lit("Unusual activity of "), "entity_type", F.lit(" "), "entity_id", F.when(F.size("notes") > 0, F.concat(F.lit(": "), F.array_join("notes", "; "))).otherwise(""))
-    return df.select(
+    found = df.select(
         F.lit("ANOMALOUS_BEHAVIOR").alias("alert_type"), F.when(s >= 80, "HIGH").when(s >= 70, "MEDIUM").otherwise("LOW").alias("severity"), F.col("last_seen").alias("timestamp"),
         F.when(is_ip, "-").otherwise(F.col("entity_id")).alias("username"), F.when(is_ip, F.col("entity_id")).otherwise("").alias("ip_address"),
         F.least(F.lit(0.95), sure).alias("confidence"), F.greatest(F.lit(20), F.least(F.lit(85), F.bround(0.85 * s).cast("int"))).alias("risk_score"), F.lit(None).cast("long").alias("line_no"),
         F.lit("anomaly").alias("source"), about.alias("description"), F.to_json(evidence).alias("evidence"), s.alias("anomaly_score"),
     )
+    return found.orderBy(F.desc(F.round("anomaly_score", 2)), "timestamp", "ip_address", "username")

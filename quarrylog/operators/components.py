@@ -15,17 +15,17 @@ def _mark(edges: DataFrame) -> tuple:
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
     """One step: each node hands its least neighbour to its neighbours (the greater ones, or all lesser ones and itself).
 
-    The minima are cut off before the join, so that both of its sides are plain exchanges and a hub with very many
-    edges is split by the adaptive skew join instead of landing in one task.
+    The join's key is a struct, so that the minima's own partitioning does not serve it: both sides are plain exchanges, and
+    a hub with very many edges is split by the adaptive skew join instead of landing in one task.
     """
-    if both_ways:
-        seen = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(seen.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        out = seen.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        least = cut(edges.groupBy("a").agg(F.min("b").alias("m")))
-        out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    seen = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both_ways else edges
+    least = seen.groupBy("a").agg(F.min("b").alias("m"))
+    least = least.select(F.struct("a").alias("k"), F.least("a", "m").alias("m"))
+    greater = seen.where("b > a") if both_ways else edges
+    out = greater.withColumn("k", F.struct("a")).join(least, "k").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    if not both_ways:
+        out = out.union(least.select("k.a", F.col("m").alias("b")))
+    return cut(out.where("a <> b").distinct())
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = cut(edges)
     before = _mark(edges)
     for _ in range(max_rounds if before[0] else 0):
-        edges = cut(_star(_star(edges, True), False))
+        edges = _star(_star(edges, True), False)
         if (after := _mark(edges)) == before:
             break
         before = after

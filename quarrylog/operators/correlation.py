@@ -2,37 +2,127 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylog.config import AnalyzerConfig, CorrelationConfig, RiskScoringConfig, block
 from quarrylog.operators.components import connected_components
-from quarrylog.operators.detectors import ALERT, PRIVILEGED
+from quarrylog.operators.detectors import ALERT
 from quarrylog.plans.lineage import cut
 
+#: Severities from the lowest; any other ranks below them all, and counts as MEDIUM where none of them is there.
+SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+
 
 def deduplicate(alerts: DataFrame) -> DataFrame:
-    """The first alert of each type, time, address, user and evidence, with an id that depends on them alone."""
+    """The first alert of each type, time, address, user and evidence, with an id that depends on them alone.
+
+    First is the least ``seq`` (the detector's place; 0 where ``alerts`` has no such column), then the least line.
+    """
     key = ["alert_type", "timestamp", "ip_address", "username", "evidence"]
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("line_no"))
-    df = alerts.select(*ALERT).withColumn("__r", rank).where("__r = 1").drop("__r")
+    seq = F.col("seq") if "seq" in alerts.columns else F.lit(0)
+    df = alerts.select(*ALERT, seq.cast("int").alias("seq"))
+    df = df.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy("seq", "line_no"))).where("__r = 1").drop("__r")
     return df.withColumn("alert_id", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]), 256))
 
 
-def incidents(alerts: DataFrame, window_s: int = 300) -> DataFrame:
-    """Scored incidents of alerts that chains of gaps up to ``window_s`` link by address or user."""
+def address_of(c: str = "ip_address") -> Column:
+    """The address without white space around it; null for "" and "-"."""
+    return F.when(~F.trim(c).isin("", "-"), F.trim(c))
+
+
+def users_of(c: str = "username") -> Column:
+    """The users that an alert names, lower-cased, as an array."""
+    users = F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), lambda u: F.lower(F.trim(u)))
+    return F.array_distinct(F.filter(users, lambda u: ~u.isin("", "-")))
+
+
+def memberships(alerts: DataFrame, config: AnalyzerConfig | CorrelationConfig | None = None) -> DataFrame:
+    """``(alert_id, incident_id)``: alerts that chains of gaps up to the window link by address or user share an incident.
+
+    Every alert of a chain is linked with the chain's first one, so paths are short whatever a chain's length. The id of an
+    incident is the least of its alerts' ids. With correlation disabled each alert is an incident.
+    """
+    c = block(config, CorrelationConfig)
+    if not c.enabled:
+        return alerts.select("alert_id", F.col("alert_id").alias("incident_id"))
+    none = F.array().cast("array<string>")
+    by_ip = F.array(F.concat(F.lit("i|"), address_of())) if c.correlate_by_ip else none
+    by_user = F.transform(users_of(), lambda u: F.concat(F.lit("u|"), u)) if c.correlate_by_user else none
+    at = alerts.select("alert_id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t"), F.explode(F.array_compact(F.concat(by_ip, by_user))).alias("key"))
+    order = Window.partitionBy("key").orderBy("t", "alert_id")
+    far = F.coalesce(F.col("t") - F.lag("t").over(order) > c.window_seconds * 1_000_000, F.lit(True))
+    heads = at.withColumn("far", far).withColumn("head", F.last(F.when(F.col("far"), F.col("alert_id")), ignorenulls=True).over(order))
+    groups = connected_components(heads.where("head <> alert_id").select("alert_id", "head"))
+    return alerts.select("alert_id").join(groups, F.col("alert_id") == F.col("node"), "left").select("alert_id", F.coalesce("component", "alert_id").alias("incident_id"))
+
+
+def correlate(alerts: DataFrame, config: AnalyzerConfig | CorrelationConfig | None = None) -> DataFrame:
+    """A row for each incident, without its risk.
+
+    Lists of addresses, users and alert ids stand in the row; ``memberships`` gives the alerts as rows. attack_chain has the
+    types by their first occurrence.
+    """
     alerts = cut(alerts)
-    none = lambda c: F.when(~c.isin("", "-"), c)
-    users = F.transform(F.split("username", ","), lambda u: F.concat(F.lit("u|"), F.lower(F.trim(u))))
-    keys = F.array_distinct(F.array_compact(F.concat(F.array(F.concat(F.lit("i|"), none(F.trim("ip_address")))), F.filter(users, lambda u: ~u.isin("u|", "u|-")))))
-    at = alerts.select("alert_id", "timestamp", "line_no", F.explode(keys).alias("key")).withColumn("t", F.unix_micros(F.col("timestamp").cast("timestamp")))
-    prior = F.lag(F.struct("t", "alert_id")).over(Window.partitionBy("key").orderBy("t", "line_no", "alert_id"))
-    edges = at.withColumn("p", prior).where(F.col("t") - F.col("p.t") <= window_s * 1_000_000).select("alert_id", F.col("p.alert_id").alias("to"))
-    groups = connected_components(edges)
-    df = alerts.join(groups, alerts["alert_id"] == groups["node"], "left").withColumn("incident_id", F.coalesce("component", "alert_id"))
-    rank = F.expr("CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END")
-    out = df.groupBy("incident_id").agg(F.count("*").alias("alert_count"), F.count_distinct("alert_type").alias("types"), F.min("alert_type").alias("one_type"), F.max(rank).alias("rank"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.max(F.exists(F.split(F.lower("username"), ","), lambda u: F.trim(u).isin(*PRIVILEGED)).cast("int")).alias("privileged"), F.round(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), 9).alias("confidence"))
-    base = F.element_at(F.array(*map(F.lit, (20, 40, 70, 90))), F.col("rank"))
-    plus = lambda c, n: F.when(c, n).otherwise(0)
-    risk = base + plus(F.col("alert_count") >= 2, 10) + plus(F.col("types") >= 2, 10) + plus(F.col("alert_count") > F.col("types"), 5) + plus(F.col("privileged") == 1, 5) + plus(F.col("confidence") >= 0.85, 3)
-    severity = F.element_at(F.array(*map(F.lit, ("LOW", "MEDIUM", "HIGH", "CRITICAL"))), F.col("rank"))
-    return out.select("incident_id", F.when(F.col("types") == 1, F.col("one_type")).otherwise("CORRELATED_ACTIVITY").alias("incident_type"), severity.alias("severity"), "first_seen", "last_seen", "alert_count", F.least(F.lit(100), risk).alias("risk_score"))
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.upper("severity")), F.lit(0))
+    df = alerts.join(memberships(alerts, config), "alert_id").withColumn("rank", rank).withColumn("seq", F.coalesce("seq", F.lit(0)) if "seq" in alerts.columns else F.lit(0))
+    sure = F.when(F.col("confidence") > 0, F.col("confidence"))
+    place = F.struct("timestamp", "seq", "line_no", "alert_id")
+    per_type = df.groupBy("incident_id", "alert_type").agg(
+        F.count("*").alias("n"), F.min(place).alias("first"), F.max("timestamp").alias("last_seen"), F.max("rank").alias("rank"), F.sum(sure).alias("sure"), F.count(sure).alias("n_sure"),
+        F.collect_set(address_of()).alias("ips"), F.flatten(F.collect_set(users_of())).alias("users"), F.collect_list(F.struct("timestamp", "seq", "line_no", "alert_id")).alias("ids"),
+    )
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    out = per_type.groupBy("incident_id").agg(
+        F.sum("n").alias("alert_count"), F.max("n").alias("most"), F.max("rank").alias("rank"), F.min("first.timestamp").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.round(F.try_divide(F.sum("sure"), F.sum("n_sure")), 9).alias("confidence"), merged("ips").alias("source_ips"), merged("users").alias("usernames"),
+        F.transform(F.array_sort(F.flatten(F.collect_list("ids"))), lambda x: x["alert_id"]).alias("alert_ids"),
+        F.transform(F.array_sort(F.collect_list(F.struct("first", "alert_type"))), lambda x: x["alert_type"]).alias("attack_chain"),
+    )
+    kind = F.when(F.size("attack_chain") == 1, F.get("attack_chain", F.lit(0))).otherwise("CORRELATED_ACTIVITY")
+    severity = F.when(F.col("rank") == 0, "MEDIUM").otherwise(F.element_at(F.array(*map(F.lit, SEVERITIES)), F.greatest(F.lit(1), F.col("rank").cast("int"))))
+    about = F.when(F.col("alert_count") == 1, F.concat(F.lit("One alert: "), F.get("attack_chain", F.lit(0)))).otherwise(
+        F.concat(F.col("alert_count").cast("string"), F.lit(" alerts linked by address or user and time: "), F.array_join("attack_chain", ", "))
+    )
+    return out.select(
+        "incident_id", kind.alias("incident_type"), severity.alias("severity"), "first_seen", "last_seen", "alert_count", "source_ips", "usernames", "alert_ids", "attack_chain",
+        F.array_sort("attack_chain").alias("alert_types"), about.alias("description"), F.col("confidence").alias("average_confidence"), (F.col("most") > 1).alias("repeated"),
+    )
+
+
+def score(incidents: DataFrame, config: AnalyzerConfig | RiskScoringConfig | None = None) -> DataFrame:
+    """``incidents`` with risk_score (0 to 100) and risk_breakdown, JSON of the parts that count."""
+    c = block(config, RiskScoringConfig)
+    bases = F.create_map(*[x for s, n in zip(SEVERITIES, (c.base_low, c.base_medium, c.base_high, c.base_critical), strict=True) for x in (F.lit(s), F.lit(n))])
+    base = F.coalesce(F.try_element_at(bases, F.upper("severity")), F.lit(c.base_medium))
+    if not c.enabled:
+        parts = F.struct(base.alias("base_score"), base.alias("final_score"), F.lit("global_risk_scoring_disabled").alias("note"))
+        return incidents.select("*", base.alias("risk_score"), F.to_json(parts).alias("risk_breakdown"))
+    privileged = [u.lower() for u in c.privileged_users]
+    sure = F.coalesce(F.col("average_confidence") >= c.high_confidence_threshold, F.lit(False))
+    bonuses = {
+        "multiple_alert_bonus": (F.col("alert_count") >= 2, c.multiple_alert_bonus),
+        "multiple_attack_type_bonus": (F.size("alert_types") >= 2, c.multiple_attack_type_bonus),
+        "repeated_activity_bonus": (F.col("repeated"), c.repeated_activity_bonus),
+        "privileged_user_bonus": (F.exists("usernames", lambda u: u.isin(*privileged)), c.privileged_user_bonus),
+        "confidence_bonus": (sure, c.high_confidence_bonus),
+    }
+    total = base
+    for cond, n in bonuses.values():
+        total = total + F.when(cond, n).otherwise(0)
+    df = incidents.select("*", base.alias("__base"), F.greatest(F.lit(0), F.least(F.lit(100), total)).alias("risk_score"))
+    parts = F.struct(
+        F.col("__base").alias("base_score"), *[F.when(cond, n).alias(name) for name, (cond, n) in bonuses.items()],
+        F.when(sure, F.round("average_confidence", 3)).alias("average_alert_confidence"), F.col("risk_score").alias("final_score"),
+    )
+    return df.select(*incidents.columns, "risk_score", F.to_json(parts).alias("risk_breakdown"))
+
+
+def incidents(alerts: DataFrame, config: AnalyzerConfig | None = None) -> DataFrame:
+    """Scored incidents, unordered; ``by_risk`` orders them."""
+    return score(correlate(alerts, config), config)
+
+
+def by_risk(found: DataFrame) -> DataFrame:
+    """The riskiest incidents first, of equals the earlier ones."""
+    return found.orderBy(F.desc("risk_score"), "first_seen", "incident_id")

@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylog.functions.text import haversine_km, normalize_request
+from quarrylog.config import AnalyzerConfig, AnomalyConfig, BruteForceConfig, ImpossibleTravelConfig, InsiderThreatConfig, PasswordSprayConfig, block
+from quarrylog.functions.text import folded, haversine_km, html_unescape, url_decoded
 
-PRIVILEGED = ("admin", "root", "administrator")
-SENSITIVE = ("/admin", "/config", "/secret", "/backup", "/.env", "/etc")
-#: Fixed values: (name, pattern, confidence, risk), best match first.
+#: Fixed values: (name, pattern, confidence, risk), in the order in which an alert names those that match.
 SQLI = (
-    ("UNION SELECT", r"\bunion(?:\s+all)?\s+select\b", 0.95, 92), ("OR 1=1", r"\bor\s+1\s*=\s*1\b", 0.95, 90), ("OR '1'='1'", r"\bor\s+'1'\s*=\s*'1'", 0.95, 90),
-    ("DROP TABLE", r"\bdrop\s+table\b", 0.93, 95), ("information_schema", r"\binformation_schema\b", 0.92, 90), ("SLEEP(", r"\bsleep\s*\(", 0.92, 90),
-    ("WAITFOR DELAY", r"\bwaitfor\s+delay\b", 0.92, 90), ("PG_SLEEP(", r"\bpg_sleep\s*\(", 0.92, 90), ("AND 1=1", r"\band\s+1\s*=\s*1\b", 0.90, 88),
-    ("quote-OR tautology", r"'\s*or\s+'[^']*'\s*=\s*'", 0.90, 88), ("DELETE FROM", r"\bdelete\s+from\b", 0.88, 88), ("INSERT INTO", r"\binsert\s+into\b", 0.85, 85), ("UPDATE SET", r"\bupdate\b.+\bset\b", 0.85, 85),
-)
+    ("UNION SELECT", r"\bunion(?:\s+all)?\s+select\b", 0.95, 92),
+    ("OR 1=1", r"\bor\s+1\s*=\s*1\b", 0.95, 90),
+    ("OR '1'='1'", r"\bor\s+'1'\s*=\s*'1'", 0.95, 90),
+    ("AND 1=1", r"\band\s+1\s*=\s*1\b", 0.90, 88),
+    ("quote-OR tautology", r"'\s*or\s+'[^']*'\s*=\s*'", 0.90, 88),
+    ("information_schema", r"\binformation_schema\b", 0.92, 90),
+    ("DROP TABLE", r"\bdrop\s+table\b", 0.93, 95),
+    ("INSERT INTO", r"\binsert\s+into\b", 0.85, 85),
+    ("UPDATE SET", r"\bupdate\b.+\bset\b", 0.85, 85),
+    ("DELETE FROM", r"\bdelete\s+from\b", 0.88, 88),
+    ("SLEEP(", r"\bsleep\s*\(", 0.92, 90),
+    ("WAITFOR DELAY", r"\bwaitfor\s+delay\b", 0.92, 90),
+    ("PG_SLEEP(", r"\bpg_sleep\s*\(", 0.92, 90),
+)
 XSS = (
-    ("<script", r"<\s*script\b", 0.95, 85), ("javascript:", r"\bjavascript\s*:", 0.93, 82), ("onerror=", r"\bonerror\s*=", 0.92, 80), ("onload=", r"\bonload\s*=", 0.92, 80),
-    ("onclick=", r"\bonclick\s*=", 0.90, 78), ("onmouseover=", r"\bonmouseover\s*=", 0.90, 78), ("<svg", r"<\s*svg\b", 0.88, 75), ("<img", r"<\s*img\b", 0.80, 72),
-)
+    ("<script", r"<\s*script\b", 0.95, 85),
+    ("javascript:", r"\bjavascript\s*:", 0.93, 82),
+    ("onerror=", r"\bonerror\s*=", 0.92, 80),
+    ("onload=", r"\bonload\s*=", 0.92, 80),
+    ("onclick=", r"\bonclick\s*=", 0.90, 78),
+    ("onmouseover=", r"\bonmouseover\s*=", 0.90, 78),
+    ("<svg", r"<\s*svg\b", 0.88, 75),
+    ("<img", r"<\s*img\b", 0.80, 72),
+)
+#: (alert type, severity, patterns)
+SQLI_BANK = ("SQL_INJECTION", "CRITICAL", SQLI)
+XSS_BANK = ("XSS", "HIGH", XSS)
 SECOND = 1_000_000
 ALERT = ("alert_type", "severity", "timestamp", "username", "ip_address", "confidence", "risk_score", "line_no", "source", "description", "evidence")
-#: The order in which an alert names the patterns that match.
-SQLI_ORDER = ("UNION SELECT", "OR 1=1", "OR '1'='1'", "AND 1=1", "quote-OR tautology", "information_schema", "DROP TABLE", "INSERT INTO", "UPDATE SET", "DELETE FROM", "SLEEP(", "WAITFOR DELAY", "PG_SLEEP(")
 
 
 def _evidence(**fields: Column) -> Column:
@@ -35,6 +54,18 @@ def _stamp(c: str) -> Column:
     return F.col(c).cast("string")
 
 
+def request_text(entries: DataFrame) -> Column:
+    """The request, or the path where that is empty; '' if both are."""
+    path = F.col("path") if "path" in entries.columns else F.lit("")
+    return F.coalesce(F.nullif("request", F.lit("")), path, F.lit(""))
+
+
+def unusual_hour(c: str, start: int, end: int) -> Column:
+    """Whether the hour lies in [start, end), past midnight where start is the later one; never where they are equal."""
+    hour = F.hour(c)
+    return F.lit(False) if start == end else hour.between(start, end - 1) if start < end else (hour >= start) | (hour < end)
+
+
 def statistics(entries: DataFrame) -> DataFrame:
     count = lambda c: F.count_if(c).cast("long")
     return entries.agg(
@@ -45,35 +76,103 @@ def statistics(entries: DataFrame) -> DataFrame:
 
 
 def top_value(entries: DataFrame, column: str) -> DataFrame:
-    """The most frequent value and its count; of equals the first seen."""
+    """The most frequent value and its count; of equals the first seen; "-" and 0 for no entries."""
     by = entries.groupBy(column).agg(F.count("*").alias("n"), F.min("line_no").alias("first"))
-    return by.agg(F.max(F.struct("n", -F.col("first"), F.col(column).alias("value"))).alias("m")).select("m.value", "m.n")
+    top = by.agg(F.max(F.struct("n", -F.col("first"), F.col(column).alias("value"))).alias("m"))
+    return top.select(F.coalesce("m.value", F.lit("-")).alias("value"), F.coalesce("m.n", F.lit(0)).alias("n"))
+
+
+def web_alerts(entries: DataFrame, banks: Sequence[tuple] = (SQLI_BANK, XSS_BANK)) -> DataFrame:
+    """An alert for each request and bank of which some pattern matches: the surest one, then the riskiest, then the first listed.
+
+    Requests are normalized once for all banks; what leaves a generator isn't computed again by the filters above it.
+    """
+    if not banks:
+        return web_alerts(entries, [SQLI_BANK]).limit(0)
+    keep = ["timestamp", "username", "ip_address", "line_no", "source"]
+    df = entries.where("event_type = 'HTTP_REQUEST'").select(*keep, request_text(entries).alias("request")).where("request <> ''")
+    df = df.select(*keep, "request", F.explode(F.array(url_decoded(F.col("request")))).alias("u"))
+    df = df.select(*keep, "request", F.explode(F.array(folded(html_unescape(F.col("u"))))).alias("normalized"))
+    each = []
+    for alert_type, severity, bank in banks:
+        some = "|".join(f"(?:{p})" for _, p, _, _ in bank)
+        found = [F.when(F.col("normalized").rlike("(?U)" + p), F.struct(F.lit(c).alias("confidence"), F.lit(r).alias("risk_score"), F.lit(-k).alias("k"), F.lit(n).alias("pattern"))) for k, (n, p, c, r) in enumerate(bank)]
+        each.append(F.when(F.col("normalized").rlike("(?U)" + some), F.struct(F.lit(alert_type).alias("alert_type"), F.lit(severity).alias("severity"), F.array_compact(F.array(*found)).alias("hits"))))
+    df = df.select(*keep, "request", "normalized", F.explode(F.array_compact(F.array(*each))).alias("a"))
+    df = df.select("a.alert_type", "a.severity", *keep, "request", "normalized", F.array_max("a.hits").alias("best"), F.transform("a.hits", lambda h: h["pattern"]).alias("names"))
+    evidence = _evidence(pattern=F.col("best.pattern"), request=F.col("request"), normalized_request=F.col("normalized"), matched_indicators=F.col("names"))
+    user, source = F.coalesce(F.nullif("username", F.lit("")), F.lit("-")), F.coalesce(F.nullif("source", F.lit("")), F.lit("apache"))
+    about = F.concat("alert_type", F.lit(" pattern in request: "), "best.pattern").alias("description")
+    return df.select("alert_type", "severity", "timestamp", user.alias("username"), "ip_address", "best.confidence", "best.risk_score", "line_no", source.alias("source"), about, evidence, "best.pattern")
+
+
+def _walk(n_keys: int, threshold: int, window: int, distinct: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Streams rows sorted by key and time; holds the events of one window of one key."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: deque = deque()
+        users: Counter = Counter()
+        out: list[tuple] = []
+        key: tuple | None = None
 
-def web_alerts(entries: DataFrame, bank: tuple, alert_type: str, severity: str) -> DataFrame:
-    """One alert for each request that some pattern of the bank matches, with the best one."""
-    df = entries.where("event_type = 'HTTP_REQUEST' and request <> ''").withColumn("normalized", normalize_request(F.col("request")))
-    hits = F.array_compact(F.array(*[F.when(F.col("normalized").rlike("(?U)" + p), F.struct(F.lit(n).alias("pattern"), F.lit(c).alias("confidence"), F.lit(r).alias("risk_score"))) for n, p, c, r in bank]))
-    df = df.withColumn("hits", hits).where("size(hits) > 0").withColumn("best", F.get("hits", F.lit(0)))
-    listed = [n for n in SQLI_ORDER if bank is SQLI] or [n for n, *_ in bank]
-    names = F.filter(F.array(*map(F.lit, listed)), lambda n: F.exists("hits", lambda h: h["pattern"] == n))
-    evidence = _evidence(pattern=F.col("best.pattern"), request=F.col("request"), normalized_request=F.col("normalized"), matched_indicators=names)
-    return df.select(F.lit(alert_type).alias("alert_type"), F.lit(severity).alias("severity"), "timestamp", "username", "ip_address", "best.confidence", "best.risk_score", "line_no", "source", F.concat(F.lit(f"{alert_type} pattern in request: "), "best.pattern").alias("description"), evidence, "best.pattern")
+        def shut() -> None:
+            """The first window is complete: a burst, or its first event goes."""
+            if (len(users) if distinct else len(held)) >= threshold:
+                members = ",".join(sorted(users)) if distinct else None
+                out.append((*key[:n_keys], held[0][0], held[0][1], len(users) if distinct else len(held), held[-1][0], sorted({x[2] for x in held if x[2]}), members))
+                held.clear(), users.clear()
+            else:
+                user = held.popleft()[3]
+                users[user] -= 1
+                if not users[user]:
+                    del users[user]
+
+        def made() -> pa.RecordBatch:
+            kinds = [*[pa.string()] * n_keys, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.string()]
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            names = [*[f"k{k}" for k in range(n_keys)], "t", "line_no", "n", "end", "seen", "members"]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            for *new, t, line_no, source, user in zip(*columns, strict=True):
+                if (new := tuple(new)) != key:
+                    while held:
+                        shut()
+                    key = new
+                while held and t - held[0][0] > window:
+                    shut()
+                held.append((t, line_no, source, user))
+                users[user] += 1
+            yield made()
+            out.clear()
+        while held:
+            shut()
+        yield made()
+
+    return run
 
 
 def greedy_bursts(df: DataFrame, keys: list[str], threshold: int, window_s: int, distinct: str | None = None) -> DataFrame:
-    """Non-overlapping bursts: from the first event whose window holds enough events (or distinct values), the next search starts after that window."""
-    order = Window.partitionBy(*keys).orderBy("t", "line_no")
-    ahead = Window.partitionBy(*keys).orderBy("t").rangeBetween(0, window_s * SECOND)
-    df = df.withColumn("t", F.unix_micros(F.col("timestamp").cast("timestamp"))).withColumn("rn", F.row_number().over(order))
-    df = df.withColumn("r", F.max("rn").over(ahead))
-    df = df.withColumn("n", (F.size(F.collect_set(distinct).over(ahead)) if distinct else F.col("r") - F.col("rn") + 1).cast("int"))
-    df = df.withColumn("end", F.max("timestamp").over(ahead)).withColumn("seen", F.collect_set("source").over(ahead))
-    members = F.array_join(F.array_sort(F.collect_set(distinct).over(ahead)), ",") if distinct else F.lit(None).cast("string")
-    df = df.withColumn("members", members).where(F.col("n") >= threshold)
-    able = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rn", "r", "n", "timestamp", "line_no", "members", "end", "seen"))).alias("xs"))
-    walk = F.expr("aggregate(xs, named_struct('next', 0, 'out', filter(xs, x -> false)), (a, x) -> IF(x.rn >= a.next, named_struct('next', x.r + 1, 'out', array_append(a.out, x)), a), a -> a.out)")
-    return able.select(*keys, F.explode(walk).alias("b")).select(*keys, F.col("b.timestamp"), F.col("b.n").alias("n"), F.col("b.line_no").alias("line_no"), F.col("b.members").alias("members"), F.col("b.end").alias("end"), F.col("b.seen").alias("seen"))
+    """Non-overlapping bursts: from the first event whose window holds enough events (or distinct values), the next search starts after that window.
+
+    Time is cut into slots as wide as the window. No window spans an empty slot, so a key's runs of filled slots (islands)
+    are walked apart, in many tasks; islands of too few events are dropped before anything but counts is shuffled. One island
+    is streamed by one task, which holds the events of one window.
+    """
+    window = window_s * SECOND
+    t = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    value = F.col(distinct) if distinct else F.lit("")
+    df = df.select(*keys, t.alias("t"), F.floor(t / max(1, window)).alias("slot"), "line_no", "source", value.alias("__value"))
+    slots = df.groupBy(*keys, "slot").agg(F.count("*").alias("n"))
+    slots = slots.withColumn("island", F.col("slot") - F.row_number().over(Window.partitionBy(*keys).orderBy("slot")))
+    slots = slots.withColumn("n", F.sum("n").over(Window.partitionBy(*keys, "island"))).where(F.col("n") >= threshold).drop("n")
+    rows = df.join(slots, [*keys, "slot"]).select(*keys, "island", "t", "line_no", "source", "__value")
+    rows = rows.repartition(*keys, "island").sortWithinPartitions(*keys, "island", "t", "line_no")
+    schema = ", ".join([*[f"k{k} string" for k in range(len(keys))], "t long, line_no long, n int, end long, seen array<string>, members string"])
+    found = rows.mapInArrow(_walk(len(keys), threshold, window, bool(distinct)), schema)
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return found.select(*[F.col(f"k{k}").alias(c) for k, c in enumerate(keys)], at("t").alias("timestamp"), "n", "line_no", "members", at("end").alias("end"), "seen")
 
 
 def _graded(df: DataFrame, alert_type: str, threshold: int, window_s: int, user: Column, **more: Column) -> DataFrame:
@@ -81,66 +180,91 @@ def _graded(df: DataFrame, alert_type: str, threshold: int, window_s: int, user:
     evidence = _evidence(**more, threshold=F.lit(threshold), window_seconds=F.lit(window_s), start_time=_stamp("timestamp"), end_time=_stamp("end"))
     source = F.when(F.size("seen") == 1, F.get("seen", F.lit(0))).otherwise("mixed").alias("source")
     about = F.concat(F.lit(f"{alert_type}: "), F.col("n").cast("string"), F.lit(" within "), F.lit(str(window_s)), F.lit(" s by "), user, F.lit(" from "), "ip_address")
-    return df.select(F.lit(alert_type).alias("alert_type"), F.lit("HIGH").alias("severity"), "timestamp", user.alias("username"), "ip_address", F.least(F.lit(0.99), 0.85 + 0.02 * over).alias("confidence"), F.least(F.lit(95), 70 + 2 * over).alias("risk_score"), "line_no", source, about.alias("description"), evidence, "n")
+    return df.select(F.lit(alert_type).alias("alert_type"), F.lit("HIGH").alias("severity"), "timestamp", user.alias("username"), "ip_address", F.least(F.lit(0.99), 0.85 + 0.02 * over).alias("confidence"), F.least(F.lit(95), 70 + 2 * over).alias("risk_score"), "line_no", source, about.alias("description"), evidence, "n", "end")
+
 
+FAILED = "event_type = 'LOGIN_FAILED' and username <> '' and ip_address <> ''"
 
-def brute_force(entries: DataFrame, threshold: int = 5, window_s: int = 120) -> DataFrame:
-    failed = entries.where("event_type = 'LOGIN_FAILED' and username <> '' and ip_address <> ''")
-    return _graded(greedy_bursts(failed, ["username", "ip_address"], threshold, window_s), "BRUTE_FORCE", threshold, window_s, F.col("username"), attempts=F.col("n"))
 
+def brute_force(entries: DataFrame, config: AnalyzerConfig | BruteForceConfig | None = None) -> DataFrame:
+    """Bursts of failed logins of one user from one address."""
+    c = block(config, BruteForceConfig)
+    found = greedy_bursts(entries.where(FAILED), ["username", "ip_address"], c.failed_attempt_threshold, c.window_seconds)
+    return _graded(found, "BRUTE_FORCE", c.failed_attempt_threshold, c.window_seconds, F.col("username"), attempts=F.col("n"))
 
-def password_spray(entries: DataFrame, threshold: int = 5, window_s: int = 120) -> DataFrame:
-    failed = entries.where("event_type = 'LOGIN_FAILED' and username <> '' and ip_address <> ''")
-    return _graded(greedy_bursts(failed, ["ip_address"], threshold, window_s, "username"), "PASSWORD_SPRAY", threshold, window_s, F.col("members"), unique_users=F.col("n"), users=F.split("members", ","))
 
+def password_spray(entries: DataFrame, config: AnalyzerConfig | PasswordSprayConfig | None = None) -> DataFrame:
+    """Bursts of failed logins of many users from one address; the alert names the users, sorted, with commas between."""
+    c = block(config, PasswordSprayConfig)
+    found = greedy_bursts(entries.where(FAILED), ["ip_address"], c.unique_user_threshold, c.window_seconds, "username")
+    return _graded(found, "PASSWORD_SPRAY", c.unique_user_threshold, c.window_seconds, F.col("members"), unique_users=F.col("n"), users=F.split("members", ","))
 
-def impossible_travel(entries: DataFrame, places: DataFrame, max_speed: float = 900.0) -> DataFrame:
+
+def impossible_travel(entries: DataFrame, places: DataFrame, config: AnalyzerConfig | ImpossibleTravelConfig | None = None) -> DataFrame:
     """Consecutive logins of a user whose places lie too far apart for the time between; an unknown address breaks the pair."""
+    most = float(block(config, ImpossibleTravelConfig).max_plausible_speed_kmh)
     logins = entries.where("event_type = 'LOGIN_SUCCESS' and username not in ('', '-')")
     here = logins.join(places, F.trim("ip_address") == F.col("ip"), "left").withColumn("t", F.unix_micros(F.col("timestamp").cast("timestamp")))
     before = F.lag(F.struct("ip_address", "t", "city", "country", "lat", "lon")).over(Window.partitionBy("username").orderBy("t", "line_no"))
     df = here.withColumn("p", before).where("p.ip_address <> ip_address and p.city <> city")
     df = df.withColumn("km", haversine_km(F.col("p.lat"), F.col("p.lon"), F.col("lat"), F.col("lon"))).withColumn("s", (F.col("t") - F.col("p.t")) / SECOND)
-    df = df.withColumn("speed", F.when(F.col("s") <= 0, F.lit(float("inf"))).otherwise(F.col("km") / (F.col("s") / 3600))).where(F.col("speed") > max_speed)
-    ratio = F.col("speed") / max_speed if max_speed > 0 else F.lit(1.0)
+    df = df.withColumn("speed", F.when(F.col("s") <= 0, F.lit(float("inf"))).otherwise(F.col("km") / (F.col("s") / 3600))).where(F.col("speed") > most)
+    ratio = F.col("speed") / most if most > 0 else F.lit(1.0)
     evidence = _evidence(
         previous_ip=F.col("p.ip_address"), current_ip=F.col("ip_address"), previous_location=F.concat_ws(", ", "p.city", "p.country"), current_location=F.concat_ws(", ", "city", "country"),
-        distance_km=F.round("km", 2), elapsed_seconds=F.col("s"), required_speed_kmh=F.when(F.col("s") > 0, F.round("speed", 2)), configured_speed_threshold=F.lit(max_speed),
+        distance_km=F.round("km", 2), elapsed_seconds=F.col("s"), required_speed_kmh=F.when(F.col("s") > 0, F.round("speed", 2)), configured_speed_threshold=F.lit(most),
     )
     about = F.concat("username", F.lit(" seen in "), "p.city", F.lit(" and then in "), "city").alias("description")
-    return df.select(F.lit("IMPOSSIBLE_TRAVEL").alias("alert_type"), F.lit("HIGH").alias("severity"), "timestamp", "username", "ip_address", F.least(F.lit(0.99), 0.75 + F.least(ratio, F.lit(5.0)) * 0.04).alias("confidence"), F.least(F.lit(95), 70 + (F.least(ratio, F.lit(10.0)) * 2).cast("int")).alias("risk_score"), "line_no", "source", about, evidence)
+    return df.select(F.lit("IMPOSSIBLE_TRAVEL").alias("alert_type"), F.lit("HIGH").alias("severity"), "timestamp", "username", "ip_address", F.least(F.lit(0.99), 0.75 + F.least(ratio, F.lit(5.0)) * 0.04).alias("confidence"), F.least(F.lit(95), 70 + (F.least(ratio, F.lit(10.0)) * 2).cast("int")).alias("risk_score"), "line_no", "source", about, evidence, "km")
 
 
-def insider_scores(entries: DataFrame) -> DataFrame:
-    """A row for each user: the five signals and their score."""
+def insider_scores(entries: DataFrame, config: AnalyzerConfig | InsiderThreatConfig | None = None) -> DataFrame:
+    """A row for each user: counts, the majority address (of equals the first seen), the signals and their score."""
+    c = block(config, InsiderThreatConfig)
     df = entries.where("username not in ('', '-')")
-    request = F.lower("request")
-    hit = (F.col("event_type") == "HTTP_REQUEST") & F.exists(F.array(*map(F.lit, SENSITIVE)), lambda p: F.startswith(request, p))
-    by_ip = df.where("ip_address <> ''").groupBy("username", "ip_address").agg(F.count("*").alias("n")).groupBy("username").agg(F.max("n").alias("majority"), F.count("*").alias("ips")).withColumnRenamed("username", "u")
-    last = lambda c: F.max(F.when(c, F.struct("timestamp", "line_no", "ip_address", "source")))
-    unusual = F.hour("timestamp") < 5
+    request = F.lower(request_text(entries))
+    hit = (F.col("event_type") == "HTTP_REQUEST") & F.exists(F.array(*[F.lit(p.lower()) for p in c.sensitive_path_prefixes]).cast("array<string>"), lambda p: F.startswith(request, p))
+    by_ip = df.where("ip_address <> ''").groupBy("username", "ip_address").agg(F.count("*").alias("n"), F.min(F.struct("timestamp", "line_no")).alias("first"))
+    by_ip = by_ip.groupBy(F.col("username").alias("u")).agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "ip_address")).alias("top"), F.count("*").alias("ips"))
+    last = lambda cond: F.max(F.when(cond, F.struct("timestamp", "line_no", "ip_address", "source")))
+    unusual = unusual_hour("timestamp", c.unusual_hour_start, c.unusual_hour_end)
     users = df.groupBy("username").agg(F.count("*").alias("events"), F.count_if(unusual).alias("unusual_hours"), F.count_if(hit).alias("sensitive"), F.coalesce(last(hit), last(unusual), last(F.lit(True))).alias("anchor"))
     users = users.join(by_ip, F.col("username") == F.col("u"), "left").drop("u")
+    privileged = [u.lower() for u in c.privileged_users]
     signals = (
-        ("privileged_account", F.lower("username").isin(*PRIVILEGED), 30), ("unusual_hour", F.col("unusual_hours") > 0, 20), ("high_activity_volume", F.col("events") >= 20, 20),
-        ("sensitive_resource_access", F.col("sensitive") > 0, 20), ("unusual_source_ip", F.coalesce((F.col("majority") >= 2) & (F.col("ips") > 1), F.lit(False)), 20),
+        ("privileged_account", F.lower("username").isin(*privileged), c.score_privileged), ("unusual_hour", F.col("unusual_hours") > 0, c.score_unusual_hour), ("high_activity_volume", F.col("events") >= c.activity_threshold, c.score_high_activity),
+        ("sensitive_resource_access", F.col("sensitive") > 0, c.score_sensitive_resource), ("unusual_source_ip", F.coalesce((F.col("top.n") <= -2) & (F.col("ips") > 1), F.lit(False)), c.score_unusual_ip),
     )
-    score = sum((F.when(c, n).otherwise(0) for _, c, n in signals), F.lit(0))
-    return users.select("username", "events", "unusual_hours", "sensitive", score.alias("score"), "anchor", F.array_compact(F.array(*[F.when(c, name) for name, c, _ in signals])).alias("signals"))
+    score = sum((F.when(cond, n).otherwise(0) for _, cond, n in signals), F.lit(0))
+    return users.select("username", "events", "unusual_hours", "sensitive", score.alias("score"), "anchor", F.array_compact(F.array(*[F.when(cond, name) for name, cond, _ in signals])).alias("signals"), F.col("top.ip_address").alias("majority_ip"))
 
 
-def insider_threat(entries: DataFrame, threshold: int = 50) -> DataFrame:
-    df = insider_scores(entries).where(F.col("score") >= threshold)
-    evidence = _evidence(score=F.col("score"), threshold=F.lit(threshold), signals=F.col("signals"), event_count=F.col("events"), privileged=F.array_contains("signals", "privileged_account"), unusual_hour_count=F.col("unusual_hours"), sensitive_access_count=F.col("sensitive"))
+def insider_threat(entries: DataFrame, config: AnalyzerConfig | InsiderThreatConfig | None = None) -> DataFrame:
+    """Alerts on users whose score reaches the threshold. Their other addresses are listed in the evidence, for these users only."""
+    threshold = block(config, InsiderThreatConfig).alert_score_threshold
+    df = insider_scores(entries, config).where(F.col("score") >= threshold)
+    others = entries.where("ip_address <> ''").select(F.col("username").alias("u"), "ip_address").join(df.select(F.col("username").alias("u"), "majority_ip"), "u").where("ip_address <> majority_ip")
+    others = others.groupBy("u").agg(F.sort_array(F.collect_set("ip_address")).alias("unusual_ips"))
+    df = df.join(others, F.col("username") == F.col("u"), "left").withColumn("unusual_ips", F.coalesce("unusual_ips", F.array().cast("array<string>")))
+    evidence = _evidence(
+        score=F.col("score"), threshold=F.lit(threshold), signals=F.col("signals"), event_count=F.col("events"), privileged=F.array_contains("signals", "privileged_account"), unusual_hour_count=F.col("unusual_hours"),
+        sensitive_access_count=F.col("sensitive"), majority_ip=F.col("majority_ip"), unusual_ips=F.col("unusual_ips"),
+    )
     about = F.concat(F.lit("Signals of "), "username", F.lit(": "), F.array_join("signals", ", ")).alias("description")
-    return df.select(F.lit("INSIDER_THREAT").alias("alert_type"), F.lit("MEDIUM").alias("severity"), F.col("anchor.timestamp").alias("timestamp"), "username", F.col("anchor.ip_address").alias("ip_address"), F.least(F.lit(0.95), 0.55 + F.col("score") / max(threshold, 1) * 0.2).alias("confidence"), F.least(F.lit(90), 40 + F.floor(F.col("score") / 2).cast("int")).alias("risk_score"), F.col("anchor.line_no").alias("line_no"), F.col("anchor.source").alias("source"), about, evidence)
+    return df.select(
+        F.lit("INSIDER_THREAT").alias("alert_type"), F.lit("MEDIUM").alias("severity"), F.col("anchor.timestamp").alias("timestamp"), "username", F.col("anchor.ip_address").alias("ip_address"),
+        F.least(F.lit(0.95), 0.55 + F.col("score") / max(threshold, 1) * 0.2).alias("confidence"), F.least(F.lit(90), 40 + F.floor(F.col("score") / 2).cast("int")).alias("risk_score"),
+        F.col("anchor.line_no").alias("line_no"), F.col("anchor.source").alias("source"), about, evidence, "majority_ip", "unusual_ips",
+    )
 
 
-def features(entries: DataFrame, entity: str, extra: list[Column] | None = None) -> DataFrame:
+def features(entries: DataFrame, entity: str, extra: list[Column] | None = None, config: AnalyzerConfig | AnomalyConfig | None = None) -> DataFrame:
     """The twelve behaviour features of each address or user, and the ``extra`` aggregates asked for."""
+    c = block(config, AnomalyConfig)
     df = entries.where("username not in ('', '-')") if entity == "username" else entries.where("ip_address <> ''")
-    f = lambda c: F.count_if(c).cast("double")
-    d = lambda c: F.count_distinct(c).cast("double")
+    f = lambda x: F.count_if(x).cast("double")
+    d = lambda x: F.count_distinct(x).cast("double")
     failed, ok, http = (F.col("event_type") == x for x in ("LOGIN_FAILED", "LOGIN_SUCCESS", "HTTP_REQUEST"))
-    out = df.groupBy(F.col(entity).alias("entity_id")).agg(F.count("*").cast("double").alias("total"), f(failed).alias("failed"), f(ok).alias("success"), d(F.when(~F.col("username").isin("", "-"), F.col("username"))).alias("users"), d(F.when(F.col("ip_address") != "", F.col("ip_address"))).alias("ips"), d(F.when(F.col("request") != "", F.col("request"))).alias("paths"), f(http).alias("http"), f(http & (F.col("status_code") >= 400)).alias("http_errors"), f(failed | ok).alias("auth"), f(F.hour("timestamp") < 5).alias("unusual_hours"), d("source").alias("sources"), *(extra or []))
+    unusual = unusual_hour("timestamp", c.unusual_hour_start, c.unusual_hour_end)
+    out = df.groupBy(F.col(entity).alias("entity_id")).agg(F.count("*").cast("double").alias("total"), f(failed).alias("failed"), f(ok).alias("success"), d(F.when(~F.col("username").isin("", "-"), F.col("username"))).alias("users"), d(F.when(F.col("ip_address") != "", F.col("ip_address"))).alias("ips"), d(F.nullif(request_text(entries), F.lit(""))).alias("paths"), f(http).alias("http"), f(http & (F.col("status_code") >= 400)).alias("http_errors"), f(failed | ok).alias("auth"), f(unusual).alias("unusual_hours"), d("source").alias("sources"), *(extra or []))
     return out.withColumn("failed_ratio", F.col("failed") / F.col("total"))

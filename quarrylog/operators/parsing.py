@@ -1,63 +1,142 @@
-"""Classifying and parsing lines: SSH authentication, Windows authentication, web access."""
+"""Classifying and parsing lines: SSH authentication, Windows authentication, web access.
+
+Each format runs one regular expression over a line: its groups are put between separators and split. The entry of a line
+leaves through a generator, so that filters on it don't push the expressions below and run them again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylog.config import AnalyzerConfig
+from quarrylog.exceptions import ParseError
 from quarrylog.functions.text import normalize_line
 
+#: The grammars, in the order in which formats claim a line.
 IP = r"\d{1,3}(?:\.\d{1,3}){3}"
-HINTS = (("linux", r"(?U)sshd\[\d+\]:"), ("windows", r"(?U)EVENT_ID=\d+"), ("apache", rf"(?U)^{IP}\s+\S+\s+\S+\s+\["))
-HEAD = r"(?U)^(\w+\s+\d+\s+\d+:\d+:\d+)\s+\S+\s+sshd\[\d+\]:\s+"
-PASSWORD = HEAD + rf"(Accepted|Failed)\s+password\s+for\s+(?:invalid\s+user\s+)?(\S+)\s+from\s+({IP})\s+port\s+\d+"
-INVALID = HEAD + rf"Invalid\s+user\s+(\S+)\s+from\s+({IP})"
-WINDOWS = rf"(?U)^(\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?)\s+EVENT_ID=(\d+)\s+USER=(\S+)\s+IP=({IP})"
-APACHE = rf'(?U)^({IP})\s+\S+\s+\S+\s+\[([^\]]+?)\s+(?:[+-]\d\d:?\d\d|Z)\]\s+"(\w+)\s+(.*?)\s+HTTP/\d(?:\.\d)?"\s+(\d{{3}})(?:\s|$)'
+LINUX_HINT = r"(?U)sshd\[\d+\]:"
+WINDOWS_HINT = r"(?U)EVENT_ID=\d+"
+APACHE_HINT = rf'(?U)^{IP}\s+\S+\s+\S+\s+\[[^\]]+\]\s+"'
+LINUX = (
+    r"(?Us)^(\w+\s+\d+\s+\d+:\d+:\d+)\s+\S+\s+sshd\[\d+\]:\s+"
+    rf"(?:(Accepted|Failed)\s+password\s+for\s+(?:invalid\s+user\s+)?(\S+)\s+from\s+({IP})\s+port\s+\d+|Invalid\s+user\s+(\S+)\s+from\s+({IP})).*"
+)
+WINDOWS = rf"(?Us)^(\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?)\s+EVENT_ID=(\d+)\s+USER=(\S+)\s+IP=({IP}).*"
+ZONE = r"(?:[+-]\d\d:?[0-5]\d(?::?[0-5]\d(?:\.\d{1,6})?)?|Z)"
+APACHE = rf'(?Us)^({IP})\s+\S+\s+\S+\s+\[([^\]]+?)\s+{ZONE}\]\s+"([A-Z]+)\s+([^\n]+?)\s+HTTP/\d(?:\.\d)?"\s+(\d{{3}}).*'
+#: Stands between fields; like Python, lines count the four information separators as white space.
+MARK, SPACES = "\x1f", "\x1c\x1d\x1e\x1f"
+OWN = ("value", "source", "timestamp", "username", "ip_address", "request", "method", "path", "status_code", "outcome", "status", "event_type")
+
+
+def _entry(text: Column, pattern: str, groups: str, fields: Callable[[list[Column]], dict[str, Column]]) -> Column:
+    """The struct of a line's fields, null where the pattern does not match; ``fields`` gets the matched groups."""
+    order = ("timestamp", "username", "ip_address", "ok", "request", "method", "status_code")
+    n = groups.count(MARK) + 1
+    blank = {"username": F.lit("-"), "request": F.lit(""), "method": F.lit(""), "status_code": F.lit(None)}
+    types = {"timestamp": "timestamp_ntz", "ok": "boolean", "status_code": "int"}
+
+    def build(p: Column) -> Column:
+        found = blank | fields([F.get(p, F.lit(k)) for k in range(n)])
+        return F.when(F.size(p) == n, F.struct(*[found[c].cast(types.get(c, "string")).alias(c) for c in order]))
+
+    parts = F.split(F.regexp_replace(F.translate(text, SPACES, "    "), pattern, groups), MARK)
+    return F.get(F.transform(F.array(parts), build), F.lit(0))
+
+
+def linux_entry(text: Column, year: int = 2026) -> Column:
+    """The fields of an SSH line as a struct; its timestamp is null where the stamp is no date of that year."""
+
+    def fields(g: list[Column]) -> dict[str, Column]:
+        stamp = F.concat(F.lit(f"{year} "), F.regexp_replace(g[0], r"(?U)\s+", " "))
+        return {"timestamp": F.try_to_timestamp(stamp, F.lit("yyyy MMM d H:m:s")), "ok": g[1] == "Accepted", "username": g[2], "ip_address": g[3]}
+
+    return _entry(text, LINUX, MARK.join(("$1", "$2", "$3$5", "$4$6")), fields)
+
+
+def windows_entry(text: Column, year: int = 2026) -> Column:
+    """The fields of a Windows line as a struct; ok is null for events other than logins."""
+
+    def fields(g: list[Column]) -> dict[str, Column]:
+        return {"timestamp": g[0].try_cast("timestamp_ntz"), "ok": F.when(g[1] == "4624", True).when(g[1] == "4625", False), "username": g[2], "ip_address": g[3]}
 
+    return _entry(text, WINDOWS, MARK.join(("$1", "$2", "$3", "$4")), fields)
 
-def parse(lines: DataFrame, year: int = 2026) -> DataFrame:
-    """``lines`` (line_no, value) with outcome (parsed, malformed, unsupported) and the fields of an entry.
 
-    The first format whose hint fits claims a line, in the order linux, windows, apache; a claimed line that does not parse is malformed.
+def apache_entry(text: Column, year: int = 2026) -> Column:
+    """The fields of an access line as a struct; the zone must be there and is not applied."""
+
+    def fields(g: list[Column]) -> dict[str, Column]:
+        code = g[4].try_cast("int")
+        return {"timestamp": F.try_to_timestamp(g[1], F.lit("d/MMM/yyyy:H:m:s")), "ok": code < 400, "ip_address": g[0], "request": g[3], "method": g[2], "status_code": code}
+
+    return _entry(text, APACHE, MARK.join(("$1", "$2", "$3", "$4", "$5")), fields)
+
+
+@dataclass(frozen=True)
+class Format:
+    """A log format: which lines it claims, and the struct of their fields (null: malformed)."""
+
+    source: str
+    claims: Callable[[Column], Column]
+    entry: Callable[[Column, int], Column]
+
+
+FORMATS = (
+    Format("linux", lambda c: c.contains("sshd[") & c.rlike(LINUX_HINT), linux_entry),
+    Format("windows", lambda c: c.contains("EVENT_ID=") & c.rlike(WINDOWS_HINT), windows_entry),
+    Format("apache", lambda c: c.rlike(APACHE_HINT), apache_entry),
+)
+
+
+def parse(lines: DataFrame, year: int | None = None, config: AnalyzerConfig | None = None, formats: Sequence[Format] = FORMATS) -> DataFrame:
+    """``lines`` (value and others, such as line_no) with outcome (parsed, malformed, unsupported) and the fields of an entry.
+
+    The first format that claims a line has it; a claimed line that does not parse is malformed. Blank and null lines are
+    unsupported. ``year`` goes before the configuration's. Columns of ``lines`` with the names of fields are replaced.
     """
-    df = lines.withColumn("value", normalize_line(F.col("value")))
-    source = F.lit(None).cast("string")
-    for name, hint in reversed(HINTS):
-        source = F.when(F.col("value").rlike(hint), name).otherwise(source)
-    df = df.withColumn("source", source)
-    get = lambda p, i: F.nullif(F.regexp_extract("value", p, i), F.lit(""))
-    linux, windows, apache = (F.col("source") == x for x in ("linux", "windows", "apache"))
-    stamp = F.regexp_replace(F.coalesce(get(PASSWORD, 1), get(INVALID, 1)), r"\s+", " ")
-    linux_ts = F.try_to_timestamp(F.concat(F.lit(f"{year} "), stamp), F.lit("yyyy MMM d H:m:s"))
-    windows_ts = get(WINDOWS, 1).try_cast("timestamp_ntz").cast("timestamp")
-    apache_ts = F.try_to_timestamp(get(APACHE, 2), F.lit("dd/MMM/yyyy:HH:mm:ss"))
-    code = get(APACHE, 5).try_cast("int")
-    ok = F.when(linux, get(PASSWORD, 2) == "Accepted").when(windows, F.when(get(WINDOWS, 2) == "4624", True).when(get(WINDOWS, 2) == "4625", False)).when(apache, code < 400)
-    ok = F.when(linux & ok.isNull() & get(INVALID, 2).isNotNull(), False).otherwise(ok)
-    df = df.select(
-        "line_no",
+    if "value" not in lines.columns:
+        raise ParseError("lines need a column value")
+    year = year if year is not None else (config or AnalyzerConfig()).default_log_year
+    rest = [c for c in lines.columns if c not in OWN]
+    df = lines.select(*rest, normalize_line(F.col("value")).alias("value"))
+    source, entry = F.lit(None).cast("string"), None
+    for f in formats[::-1]:
+        source = F.when(f.claims(F.col("value")), f.source).otherwise(source)
+    df = df.select(*rest, "value", source.alias("source"))
+    for f in formats:
+        made = f.entry(F.col("value"), year)
+        entry = F.when(F.col("source") == f.source, made) if entry is None else entry.when(F.col("source") == f.source, made)
+    df = df.select(*rest, "value", "source", F.explode(F.array(entry)).alias("e"))
+    apache = F.col("source") == "apache"
+    whole = F.col("e.timestamp").isNotNull() & F.col("e.ok").isNotNull()
+    return df.select(
+        *rest,
         "value",
         "source",
-        F.when(linux, linux_ts).when(windows, windows_ts).when(apache, apache_ts).cast("timestamp_ntz").alias("timestamp"),
-        F.when(linux, F.coalesce(get(PASSWORD, 3), get(INVALID, 2))).when(windows, get(WINDOWS, 3)).when(apache, "-").alias("username"),
-        F.when(linux, F.coalesce(get(PASSWORD, 4), get(INVALID, 3))).when(windows, get(WINDOWS, 4)).when(apache, get(APACHE, 1)).alias("ip_address"),
-        ok.alias("ok"),
-        F.when(apache, F.coalesce(get(APACHE, 4), F.lit(""))).otherwise("").alias("request"),
-        F.when(apache, F.coalesce(get(APACHE, 3), F.lit(""))).otherwise("").alias("method"),
-        F.when(apache, code).alias("status_code"),
+        *[F.col(f"e.{c}") for c in ("timestamp", "username", "ip_address", "request", "method")],
+        F.col("e.request").alias("path"),
+        "e.status_code",
+        F.when(F.col("source").isNull(), "unsupported").when(whole, "parsed").otherwise("malformed").alias("outcome"),
+        F.when(F.col("e.ok"), "SUCCESS").otherwise("FAILED").alias("status"),
+        F.when(apache, "HTTP_REQUEST").when(F.col("e.ok"), "LOGIN_SUCCESS").otherwise("LOGIN_FAILED").alias("event_type"),
     )
-    whole = F.col("timestamp").isNotNull() & F.col("ok").isNotNull() & F.col("ip_address").isNotNull()
-    df = df.withColumn("outcome", F.when(F.col("source").isNull(), "unsupported").when(whole, "parsed").otherwise("malformed"))
-    status = F.when(F.col("ok"), "SUCCESS").otherwise("FAILED")
-    kind = F.when(F.col("source") == "apache", "HTTP_REQUEST").when(F.col("ok"), "LOGIN_SUCCESS").otherwise("LOGIN_FAILED")
-    return df.withColumn("status", status).withColumn("event_type", kind).withColumn("path", F.col("request")).drop("ok")
+
+
+def parse_logs(lines: DataFrame, year: int | None = None, config: AnalyzerConfig | None = None, formats: Sequence[Format] = FORMATS) -> DataFrame:
+    """The entries of the lines that parse; raw_message is the normalized line."""
+    return parse(lines, year, config, formats).where("outcome = 'parsed'").drop("outcome").withColumnRenamed("value", "raw_message")
 
 
 def parse_stats(parsed: DataFrame) -> DataFrame:
+    """One row of counts over the rows of ``parse``."""
     count = lambda c: F.count_if(c).cast("long")
     is_parsed = F.col("outcome") == "parsed"
     return parsed.agg(
         F.count("*").alias("total_lines"), count(is_parsed).alias("parsed_lines"), count(F.col("outcome") == "malformed").alias("malformed_lines"), count(F.col("outcome") == "unsupported").alias("unsupported_lines"),
-        *[count(is_parsed & (F.col("source") == s)).alias(f"{s}_lines") for s, _ in HINTS],
+        *[count(is_parsed & (F.col("source") == f.source)).alias(f"{f.source}_lines") for f in FORMATS],
     )

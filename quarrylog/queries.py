@@ -1,66 +1,110 @@
 """Queries over the test tables, by name, with the SQL that must give the same rows.
 
-The tables hold no logs, so entries are derived from ``events`` by SQL that both engines run; as its events of one user lie
-hours apart, the burst detectors run with windows of days.
+The tables hold no logs, so lines and entries are derived from ``events`` by SQL that both engines run; as its events of one
+user lie hours apart, the burst detectors run with windows of days.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylog.config import AnalyzerConfig, AnomalyConfig, BruteForceConfig, PasswordSprayConfig
 from quarrylog.operators import anomaly, correlation, detectors, parsing
+from quarrylog.plans.lineage import cut
+from quarrylog.reporting import severity_counts
+from quarrylog.service import find_alerts
 from quarrylog.sources.logs import ENTRIES_SQL, PLACES, log_entries, places
 
 DAY = 86_400
 #: The derived logs have eleven addresses only, so the forest is grown from ten entities on.
 FEW = 10
-BURST = {"threshold": 3, "window_s": 3 * DAY}
-LINES_SQL = """SELECT event_id AS line_no, CASE event_id % 5
- WHEN 0 THEN concat(strftime(ts, '%b %d %H:%M:%S'), ' host sshd[', CAST(event_id AS STRING), ']: Failed password for invalid user u', CAST(user_id AS STRING), ' from 10.0.0.', CAST(user_id % 200 AS STRING), ' port 22 ssh2')
- WHEN 1 THEN concat(strftime(ts, '%Y-%m-%dT%H:%M:%S'), ' EVENT_ID=', CASE event_id % 3 WHEN 0 THEN '4624' WHEN 1 THEN '4625' ELSE '4700' END, ' USER=u', CAST(user_id AS STRING), ' IP=10.0.1.7')
- WHEN 2 THEN concat('10.0.2.9 - - [', strftime(ts, '%d/%b/%Y:%H:%M:%S'), ' +0000] "GET /p?id=', CAST(event_id AS STRING), ' HTTP/1.1" 404 12')
- WHEN 3 THEN 'sshd[1]: garbage' ELSE 'nothing known' END AS value FROM events"""
-
-
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = LINES_SQL.replace("strftime", "date_format")
-    for a, b in (("%b %d %H:%M:%S", "MMM dd HH:mm:ss"), ("%Y-%m-%dT%H:%M:%S", "yyyy-MM-dd''T''HH:mm:ss"), ("%d/%b/%Y:%H:%M:%S", "dd/MMM/yyyy:HH:mm:ss")):
-        sql = sql.replace(a, b)
-    return spark.sql(sql.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
-
-
-def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All detectors' alerts, in the order in which they are registered, without repeats."""
-    e = log_entries(spark, sf_dir)
-    found = [
-        detectors.brute_force(e, **BURST), detectors.password_spray(e, **BURST), detectors.web_alerts(e, detectors.SQLI, "SQL_INJECTION", "CRITICAL"),
-        detectors.web_alerts(e, detectors.XSS, "XSS", "HIGH"), detectors.impossible_travel(e, places(spark)), detectors.insider_threat(e),
-    ]
-    out = found[0].select(*detectors.ALERT)
-    for df in found[1:]:
-        out = out.unionByName(df.select(*detectors.ALERT))
-    return correlation.deduplicate(out)
+CONFIG = AnalyzerConfig(
+    brute_force=BruteForceConfig(failed_attempt_threshold=3, window_seconds=3 * DAY),
+    password_spray=PasswordSprayConfig(unique_user_threshold=3, window_seconds=3 * DAY),
+    anomaly=AnomalyConfig(minimum_samples=FEW, alert_threshold=60.0),
+)
+#: The rules alone: the forest's alerts can't be had from SQL.
+RULES = replace(CONFIG, anomaly=replace(CONFIG.anomaly, enabled=False))
+#: Lines of all formats, well and badly formed; %L(ts) and the like stand for a formatted time.
+LINES_SQL = """SELECT event_id AS line_no, CASE event_id % 16
+ WHEN 0 THEN concat(%L(ts), ' host sshd[', CAST(event_id AS STRING), ']: Failed password for invalid user u', CAST(user_id AS STRING), ' from 10.0.0.', CAST(user_id % 200 AS STRING), ' port 22 ssh2')
+ WHEN 1 THEN concat(%W(ts), ' EVENT_ID=', CASE event_id % 3 WHEN 0 THEN '4624' WHEN 1 THEN '4625' ELSE '4700' END, ' USER=u', CAST(user_id AS STRING), ' IP=10.0.1.7')
+ WHEN 2 THEN concat('10.0.2.9 - - [', %A(ts), ' +0000] "GET /p?id=', CAST(event_id AS STRING), ' HTTP/1.1" 404 12')
+ WHEN 3 THEN 'sshd[1]: garbage'
+ WHEN 4 THEN concat('   ', %L(ts), '  host  sshd[7]: Accepted password for u', CAST(user_id AS STRING), ' from 10.0.0.1 port 22 ')
+ WHEN 5 THEN concat(%L(ts), ' host sshd[7]: Invalid user u', CAST(user_id AS STRING), ' from 10.9.0.1')
+ WHEN 6 THEN concat('10.0.2.9 - bob [', %A(ts), ' Z] "POST /a b HTTP/2" 2000 -')
+ WHEN 7 THEN '1.2.3.4 - - [garbage'
+ WHEN 8 THEN concat('10.0.2.9 - - [', %A(ts), ' +0530] "get /lower HTTP/1.1" 200 1')
+ WHEN 9 THEN concat('10.0.2.9 - - [', %A(ts), ' +0000] "GET  HTTP/1.1" 200 1')
+ WHEN 10 THEN concat('10.0.2.9 - - [', %A(ts), ' -05:00] "GET /?EVENT_ID=', CAST(event_id AS STRING), ' HTTP/1.1" 200 1')
+ WHEN 11 THEN concat('Feb 30 10:00:0', CAST(event_id % 10 AS STRING), ' host sshd[9]: Failed password for x from 10.0.0.1 port 1')
+ WHEN 12 THEN concat('10.0.2.9 - - [', %A(ts), '] "GET /nozone HTTP/1.1" 200 1')
+ WHEN 13 THEN concat(%W(ts), '.25 EVENT_ID=4624 USER=', CAST(user_id AS STRING), ' IP=300.1.2.3 more')
+ WHEN 14 THEN ''
+ ELSE 'nothing known' END AS value FROM events"""
+_FORMATS = {"L": ("%b %d %H:%M:%S", "MMM dd HH:mm:ss"), "W": ("%Y-%m-%dT%H:%M:%S", "yyyy-MM-dd'T'HH:mm:ss"), "A": ("%d/%b/%Y:%H:%M:%S", "dd/MMM/yyyy:HH:mm:ss")}
+
+
+def _lines_sql(duckdb: bool) -> str:
+    sql = LINES_SQL
+    for mark, (theirs, ours) in _FORMATS.items():
+        made = f"strftime(ts, '{theirs}')" if duckdb else "date_format(ts, '{}')".format(ours.replace("'", "''"))
+        sql = sql.replace(f"%{mark}(ts)", made)
+    return sql
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_lines_sql(False).replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.parse(log_lines(spark, sf_dir), 2024)
+
+
+def _alerts(spark: SparkSession, sf_dir: str, config: AnalyzerConfig) -> DataFrame:
+    return cut(find_alerts(cut(log_entries(spark, sf_dir)), config))
+
+
+def _web(spark: SparkSession, sf_dir: str, bank: tuple) -> DataFrame:
+    found = detectors.web_alerts(log_entries(spark, sf_dir), [bank])
+    names = F.from_json("evidence", "matched_indicators array<string>")["matched_indicators"]
+    return found.select("line_no", "pattern", "severity", "username", _six("confidence"), F.col("risk_score").cast("long"), F.array_join(names, "|").alias("indicators"))
+
+
+def _six(c: str) -> Column:
+    return F.round(c, 6).alias(c)
+
+
+def _flat(incidents: DataFrame) -> DataFrame:
+    joined = [F.array_join(c, "|").alias(c) for c in ("source_ips", "usernames", "attack_chain", "alert_types")]
+    return incidents.select("incident_type", "severity", "first_seen", "last_seen", "alert_count", *joined, F.col("risk_score").cast("long").alias("risk_score"))
 
 
 QUERIES = {
-    "parse_classify": lambda s, d: parsing.parse(_lines(s, d), 2024).select("line_no", "outcome", F.coalesce("source", F.lit("")).alias("source")),
-    "parse_entries": lambda s, d: parsing.parse(_lines(s, d), 2024).where("outcome = 'parsed'").select("line_no", "source", "timestamp", "username", "ip_address", "status", "event_type", "path", "status_code"),
-    "parse_stats": lambda s, d: parsing.parse_stats(parsing.parse(_lines(s, d), 2024)),
+    "parse_classify": lambda s, d: _parsed(s, d).select("line_no", "outcome", F.coalesce("source", F.lit("")).alias("source")),
+    "parse_entries": lambda s, d: _parsed(s, d).where("outcome = 'parsed'").select("line_no", "source", "timestamp", "username", "ip_address", "status", "event_type", "method", "path", "status_code"),
+    "parse_stats": lambda s, d: parsing.parse_stats(_parsed(s, d)),
     "statistics": lambda s, d: detectors.statistics(log_entries(s, d)),
     "top_user": lambda s, d: detectors.top_value(log_entries(s, d), "username"),
     "top_ip": lambda s, d: detectors.top_value(log_entries(s, d), "ip_address"),
-    "sqli_alerts": lambda s, d: detectors.web_alerts(log_entries(s, d), detectors.SQLI, "SQL_INJECTION", "CRITICAL").select("line_no", "pattern"),
-    "xss_alerts": lambda s, d: detectors.web_alerts(log_entries(s, d), detectors.XSS, "XSS", "HIGH").select("line_no", "pattern"),
-    "brute_force": lambda s, d: detectors.brute_force(log_entries(s, d), **BURST).select("username", "ip_address", "timestamp", F.col("n").cast("long").alias("attempts")),
-    "password_spray": lambda s, d: detectors.password_spray(log_entries(s, d), **BURST).select("ip_address", "timestamp", F.col("n").cast("long").alias("unique_users")),
-    "impossible_travel": lambda s, d: detectors.impossible_travel(log_entries(s, d), places(s)).select("username", "ip_address", "timestamp", "line_no"),
-    "insider_scores": lambda s, d: detectors.insider_scores(log_entries(s, d)).select("username", "events", "unusual_hours", "sensitive", F.col("score").cast("long").alias("score")),
+    "sqli_alerts": lambda s, d: _web(s, d, detectors.SQLI_BANK),
+    "xss_alerts": lambda s, d: _web(s, d, detectors.XSS_BANK),
+    "brute_force": lambda s, d: detectors.brute_force(log_entries(s, d), CONFIG).select("username", "ip_address", "timestamp", "end", "source", F.col("n").cast("long").alias("attempts"), _six("confidence"), F.col("risk_score").cast("long")),
+    "password_spray": lambda s, d: detectors.password_spray(log_entries(s, d), CONFIG).select("ip_address", "timestamp", "end", F.col("username").alias("users"), F.col("n").cast("long").alias("unique_users"), _six("confidence"), F.col("risk_score").cast("long")),
+    "impossible_travel": lambda s, d: detectors.impossible_travel(log_entries(s, d), places(s)).select("username", "ip_address", "timestamp", "line_no", F.round("km", 3).alias("km"), _six("confidence"), F.col("risk_score").cast("long")),
+    "insider_scores": lambda s, d: detectors.insider_scores(log_entries(s, d)).select("username", "events", "unusual_hours", "sensitive", F.col("score").cast("long").alias("score"), "majority_ip"),
+    "insider_threat": lambda s, d: detectors.insider_threat(log_entries(s, d)).select("username", "timestamp", "ip_address", "line_no", _six("confidence"), F.col("risk_score").cast("long"), "majority_ip", F.array_join("unusual_ips", "|").alias("unusual_ips")),
     "features_ip": lambda s, d: detectors.features(log_entries(s, d), "ip_address"),
     "features_user": lambda s, d: detectors.features(log_entries(s, d), "username"),
-    "alert_counts": lambda s, d: _alerts(s, d).groupBy("alert_type", "severity").agg(F.count("*").alias("n")),
+    "alert_counts": lambda s, d: _alerts(s, d, RULES).groupBy("alert_type", "severity").agg(F.count("*").alias("n")),
+    "alert_severities": lambda s, d: severity_counts(_alerts(s, d, RULES)),
     "anomaly_scores": lambda s, d: anomaly.score(anomaly.entity_vectors(log_entries(s, d)), minimum=FEW).select("entity_type", "entity_id", "decision", "score"),
-    "incident_risk": lambda s, d: correlation.incidents(_alerts(s, d)),
+    "incident_risk": lambda s, d: _flat(correlation.incidents(_alerts(s, d, RULES), RULES)),
+    "incident_risk_with_anomalies": lambda s, d: _flat(correlation.incidents(_alerts(s, d, CONFIG), CONFIG)),
 }
 
 _E = f"WITH e AS ({ENTRIES_SQL})"
@@ -71,37 +115,85 @@ _FEATURES = """SELECT {c} AS entity_id, CAST(count(*) AS DOUBLE) AS total, CAST(
  CAST(count(*) FILTER (event_type = 'HTTP_REQUEST') AS DOUBLE) AS http, CAST(count(*) FILTER (event_type = 'HTTP_REQUEST' AND status_code >= 400) AS DOUBLE) AS http_errors, CAST(count(*) FILTER (event_type <> 'HTTP_REQUEST') AS DOUBLE) AS auth,
  CAST(count(*) FILTER (hour(timestamp) < 5) AS DOUBLE) AS unusual_hours, CAST(count(DISTINCT source) AS DOUBLE) AS sources, count(*) FILTER (event_type = 'LOGIN_FAILED') / count(*) AS failed_ratio FROM e {w} GROUP BY 1"""
 _PLACES = ", ".join(f"('{ip}', '{city}', {lat}, {lon})" for ip, city, lat, lon, _ in PLACES)
-
-
-def _bursts(keys: str, measure: str, out: str) -> str:
+_LINES = rf"""WITH raw AS ({_lines_sql(True)}), n AS (SELECT line_no, regexp_replace(value, '^\s+|\s+$', '', 'g') AS v FROM raw),
+ c AS (SELECT *, CASE WHEN regexp_matches(v, 'sshd\[\d+\]:') THEN 'linux' WHEN regexp_matches(v, 'EVENT_ID=\d+') THEN 'windows' WHEN regexp_matches(v, '^\d{{1,3}}(\.\d{{1,3}}){{3}}\s+\S+\s+\S+\s+\[[^\]]+\]\s+"') THEN 'apache' END AS source FROM n),
+ l AS (SELECT *, regexp_extract(v, '^(\w+\s+\d+\s+\d+:\d+:\d+)\s+\S+\s+sshd\[\d+\]:\s+(Accepted|Failed)\s+password\s+for\s+(?:invalid\s+user\s+)?(\S+)\s+from\s+(\d{{1,3}}(?:\.\d{{1,3}}){{3}})\s+port\s+\d+', ['ts', 'said', 'user', 'ip']) AS p,
+  regexp_extract(v, '^(\w+\s+\d+\s+\d+:\d+:\d+)\s+\S+\s+sshd\[\d+\]:\s+Invalid\s+user\s+(\S+)\s+from\s+(\d{{1,3}}(?:\.\d{{1,3}}){{3}})', ['ts', 'user', 'ip']) AS i,
+  regexp_extract(v, '^(\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?)\s+EVENT_ID=(\d+)\s+USER=(\S+)\s+IP=(\d{{1,3}}(?:\.\d{{1,3}}){{3}})', ['ts', 'event', 'user', 'ip']) AS w,
+  regexp_extract(v, '^(\d{{1,3}}(?:\.\d{{1,3}}){{3}})\s+\S+\s+\S+\s+\[([^\]]+?)\s+(?:[+-]\d\d:?[0-5]\d|Z)\]\s+"([A-Z]+)\s+(.+?)\s+HTTP/\d(?:\.\d)?"\s+(\d{{3}})', ['ip', 'ts', 'method', 'path', 'code']) AS a FROM c),
+ f AS (SELECT *, CASE source WHEN 'linux' THEN try_strptime('2024 ' || regexp_replace(CASE WHEN p.ts <> '' THEN p.ts ELSE i.ts END, '\s+', ' ', 'g'), '%Y %b %d %H:%M:%S') WHEN 'windows' THEN TRY_CAST(w.ts AS TIMESTAMP) WHEN 'apache' THEN try_strptime(a.ts, '%d/%b/%Y:%H:%M:%S') END AS stamp,
+  CASE source WHEN 'linux' THEN CASE WHEN p.said = 'Accepted' THEN true WHEN p.said = 'Failed' OR i.user <> '' THEN false END WHEN 'windows' THEN CASE w.event WHEN '4624' THEN true WHEN '4625' THEN false END WHEN 'apache' THEN TRY_CAST(a.code AS INTEGER) < 400 END AS ok FROM l),
+ p AS (SELECT line_no, coalesce(source, '') AS source, stamp AS timestamp, CASE source WHEN 'linux' THEN coalesce(nullif(p.user, ''), i.user) WHEN 'windows' THEN w.user ELSE '-' END AS username,
+  CASE source WHEN 'linux' THEN coalesce(nullif(p.ip, ''), i.ip) WHEN 'windows' THEN w.ip ELSE a.ip END AS ip_address, CASE WHEN ok THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+  CASE WHEN source = 'apache' THEN 'HTTP_REQUEST' WHEN ok THEN 'LOGIN_SUCCESS' ELSE 'LOGIN_FAILED' END AS event_type, CASE WHEN source = 'apache' THEN a.method ELSE '' END AS method, CASE WHEN source = 'apache' THEN a.path ELSE '' END AS path,
+  CASE WHEN source = 'apache' THEN TRY_CAST(a.code AS INTEGER) END AS status_code, CASE WHEN source IS NULL THEN 'unsupported' WHEN stamp IS NOT NULL AND ok IS NOT NULL THEN 'parsed' ELSE 'malformed' END AS outcome FROM f)"""
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _bank(bank: tuple, where: str = "e") -> str:
+    """The best pattern of each request, its confidence and risk, and all that match."""
+    kind, severity, patterns = bank
+    best = sorted(patterns, key=lambda p: (-p[2], -p[3]))
+    case = lambda k: " ".join(f"WHEN regexp_matches(q, {_quoted(p[1])}) THEN {_quoted(p[0]) if k == 0 else p[k]}" for p in best)
+    names = ", ".join(f"CASE WHEN regexp_matches(q, {_quoted(p[1])}) THEN {_quoted(p[0])} END" for p in patterns)
+    return f"""SELECT '{kind}' AS alert_type, '{severity}' AS severity, line_no, timestamp, username, ip_address, request, CASE {case(0)} END AS pattern, CAST(CASE {case(2)} END AS DOUBLE) AS confidence, CAST(CASE {case(3)} END AS BIGINT) AS risk_score,
+ concat_ws('|', {names}) AS indicators FROM (SELECT *, {_NORMAL} AS q FROM {where} WHERE event_type = 'HTTP_REQUEST' AND request <> '') WHERE pattern IS NOT NULL"""
+
+
+def _bursts(keys: str, measure: str, out: str, more: str, tag: str = "") -> tuple[str, str]:
+    """(common table expressions, select) of the greedy bursts."""
     same = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    of_a = ", ".join(f"a.{k}" for k in keys.split(", "))
     frame = f"OVER (PARTITION BY {keys} ORDER BY t RANGE BETWEEN CURRENT ROW AND {3 * DAY * 1_000_000} FOLLOWING)"
-    return f"""WITH RECURSIVE e AS ({ENTRIES_SQL}), f AS (SELECT *, epoch_us(timestamp) AS t, row_number() OVER (PARTITION BY {keys} ORDER BY timestamp, line_no) AS rn FROM e WHERE event_type = 'LOGIN_FAILED'),
- g AS (SELECT *, max(rn) {frame} AS r, {measure.replace('FRAME', frame)} AS u FROM f), c AS (SELECT *, CASE WHEN u = -1 THEN r - rn + 1 ELSE u END AS n FROM g), able AS (SELECT * FROM c WHERE n >= 3),
- nxt AS (SELECT {', '.join('a.' + k for k in keys.split(', '))}, a.rn, min(b.rn) AS after FROM able a LEFT JOIN able b ON {same} AND b.rn > a.r GROUP BY ALL),
- walk AS (SELECT {keys}, min(rn) AS rn FROM able GROUP BY {keys} UNION ALL SELECT {', '.join('a.' + k for k in keys.split(', '))}, b.after FROM walk a JOIN nxt b ON {same} AND a.rn = b.rn WHERE b.after IS NOT NULL)
- SELECT {', '.join('a.' + k for k in keys.split(', '))}, b.timestamp, CAST(b.n AS BIGINT) AS {out} FROM walk a JOIN able b ON {same} AND a.rn = b.rn"""
-
-
-def _claim(value: str) -> str:
-    return f"CASE event_id % 5 {value} END"
-
-
-_OUTCOME = _claim("WHEN 0 THEN 'parsed' WHEN 1 THEN CASE event_id % 3 WHEN 2 THEN 'malformed' ELSE 'parsed' END WHEN 2 THEN 'parsed' WHEN 3 THEN 'malformed' ELSE 'unsupported'")
-_SOURCE = _claim("WHEN 0 THEN 'linux' WHEN 1 THEN 'windows' WHEN 2 THEN 'apache' WHEN 3 THEN 'linux' ELSE ''")
-def _bank(bank: tuple) -> str:
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    cases = " ".join(f"WHEN regexp_matches(q, {quoted(p)}) THEN {quoted(n)}" for n, p, _, _ in bank)
-    return f"{_E}, m AS (SELECT line_no, CASE {cases} END AS pattern FROM (SELECT line_no, {_NORMAL} AS q FROM e)) SELECT line_no, pattern FROM m WHERE pattern IS NOT NULL"
-
+    with_ = f"""f{tag} AS (SELECT *, epoch_us(timestamp) AS t, row_number() OVER (PARTITION BY {keys} ORDER BY timestamp, line_no) AS rn FROM e WHERE event_type = 'LOGIN_FAILED'),
+ g{tag} AS (SELECT *, max(rn) {frame} AS r, {measure.replace('FRAME', frame)} AS u, max(timestamp) {frame} AS "end", list(username) {frame} AS members, list(source) {frame} AS seen FROM f{tag}), c{tag} AS (SELECT *, CASE WHEN u = -1 THEN r - rn + 1 ELSE u END AS n FROM g{tag}), able{tag} AS (SELECT * FROM c{tag} WHERE n >= 3),
+ nxt{tag} AS (SELECT {of_a}, a.rn, min(b.rn) AS after FROM able{tag} a LEFT JOIN able{tag} b ON {same} AND b.rn > a.r GROUP BY ALL),
+ walk{tag} AS (SELECT {keys}, min(rn) AS rn FROM able{tag} GROUP BY {keys} UNION ALL SELECT {of_a}, b.after FROM walk{tag} a JOIN nxt{tag} b ON {same} AND a.rn = b.rn WHERE b.after IS NOT NULL)"""
+    graded = "round(least(0.99::DOUBLE, 0.85::DOUBLE + 0.02::DOUBLE * (b.n - 3)), 6) AS confidence, CAST(least(95, 70 + 2 * (b.n - 3)) AS BIGINT) AS risk_score"
+    return with_, f"""SELECT {of_a}, b.timestamp, b."end", {more}, CAST(b.n AS BIGINT) AS {out}, {graded} FROM walk{tag} a JOIN able{tag} b ON {same} AND a.rn = b.rn"""
+
+
+_MEMBERS = "array_to_string(list_sort(list_distinct(b.members)), ',')"
+_FORCE = _bursts("username, ip_address", "-1", "attempts", "CASE WHEN len(list_distinct(b.seen)) = 1 THEN b.seen[1] ELSE 'mixed' END AS source")
+_SPRAY = _bursts("ip_address", "count(DISTINCT username) FRAME", "unique_users", f"{_MEMBERS} AS users", "_s")
+_TRAVEL = f"""places(ip, city, lat, lon) AS (VALUES {_PLACES}), h AS (SELECT e.*, l.* FROM e LEFT JOIN places l ON e.ip_address = l.ip WHERE event_type = 'LOGIN_SUCCESS' AND username <> '-'),
+ p AS (SELECT *, lag(ip_address) OVER w AS i0, lag(city) OVER w AS c0, lag(lat) OVER w AS a0, lag(lon) OVER w AS o0, (epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER w) / 1e6 AS s FROM h WINDOW w AS (PARTITION BY username ORDER BY timestamp, line_no)),
+ q AS (SELECT *, 2 * 6371.0::DOUBLE * asin(sqrt(pow(sin(radians(lat - a0) / 2), 2) + cos(radians(a0)) * cos(radians(lat)) * pow(sin(radians(lon - o0) / 2), 2))) AS dist FROM p WHERE i0 <> ip_address AND c0 <> city),
+ travel AS (SELECT username, ip_address, timestamp, line_no, round(dist, 3) AS km, CASE WHEN s <= 0 THEN 1e308 ELSE dist / (s / 3600) / 900 END AS ratio FROM q WHERE s <= 0 OR dist / (s / 3600) > 900)"""
+_INSIDER = """u AS (SELECT username, count(*) AS events, count(*) FILTER (hour(timestamp) < 5) AS unusual_hours, count(*) FILTER (request LIKE '/admin%') AS sensitive FROM e WHERE username <> '-' GROUP BY 1),
+ i AS (SELECT username, ip_address, count(*) AS n, min(line_no) AS first FROM e WHERE username <> '-' GROUP BY 1, 2),
+ m AS (SELECT username, max(n) AS majority, count(*) AS ips, first(ip_address ORDER BY n DESC, first) AS majority_ip FROM i GROUP BY 1),
+ score AS (SELECT u.*, CAST(CASE WHEN username = 'admin' THEN 30 ELSE 0 END + CASE WHEN unusual_hours > 0 THEN 20 ELSE 0 END + CASE WHEN events >= 20 THEN 20 ELSE 0 END + CASE WHEN sensitive > 0 THEN 20 ELSE 0 END + CASE WHEN majority >= 2 AND ips > 1 THEN 20 ELSE 0 END AS BIGINT) AS score, majority_ip FROM u JOIN m USING (username)),
+ anchor AS (SELECT username, coalesce(max(line_no) FILTER (request LIKE '/admin%'), max(line_no) FILTER (hour(timestamp) < 5), max(line_no)) AS line_no FROM e GROUP BY 1),
+ insider AS (SELECT s.username, e.timestamp, e.ip_address, e.line_no, round(least(0.95::DOUBLE, 0.55::DOUBLE + s.score / 50::DOUBLE * 0.2::DOUBLE), 6) AS confidence, CAST(least(90, 40 + s.score // 2) AS BIGINT) AS risk_score, s.majority_ip,
+  (SELECT array_to_string(list_sort(list(i.ip_address)), '|') FROM i WHERE i.username = s.username AND i.ip_address <> s.majority_ip) AS unusual_ips FROM score s JOIN anchor a USING (username) JOIN e ON e.line_no = a.line_no WHERE s.score >= 50)"""
+_TRAVEL_ROWS = "SELECT username, ip_address, timestamp, line_no, km, round(least(0.99::DOUBLE, 0.75::DOUBLE + least(ratio, 5) * 0.04::DOUBLE), 6) AS confidence, CAST(least(95, 70 + CAST(floor(least(ratio, 10) * 2) AS BIGINT)) AS BIGINT) AS risk_score FROM travel"
+_WEB = " UNION ALL ".join(f"SELECT alert_type, severity, timestamp, username, ip_address, confidence, concat(request, pattern) AS ev, 2 AS seq FROM ({_bank(b)})" for b in (detectors.SQLI_BANK, detectors.XSS_BANK))
+#: All alerts of the rules, and the chains and components of them.
+_ALERTS = f"""WITH RECURSIVE e AS ({ENTRIES_SQL}), {_FORCE[0]}, {_SPRAY[0]}, {_TRAVEL}, {_INSIDER},
+ alerts AS (SELECT DISTINCT * FROM (SELECT 'BRUTE_FORCE' AS alert_type, 'HIGH' AS severity, timestamp, username, ip_address, confidence, '' AS ev, 0 AS seq FROM ({_FORCE[1]})
+  UNION ALL SELECT 'PASSWORD_SPRAY', 'HIGH', timestamp, users, ip_address, confidence, '', 1 FROM ({_SPRAY[1]}) UNION ALL {_WEB}
+  UNION ALL SELECT 'IMPOSSIBLE_TRAVEL', 'HIGH', timestamp, username, ip_address, confidence, '', 3 FROM ({_TRAVEL_ROWS}) UNION ALL SELECT 'INSIDER_THREAT', 'MEDIUM', timestamp, username, ip_address, confidence, '', 4 FROM insider))"""
+_INCIDENTS = f"""{_ALERTS}, numbered AS (SELECT *, row_number() OVER (ORDER BY timestamp, seq, alert_type, username, ip_address, ev) AS id FROM alerts),
+ named AS (SELECT id, unnest(list_distinct(list_transform(string_split(username, ','), lambda x: lower(trim(x))))) AS name FROM numbered),
+ keyed AS (SELECT id, timestamp, 'i|' || trim(ip_address) AS key FROM numbered WHERE trim(ip_address) NOT IN ('', '-') UNION ALL SELECT id, timestamp, 'u|' || name FROM named JOIN numbered USING (id) WHERE name NOT IN ('', '-')),
+ near AS (SELECT id, CASE WHEN epoch_us(timestamp) - epoch_us(lag(timestamp) OVER w) <= 300000000 THEN lag(id) OVER w END AS prior FROM keyed WINDOW w AS (PARTITION BY key ORDER BY timestamp, id)),
+ both_ways AS (SELECT id AS a, prior AS b FROM near WHERE prior IS NOT NULL UNION SELECT prior, id FROM near WHERE prior IS NOT NULL),
+ reach AS (SELECT id, id AS other FROM numbered UNION SELECT r.id, b.b FROM reach r JOIN both_ways b ON r.other = b.a),
+ grouped AS (SELECT n.*, g.incident FROM numbered n JOIN (SELECT id, min(other) AS incident FROM reach GROUP BY 1) g USING (id)),
+ chain AS (SELECT incident, string_agg(alert_type, '|' ORDER BY first) AS attack_chain, string_agg(alert_type, '|' ORDER BY alert_type) AS alert_types, count(*) AS types FROM (SELECT incident, alert_type, min(id) AS first FROM grouped GROUP BY ALL) GROUP BY 1),
+ who AS (SELECT incident, coalesce(string_agg(DISTINCT name, '|' ORDER BY name) FILTER (name NOT IN ('', '-')), '') AS usernames, coalesce(bool_or(name IN ('admin', 'root', 'administrator')), false) AS privileged FROM grouped JOIN named USING (id) GROUP BY 1),
+ total AS (SELECT incident, min(timestamp) AS first_seen, max(timestamp) AS last_seen, count(*) AS alert_count, string_agg(DISTINCT trim(ip_address), '|' ORDER BY trim(ip_address)) AS source_ips, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS rank, round(avg(confidence), 9) AS sure FROM grouped GROUP BY 1)
+ SELECT CASE WHEN types = 1 THEN attack_chain ELSE 'CORRELATED_ACTIVITY' END AS incident_type, CASE rank WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, first_seen, last_seen, alert_count, source_ips, usernames, attack_chain, alert_types,
+ CAST(least(100, CASE rank WHEN 4 THEN 90 WHEN 3 THEN 70 WHEN 2 THEN 40 ELSE 20 END + CASE WHEN alert_count >= 2 THEN 10 ELSE 0 END + CASE WHEN types >= 2 THEN 10 ELSE 0 END + CASE WHEN alert_count > types THEN 5 ELSE 0 END + CASE WHEN privileged THEN 5 ELSE 0 END + CASE WHEN sure >= 0.85 THEN 3 ELSE 0 END) AS BIGINT) AS risk_score
+ FROM total JOIN chain USING (incident) JOIN who USING (incident)"""
 
-_LINES = f"WITH p AS (SELECT event_id AS line_no, {_OUTCOME} AS outcome, {_SOURCE} AS source, * FROM events)"
 ORACLES = {
     "parse_classify": f"{_LINES} SELECT line_no, outcome, source FROM p",
-    "parse_entries": f"""{_LINES} SELECT line_no, source, date_trunc('second', ts)::TIMESTAMP AS timestamp, CASE WHEN source = 'apache' THEN '-' ELSE concat('u', user_id) END AS username,
- CASE source WHEN 'linux' THEN concat('10.0.0.', user_id % 200) WHEN 'windows' THEN '10.0.1.7' ELSE '10.0.2.9' END AS ip_address, CASE WHEN source = 'windows' AND event_id % 3 = 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status,
- CASE WHEN source = 'apache' THEN 'HTTP_REQUEST' WHEN source = 'windows' AND event_id % 3 = 0 THEN 'LOGIN_SUCCESS' ELSE 'LOGIN_FAILED' END AS event_type, CASE WHEN source = 'apache' THEN concat('/p?id=', event_id) ELSE '' END AS path,
- CASE WHEN source = 'apache' THEN 404 END AS status_code FROM p WHERE outcome = 'parsed'""",
+    "parse_entries": f"{_LINES} SELECT line_no, source, timestamp, username, ip_address, status, event_type, method, path, status_code FROM p WHERE outcome = 'parsed'",
     "parse_stats": f"""{_LINES} SELECT count(*) AS total_lines, count(*) FILTER (outcome = 'parsed') AS parsed_lines, count(*) FILTER (outcome = 'malformed') AS malformed_lines, count(*) FILTER (outcome = 'unsupported') AS unsupported_lines,
  count(*) FILTER (outcome = 'parsed' AND source = 'linux') AS linux_lines, count(*) FILTER (outcome = 'parsed' AND source = 'windows') AS windows_lines, count(*) FILTER (outcome = 'parsed' AND source = 'apache') AS apache_lines FROM p""",
     "statistics": f"""{_E} SELECT count(*) AS total, count(*) FILTER (source = 'linux') AS linux, count(*) FILTER (source = 'windows') AS windows, count(*) FILTER (source = 'apache') AS apache,
@@ -109,16 +201,16 @@ ORACLES = {
  count(DISTINCT CASE WHEN username <> '-' THEN username END) AS unique_users, count(DISTINCT ip_address) AS unique_ips FROM e""",
     "top_user": f"{_E} {_TOP.format(c='username')}",
     "top_ip": f"{_E} {_TOP.format(c='ip_address')}",
-    "sqli_alerts": _bank(detectors.SQLI),
-    "xss_alerts": _bank(detectors.XSS),
-    "brute_force": _bursts("username, ip_address", "-1", "attempts"),
-    "password_spray": _bursts("ip_address", "count(DISTINCT username) FRAME", "unique_users"),
-    "impossible_travel": f"""WITH e AS ({ENTRIES_SQL}), g(ip, city, lat, lon) AS (VALUES {_PLACES}), h AS (SELECT e.*, g.* FROM e LEFT JOIN g ON e.ip_address = g.ip WHERE event_type = 'LOGIN_SUCCESS' AND username <> '-'),
- p AS (SELECT *, lag(ip_address) OVER w AS i0, lag(city) OVER w AS c0, lag(lat) OVER w AS a0, lag(lon) OVER w AS o0, (epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER w) / 1e6 AS s FROM h WINDOW w AS (PARTITION BY username ORDER BY timestamp, line_no))
- SELECT username, ip_address, timestamp, line_no FROM p WHERE i0 <> ip_address AND c0 <> city AND (s <= 0 OR 2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - a0) / 2), 2) + cos(radians(a0)) * cos(radians(lat)) * pow(sin(radians(lon - o0) / 2), 2))) / (s / 3600) > 900)""",
-    "insider_scores": f"""{_E}, u AS (SELECT username, count(*) AS events, count(*) FILTER (hour(timestamp) < 5) AS unusual_hours, count(*) FILTER (request LIKE '/admin%') AS sensitive FROM e WHERE username <> '-' GROUP BY 1),
- m AS (SELECT username, max(n) AS majority, count(*) AS ips FROM (SELECT username, ip_address, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1)
- SELECT u.*, CAST(CASE WHEN username = 'admin' THEN 30 ELSE 0 END + CASE WHEN unusual_hours > 0 THEN 20 ELSE 0 END + CASE WHEN events >= 20 THEN 20 ELSE 0 END + CASE WHEN sensitive > 0 THEN 20 ELSE 0 END + CASE WHEN majority >= 2 AND ips > 1 THEN 20 ELSE 0 END AS BIGINT) AS score FROM u JOIN m USING (username)""",
+    "sqli_alerts": f"{_E} SELECT line_no, pattern, severity, username, round(confidence, 6) AS confidence, risk_score, indicators FROM ({_bank(detectors.SQLI_BANK)})",
+    "xss_alerts": f"{_E} SELECT line_no, pattern, severity, username, round(confidence, 6) AS confidence, risk_score, indicators FROM ({_bank(detectors.XSS_BANK)})",
+    "brute_force": f"WITH RECURSIVE e AS ({ENTRIES_SQL}), {_FORCE[0]} {_FORCE[1]}",
+    "password_spray": f"WITH RECURSIVE e AS ({ENTRIES_SQL}), {_SPRAY[0]} {_SPRAY[1]}",
+    "impossible_travel": f"{_E}, {_TRAVEL} {_TRAVEL_ROWS}",
+    "insider_scores": f"{_E}, {_INSIDER} SELECT * FROM score",
+    "insider_threat": f"{_E}, {_INSIDER} SELECT * FROM insider",
     "features_ip": f"{_E} {_FEATURES.format(c='ip_address', w='')}",
     "features_user": f"{_E} {_FEATURES.format(c='username', w="WHERE username <> '-'")}",
+    "alert_counts": f"{_ALERTS} SELECT alert_type, severity, count(*) AS n FROM alerts GROUP BY ALL",
+    "alert_severities": f"{_ALERTS} SELECT count(*) FILTER (severity = 'CRITICAL') AS \"CRITICAL\", count(*) FILTER (severity = 'HIGH') AS \"HIGH\", count(*) FILTER (severity = 'MEDIUM') AS \"MEDIUM\", count(*) FILTER (severity = 'LOW') AS \"LOW\" FROM alerts",
+    "incident_risk": _INCIDENTS,
 }

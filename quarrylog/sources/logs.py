@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrylog.exceptions import LogFileError
+from quarrylog.functions.text import normalize_line
+
 #: Addresses with a known place (ip, city, latitude, longitude, country).
 PLACES = (
     ("203.0.113.10", "Mumbai", 19.0760, 72.8777, "IN"),
@@ -42,12 +47,33 @@ def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ENTRIES_SQL.replace("FROM events", "FROM {events}"), events=events)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(line_no, value)`` of a text file without blank lines; line_no orders them."""
-    from quarrylog.functions.text import normalize_line
+def read_log_file(spark: SparkSession, path: str) -> DataFrame:
+    """``read_lines`` of one file; a ``LogFileError`` if there is none at ``path`` or it is a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        raise LogFileError(f"Log file not found: {path}")
+    if not files.getFileStatus(at).isFile():
+        raise LogFileError(f"Path is not a file: {path}")
+    return read_lines(spark, path)
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(line_no, value)`` of text files without their blank lines; line_no counts all lines from 0, by file name, then place.
+
+    Lines are counted in each split first (a row for each split), so the files are read twice and never sorted.
+    """
+    df = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("id"))
+    splits = df.groupBy("f", "s").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    before = Window.orderBy("f", "s").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("f", "s", "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("past"))
+    lines = df.join(splits, ["f", "s"]).select((F.col("past") + F.col("id") - F.col("low")).alias("line_no"), F.explode(F.array(normalize_line(F.col("value")))).alias("value"))
+    return lines.where("value <> ''")
+
 
-    df = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-    return df.select("line_no", normalize_line(F.col("value")).alias("value")).where("value <> ''")
+def from_lines(spark: SparkSession, lines: Iterable[str | None]) -> DataFrame:
+    """``(line_no, value)`` of lines in memory, blank ones included."""
+    return spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")
 
 
 def places(spark: SparkSession) -> DataFrame:

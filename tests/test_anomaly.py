@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 
+from quarrylog.config import AnomalyConfig
 from quarrylog.operators import anomaly
 
 T0 = datetime(2026, 6, 26, 9)
@@ -26,7 +27,7 @@ def test_the_odd_address_scores_highest(spark):
 
 
 def test_alerts_explain_what_stands_out(spark):
-    got = anomaly.anomalies(activity(spark, 60), threshold=50.0).collect()
+    got = anomaly.anomalies(activity(spark, 60), AnomalyConfig(alert_threshold=50.0)).collect()
     odd = next(r for r in got if r["ip_address"] == "203.0.113.9")
     assert odd["alert_type"] == "ANOMALOUS_BEHAVIOR" and odd["username"] == "-" and 20 <= odd["risk_score"] <= 85
     assert "failed logins: 80" in odd["description"] and '"failed_logins":80.0' in odd["evidence"]

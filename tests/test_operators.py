@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from quarrylog.config import BruteForceConfig, CorrelationConfig, InsiderThreatConfig, PasswordSprayConfig, RiskScoringConfig
 from quarrylog.functions.text import normalize_line, normalize_request
 from quarrylog.operators import correlation, detectors, parsing
 from quarrylog.operators.components import connected_components
@@ -33,36 +34,52 @@ def test_bursts_as_a_plain_loop(spark):
                 left = right + 1
             else:
                 left += 1
-    got = detectors.brute_force(spark.createDataFrame(rows, ENTRY), 4, 20).select("username", "ip_address", "timestamp", "n").collect()
+    got = detectors.brute_force(spark.createDataFrame(rows, ENTRY), BruteForceConfig(failed_attempt_threshold=4, window_seconds=20)).select("username", "ip_address", "timestamp", "n").collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_spray_names_its_users(spark):
     rows = [entry(n, 5 * n, u) for n, u in enumerate(["eve", "bob", "eve", "amy", "dan"])]
-    got = detectors.password_spray(spark.createDataFrame(rows, ENTRY), 4, 60).collect()
+    got = detectors.password_spray(spark.createDataFrame(rows, ENTRY), PasswordSprayConfig(unique_user_threshold=4, window_seconds=60)).collect()
     assert [(r["username"], r["n"], r["risk_score"]) for r in got] == [("amy,bob,dan,eve", 4, 70)]
 
 
 def test_parse_counts(spark):
     lines = [
-        "Jun  6 09:01:20 server sshd[1014]: Accepted password for alice from 192.168.1.18 port 46945 ssh2",
-        "Jun 26 09:01:20 server sshd[1014]: Invalid user bob from 10.0.0.1",
-        "Feb 30 09:01:20 server sshd[1]: Failed password for x from 10.0.0.1 port 1",
-        '2026-06-26T09:00:25 EVENT_ID=4624 USER=bob IP=10.0.0.16 MESSAGE="ok"',
-        '172.16.1.73 - - [26/Jun/2026:09:01:14 +0530] "GET /products HTTP/1.1" 200 342',
-        '172.16.1.73 - - [26/Jun/2026:09:01:14 +0000] "GET /?EVENT_ID=1 HTTP/1.1" 200 342',
+        "Mar  6 07:11:20 web3 sshd[88]: Accepted password for olga from 10.20.0.18 port 40945 ssh2",
+        "Mar 26 07:11:20 web3 sshd[88]: Invalid user piet from 10.20.0.1",
+        "Feb 30 07:11:20 web3 sshd[1]: Failed password for x from 10.20.0.1 port 1",
+        '2026-03-26T07:10:25 EVENT_ID=4624 USER=piet IP=10.20.0.16 NOTE="in"',
+        '10.30.1.73 - - [26/Mar/2026:07:11:14 +0530] "GET /goods HTTP/1.1" 200 342',
+        '10.30.1.73 - - [26/Mar/2026:07:11:14 +0000] "GET /?EVENT_ID=1 HTTP/1.1" 200 342',
         "hello",
+        "1.2.3.4 - - [garbage",
+        '1.2.3.4 - - [26/Mar/2026:07:11:14 +0000] "get /x HTTP/1.1" 200 1',
+        '1.2.3.4 - - [26/Mar/2026:07:11:14 +0000] "GET  HTTP/1.1" 200 1',
+        '1.2.3.4 - - [26/Mar/2026:07:11:14 Z] "GET /a b HTTP/1.1" 2000 1',
+        '1.2.3.4 - - [26/Mar/2026:07:11:14] "GET /x HTTP/1.1" 200 1',
+        "2026-03-26T07:10:25 EVENT_ID=4700 USER=piet IP=10.20.0.16",
+        None,
+        "",
     ]
-    df = parsing.parse(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string"))
+    df = parsing.parse(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string"), 2026)
     got = {r["line_no"]: r for r in df.collect()}
-    assert [got[k]["outcome"] for k in range(7)] == ["parsed", "parsed", "malformed", "parsed", "parsed", "malformed", "unsupported"]
-    assert got[0]["timestamp"] == datetime(2026, 6, 6, 9, 1, 20) and got[4]["timestamp"] == datetime(2026, 6, 26, 9, 1, 14)
-    assert got[1]["username"] == "bob" and got[1]["event_type"] == "LOGIN_FAILED"
+    want = "parsed parsed malformed parsed parsed malformed unsupported unsupported malformed malformed parsed malformed malformed unsupported unsupported"
+    assert [got[k]["outcome"] for k in range(len(lines))] == want.split()
+    assert got[0]["timestamp"] == datetime(2026, 3, 6, 7, 11, 20) and got[4]["timestamp"] == datetime(2026, 3, 26, 7, 11, 14)
+    assert got[1]["username"] == "piet" and got[1]["event_type"] == "LOGIN_FAILED"
+    assert (got[10]["status_code"], got[10]["path"], got[10]["method"], got[10]["username"]) == (200, "/a b", "GET", "-")
+    stats = parsing.parse_stats(df).first()
+    assert (stats["total_lines"], stats["parsed_lines"], stats["malformed_lines"], stats["unsupported_lines"]) == (15, 5, 6, 4)
+    assert parsing.parse_stats(df.limit(0)).first()["total_lines"] == 0
 
 
 def test_text_functions(spark):
     df = spark.createDataFrame([("﻿ x  ", "/a?q=%253Cscript%253E+100%")], "a string, b string")
     assert tuple(df.select(normalize_line(F.col("a")), normalize_request(F.col("b"))).first()) == (" x", "/a?q=<script> 100%")
+    hidden = ["/a?x=&#60;script&#62;", "JAVASCRIPT&colon;alert(1)", "a&ltb", "a&b=2", "%26lt;&#x3C;&#99999999;", None]
+    df = spark.createDataFrame([(x,) for x in hidden], "b string")
+    assert [r[0] for r in df.select(normalize_request(F.col("b"))).collect()] == ["/a?x=<script>", "javascript:alert(1)", "a<b", "a&b=2", "<<\ufffd", ""]
 
 
 def test_travel_and_incidents(spark):
@@ -99,9 +116,60 @@ def test_components_as_union_find(spark):
 def test_alerts_carry_evidence_and_differ_by_it(spark):
     requests = ["/a?q=1 union select x", "/b?q=' or '1'='1' and 1=1", "/a?q=1 union select x"]
     rows = [entry(n, 0, "-", "9.9.9.9", "HTTP_REQUEST", q) for n, q in enumerate(requests)]
-    alerts = detectors.web_alerts(spark.createDataFrame(rows, ENTRY), detectors.SQLI, "SQL_INJECTION", "CRITICAL")
+    alerts = detectors.web_alerts(spark.createDataFrame(rows, ENTRY), [detectors.SQLI_BANK])
     got = {r["line_no"]: r for r in correlation.deduplicate(alerts).collect()}
     assert sorted(got) == [0, 1] and len({r["alert_id"] for r in got.values()}) == 2
     assert '"pattern":"UNION SELECT"' in got[0]["evidence"] and "AND 1=1" in got[1]["evidence"]
     flood = detectors.brute_force(spark.createDataFrame([entry(n, 6 * n) for n in range(5)], ENTRY)).first()
     assert '"attempts":5' in flood["evidence"] and '"end_time":"2026-06-26 09:00:24"' in flood["evidence"] and flood["source"] == "linux"
+
+
+def test_flood_from_one_address_is_cut_at_pauses(spark):
+    """A million failures of one address, with a pause after each thousand: spans of 121 seconds burst, as in a plain loop over one span."""
+    df = spark.range(1_000_000).select(F.col("id").alias("line_no"), F.timestamp_micros((F.col("id") + F.floor(F.col("id") / 1000) * 500) * 1_000_000).cast("timestamp_ntz").alias("timestamp"), F.concat(F.lit("u"), F.col("id") % 3).alias("username"), F.lit("9.9.9.9").alias("ip_address"), F.lit("linux").alias("source"), F.lit("LOGIN_FAILED").alias("event_type"))
+    spray = detectors.password_spray(df, PasswordSprayConfig(unique_user_threshold=3))
+    got = spray.groupBy("n", "username").count().collect()
+    assert [(r["n"], r["username"], r["count"]) for r in got] == [(3, "u0,u1,u2", 9 * 1000)]
+    force = detectors.greedy_bursts(df, ["ip_address"], 5, 120).groupBy("n").count().collect()
+    assert sorted((r["n"], r["count"]) for r in force) == [(32, 1000), (121, 8000)]
+
+
+def test_insider_evidence_and_settings(spark):
+    rows = [entry(n, n, "admin", "1.1.1.1" if n < 15 else f"2.2.2.{n % 2}", "LOGIN_SUCCESS") for n in range(20)] + [entry(99, 99, "-", "3.3.3.3")]
+    df = spark.createDataFrame(rows, ENTRY)
+    (got,) = detectors.insider_threat(df, InsiderThreatConfig(unusual_hour_start=8, unusual_hour_end=10)).collect()
+    assert got["majority_ip"] == "1.1.1.1" and got["unusual_ips"] == ["2.2.2.0", "2.2.2.1"] and got["risk_score"] == 85
+    assert '"majority_ip":"1.1.1.1","unusual_ips":["2.2.2.0","2.2.2.1"]' in got["evidence"]
+    assert detectors.insider_scores(df, InsiderThreatConfig(unusual_hour_start=22, unusual_hour_end=9)).first()["unusual_hours"] == 0
+    assert detectors.insider_threat(df, InsiderThreatConfig(alert_score_threshold=90)).count() == 0
+
+
+def test_web_alerts_read_the_path_where_no_request_is(spark):
+    df = spark.createDataFrame([entry(1, 0, "", "1.1.1.1", "HTTP_REQUEST")], ENTRY).withColumn("path", F.lit("/x?q=<svg onload=1>"))
+    (got,) = detectors.web_alerts(df).collect()
+    assert (got["alert_type"], got["pattern"], got["username"]) == ("XSS", "onload=", "-") and '["onload=","<svg"]' in got["evidence"]
+
+
+def test_incidents_hold_their_lists_and_settings(spark):
+    columns = "alert_type string, severity string, timestamp timestamp_ntz, username string, ip_address string, confidence double, risk_score int, line_no long, source string, description string, evidence string"
+    at = lambda s: T0 + timedelta(seconds=s)
+    rows = [
+        ("XSS", "high", at(10), "-", " 1.1.1.1 ", 0.9, 80, 3, "apache", "", "{}"),
+        ("PASSWORD_SPRAY", "HIGH", at(0), "Root,amy", "1.1.1.1", 0.9, 80, 1, "linux", "", "{}"),
+        ("BRUTE_FORCE", "odd", at(200), "amy", "2.2.2.2", 0.0, 80, 2, "linux", "", "{}"),
+        ("BRUTE_FORCE", "odd", at(9000), "amy", "2.2.2.2", 0.1, 80, 9, "linux", "", "{}"),
+    ]
+    alerts = correlation.deduplicate(spark.createDataFrame(rows + rows[:1], columns))
+    got = correlation.by_risk(correlation.incidents(alerts)).collect()
+    assert [(r["incident_type"], r["severity"], r["alert_count"], r["risk_score"]) for r in got] == [("CORRELATED_ACTIVITY", "HIGH", 3, 98), ("BRUTE_FORCE", "MEDIUM", 1, 40)]
+    first = got[0]
+    assert first["source_ips"] == ["1.1.1.1", "2.2.2.2"] and first["usernames"] == ["amy", "root"] and len(first["alert_ids"]) == 3
+    assert first["attack_chain"] == ["PASSWORD_SPRAY", "XSS", "BRUTE_FORCE"] and first["alert_types"] == sorted(first["attack_chain"])
+    assert '"base_score":70,"multiple_alert_bonus":10,"multiple_attack_type_bonus":10,"privileged_user_bonus":5,"confidence_bonus":3,"average_alert_confidence":0.9,"final_score":98' in first["risk_breakdown"]
+    members = {(r["alert_id"], r["incident_id"]) for r in correlation.memberships(alerts).collect()}
+    assert {(a, r["incident_id"]) for r in got for a in r["alert_ids"]} == members
+    alone = correlation.correlate(alerts, CorrelationConfig(enabled=False))
+    assert alone.count() == 4 and {r["risk_score"] for r in correlation.score(alone, RiskScoringConfig(enabled=False)).collect()} == {70, 40}
+    by_user = correlation.correlate(alerts, CorrelationConfig(correlate_by_ip=False)).collect()
+    assert sorted(r["alert_count"] for r in by_user) == [1, 1, 2]
+    assert correlation.incidents(alerts.limit(0)).count() == 0
