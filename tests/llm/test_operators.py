@@ -256,6 +256,67 @@ def test_passages(spark):
     assert {(r["doc_id"], r["ref_id"]) for r in got} == {(7, 3)} and any(r["start"] == 80 and r["stop"] == 200 for r in got)
 
 
+def test_passages_against_all_pairs(spark):
+    """Sixty texts with planted passages of 0 to 15 % edits, halves first seen apart, repeated ids, a hot passage, equal rows and a text of a million words."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(4000)]
+    words = lambda n: rng.choices(vocabulary, k=n)
+
+    def edited(w, rate):
+        return [y for x in w for y in ([rng.choice(vocabulary)] if rng.random() < rate * 0.7 else [] if rng.random() < rate * 0.3 else [x])]
+
+    rows, planted = [], set()
+    for k in range(25):
+        p = words(rng.randrange(60, 140))
+        rows += [(2 * k, words(rng.randrange(20, 200)) + p + words(rng.randrange(20, 200))), (2 * k + 1, words(rng.randrange(20, 200)) + edited(p, 0.15 * k / 24) + words(50))]
+        planted.add((2 * k + 1, 2 * k))
+    one, two = words(45), words(45)
+    rows += [(50, words(30) + one), (51, two + words(30)), (52, words(20) + one + two), (53, one + two + words(70))]
+    planted.add((53, 52))
+    same = words(90)
+    rows += [(54, same + words(9)), (54, words(31) + same), (55, words(200)), (55, words(200))]
+    planted.add((54, 54))
+    long = words(1_000_000)
+    rows += [(60, long), (61, words(30) + long[500_000:500_100] + words(30))]
+    planted.add((61, 60))
+    texts = [(k, " ".join(w)) for k, w in rows] + [(52, " ".join(rows[52][1])), (None, " ".join(same)), (70, None), (71, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = substring_dedup.repeated_passages(df.repartition(5)).collect()
+    found = {(r["doc_id"], r["ref_id"]) for r in got}
+    hashes = [(k, substring_dedup.word_hashes(t)) for k, t in texts if k is not None and t and k < 60]
+    true = {(max(i, j), min(i, j)) for x, (i, a) in enumerate(hashes) for j, b in hashes[:x] if (i != j or not np.array_equal(a, b)) and substring_dedup.passages(a, b)} | {(61, 60)}
+    assert found <= true and true <= planted and len(found) >= 0.95 * len(true) and len(true) >= 26
+    assert {(54, 54), (53, 52), (61, 60)} <= found
+    for r in got:
+        if r["doc_id"] != r["ref_id"] and r["doc_id"] < 60:
+            a, b = (dict(rows)[r[c]] for c in ("doc_id", "ref_id"))
+            x, y = a[r["start"] : r["stop"]], b[r["ref_start"] : r["ref_stop"]]
+            assert len(x) >= 50 and r["identity"] >= 0.8 and 1 - plain_distance(x, y) / max(len(x), len(y)) >= r["identity"] - 1e-9
+
+
+def plain_distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        before, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (a != b))
+    return row[-1]
+
+
+def test_edit_distance_and_common_seeds(spark, monkeypatch):
+    rng = random.Random(12)
+    for _ in range(60):
+        x, y = (np.array(rng.choices(range(4), k=rng.randrange(0, 40)), dtype=np.uint32) for _ in range(2))
+        assert substring_dedup.edit_distance(x, y) == plain_distance(x.tolist(), y.tolist())
+    monkeypatch.setattr(substring_dedup, "MOST_RARE", 1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    hot = [word() for _ in range(80)]
+    df = spark.createDataFrame([(k, " ".join([word() for _ in range(60)] + (hot if k % 3 == 0 else []))) for k in range(300)], "doc_id long, text string")
+    assert len(substring_dedup._common_seeds(df.selectExpr("doc_id as id", "hash(text) as tie", "text"))) > 5
+    got = {(r["doc_id"], r["ref_id"]) for r in substring_dedup.repeated_passages(df).collect()}
+    assert got == {(k, 0) for k in range(3, 300, 3)}
+
+
 def test_urls(spark):
     urls = ["http://A.net/x", "https://m.example.net/en/1", "http://example.com/de/2?q", "http://www.org/fr/", None, "nothing", "http://q.example.com/en/#t"]
     df = spark.createDataFrame([(k, u, "<a href='http://a.net/'>") for k, u in enumerate(urls)], "page_id long, url string, html string")
