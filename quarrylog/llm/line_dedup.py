@@ -1,56 +1,95 @@
 """Line dedup by winnowing over line hashes.
 
-The lines of a document are hashed in the row. Of every window of ``window`` consecutive lines the least hash is the
-fingerprint, so any run of that many lines shared by two places has the same fingerprint at the same offset in both. The
-positions of a fingerprint are joined with the first position of the same window under it, matches on one diagonal are
-extended both ways into maximal runs, and the lines of the later runs are deleted.
+The lines of a document are hashed in the row. Every two consecutive lines make a gram; of every ``window`` consecutive grams
+the least hash is selected (of fewer grams in a whole document, the least of them), so any run of ``window`` + 1 lines that
+two places share has a selected gram at the same offset in both. A line of ``long_words`` words or more is a fingerprint by
+itself. Only these fingerprints are indexed. Their positions are joined with the first position of the same fingerprint, the
+matches are extended line by line both ways over the lines of the two documents, and the lines of the later runs are deleted.
 
 A *line* is what stands between newlines, with the blank lines that follow it; trailing white space does not count in
-comparing. Documents are ordered by id (null first), then by a hash of the text. The result is exact: a line goes if and only if
-it lies in ``window`` consecutive lines that stand at an earlier place of the corpus (of the document itself, too).
+comparing. Documents are ordered by id (null first), then by a hash of the text. A line goes if and only if it lies in a run of
+lines that also stands at the first place of a fingerprint in that run. So no line goes without an equal one at an earlier
+place. What may stay: a single short line, a run of two to ``window`` lines that holds no fingerprint, and the part of a run beyond what the
+first places of its fingerprints share.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylog.llm.common import KEY, row_key
-from quarrylog.plans.lineage import cut
+from quarrylog.llm.common import KEY, row_key, words
+from quarrylog.plans.scratch import Scratch
 
 #: A newline before a line with a word; blank lines stay with the line before them.
 CUT = r"\n(?=[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D])"
+WINDOW, LONG_WORDS = 3, 40
 
 
 def lines_of(text: str = "text") -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), CUT)
 
 
-def windows(docs: DataFrame, window: int) -> DataFrame:
-    """``(*KEY, i, fingerprint, content)`` for each window of lines; i: its first line from 0. Rows of equal key give it once each."""
-    hashes = F.transform(lines_of(), lambda x: F.xxhash64(F.regexp_replace(x, r"[\x20\x09-\x0D]+$", "")))
-    df = docs.select(*row_key(), hashes.alias("h")).where(F.size("h") >= window)
-    parts = [f"get(h, i + {k})" for k in range(window)]
-    least = f"least({', '.join(parts)})" if window > 1 else parts[0]
-    df = df.select(*KEY, "h", F.explode(F.expr(f"sequence(0, size(h) - {window})")).alias("i"))
-    return df.select(*KEY, "i", F.expr(least).alias("fingerprint"), F.expr(f"xxhash64({', '.join(parts)})").alias("content"))
-
-
-def repeated_runs(docs: DataFrame, window: int = 2) -> DataFrame:
-    """Maximal later runs: ``(*KEY, first, last, ref, ref_first)``, ref: (key columns) of the earlier place; lines count from 0."""
-    at = windows(docs, window)
-    place = F.struct(*KEY, "i")
-    firsts = cut(at.groupBy("fingerprint", "content").agg(F.min(place).alias("p"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = at.join(firsts, ["fingerprint", "content"]).where(F.struct(*KEY, "i") > F.col("p"))
-    later = later.select(*KEY, "i", F.struct(*[F.col(f"p.{c}") for c in KEY]).alias("ref"), (F.col("i") - F.col("p.i")).alias("diagonal")).distinct()
-    side = Window.partitionBy(*KEY, "ref", "diagonal").orderBy("i")
-    run = later.withColumn("island", F.col("i") - F.row_number().over(side))
-    return run.groupBy(*KEY, "ref", "diagonal", "island").agg(F.min("i").alias("first"), (F.max("i") + window - 1).alias("last")).select(
-        *KEY, "first", "last", "ref", (F.col("first") - F.col("diagonal")).alias("ref_first")
-    )
-
-
-def dedup_lines(docs: DataFrame, window: int = 2) -> DataFrame:
+def _number(md5: Column) -> Column:
+    """60 bits of an MD5 digest, in the order of its hexadecimal digits (so that SQL of any engine can select the same)."""
+    return F.conv(F.substring(md5, 1, 15), 16, 10).cast("long")
+
+
+def hashed_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+    """``(*KEY, h, marks)``: the hash of each line, and the fingerprints as (line, value); a row for each key."""
+    df = docs.select(*row_key(), lines_of().alias("l"))
+    digests = F.transform("l", lambda x: F.md5(F.regexp_replace(x, r"[\x20\x09-\x0D]+$", "")))
+    long = F.filter(F.transform("l", lambda x, i: F.when(F.size(words(x)) >= long_words, i)), lambda i: i.isNotNull())
+    df = df.select(*KEY, digests.alias("m"), long.alias("long"))
+    grams = F.when(F.size("m") > 1, F.transform(F.slice("m", 2, F.greatest(F.lit(0), F.size("m") - 1)), lambda x, i: _number(F.md5(F.concat(F.get("m", i), x)))))
+    df = df.select(*KEY, F.transform("m", _number).alias("h"), "long", grams.alias("g"))
+    least = lambda j: F.slice("g", j + 1, F.lit(window))
+    at = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("g") - window)), lambda j: (j + F.array_position(least(j), F.array_min(least(j))) - 1).cast("int"))
+    df = df.select(*KEY, "h", "long", "g", F.when(F.col("g").isNotNull(), F.array_distinct(at)).otherwise(F.array().cast("array<int>")).alias("s"))
+    mark = lambda value: lambda i: F.struct(i.alias("line"), value(i).alias("v"))
+    marks = F.concat(F.transform("s", mark(lambda i: F.get("g", i))), F.transform("long", mark(lambda i: -F.get("h", i) - 1)))
+    return df.select(*KEY, "h", marks.alias("marks")).dropDuplicates(list(KEY))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(first, last) of the runs of equal lines on a diagonal that hold one of its places, for each row of columns key..., ref, diagonal, places, h, ref_h."""
+    for batch in batches:
+        rows, first, last = [], [], []
+        for k, (d, places, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("diagonal", "places", "h", "ref_h")), strict=True)):
+            low, high = max(0, d), min(len(a), len(b) + d)
+            same = np.r_[False, np.array(a[low:high], dtype=np.int64) == np.array(b[low - d : high - d], dtype=np.int64), False]
+            borders = np.flatnonzero(same[1:] != same[:-1]) + low
+            for s, e in zip(borders[::2].tolist(), borders[1::2].tolist(), strict=True):
+                if any(s <= p < e for p in places):
+                    rows.append(k), first.append(s), last.append(e - 1)
+        kept = batch.take(pa.array(rows, type=pa.int64()))
+        names = [*KEY, "ref", "diagonal"]
+        yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), pa.array(first, type=pa.int32()), pa.array(last, type=pa.int32())], names=[*names, "first", "last"])
+
+
+def repeated_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+    """Later runs: ``(*KEY, first, last, ref, ref_first)``, ref: (key columns) of the earlier place; lines count from 0."""
+    steps = Scratch(docs.sparkSession)
+    lines = steps.put(hashed_lines(docs, window, long_words))
+    at = lines.select(*KEY, F.inline("marks")).select(*KEY, F.col("line").alias("i"), "v")
+    firsts = at.groupBy("v").agg(F.min(F.struct(*KEY, "i")).alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = at.join(steps.put(firsts), "v").where(F.struct(*KEY, "i") > F.col("p"))
+    ref = F.struct(*[F.col(f"p.{c}") for c in KEY])
+    pairs = later.select(*KEY, ref.alias("ref"), (F.col("i") - F.col("p.i")).alias("diagonal"), "i").groupBy(*KEY, "ref", "diagonal").agg(F.collect_set("i").alias("places"))
+    pairs = steps.put(pairs)
+    other = lines.select(F.struct(*KEY).alias("ref"), F.col("h").alias("ref_h"))
+    both = pairs.join(lines.select(*KEY, "h"), list(KEY)).join(other, "ref")
+    kinds = [(c, lines.schema[c].dataType.simpleString()) for c in KEY]
+    key, inner = ", ".join(f"{c} {t}" for c, t in kinds), ", ".join(f"{c}: {t}" for c, t in kinds)
+    found = both.mapInArrow(_runs, f"{key}, ref struct<{inner}>, diagonal int, first int, last int")
+    return found.select(*KEY, "first", "last", "ref", (F.col("first") - F.col("diagonal")).alias("ref_first"))
+
+
+def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """``docs`` with text without its later repeated runs, n_lines and n_deleted_lines.
 
     Null texts stay null with no lines, empty ones have one line. Rows equal in id and text count as one document and get
@@ -59,7 +98,7 @@ def dedup_lines(docs: DataFrame, window: int = 2) -> DataFrame:
     own = ("n_lines", "n_deleted_lines")
     columns = [c for c in docs.columns if c not in own]
     gone = (
-        repeated_runs(docs, window)
+        repeated_runs(docs, window, long_words)
         .select(*KEY, F.explode(F.sequence("first", "last")).alias("line"))
         .groupBy(*KEY)
         .agg(F.collect_set("line").alias("__gone"))
@@ -74,9 +113,9 @@ def dedup_lines(docs: DataFrame, window: int = 2) -> DataFrame:
     )
 
 
-def without_repeated_lines(docs: DataFrame, window: int = 2) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """``docs`` with deduplicated texts and n_chars to match; documents that lose all lines go, others stay as they were."""
-    out = dedup_lines(docs, window).where("n_deleted_lines < n_lines or n_deleted_lines = 0")
+    out = dedup_lines(docs, window, long_words).where("n_deleted_lines < n_lines or n_deleted_lines = 0")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_deleted_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -61,9 +61,16 @@ ORACLES = {
     "op3_line_dedup": r"""WITH l AS (SELECT doc_id, text, i, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
  u AS (SELECT *, count(*) FILTER (i > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]')) OVER (PARTITION BY doc_id ORDER BY i) AS unit FROM l),
  v AS (SELECT doc_id, unit, string_agg(line, chr(10) ORDER BY i) AS body FROM u GROUP BY ALL),
- b AS (SELECT *, regexp_replace(body, '[\x20\x09-\x0D]+$', '') AS bare FROM v),
- w AS (SELECT *, lead(bare) OVER (PARTITION BY doc_id ORDER BY unit) AS after FROM b),
- r AS (SELECT *, after IS NOT NULL AND row_number() OVER (PARTITION BY bare, after ORDER BY doc_id, unit) > 1 AS later FROM w),
- d AS (SELECT *, later OR coalesce(lag(later) OVER (PARTITION BY doc_id ORDER BY unit), false) AS gone FROM r)
+ b AS (SELECT *, md5(regexp_replace(body, '[\x20\x09-\x0D]+$', '')) AS m, len(list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n_words FROM v),
+ g AS (SELECT * FROM (SELECT doc_id, unit, substr(md5(m || lead(m) OVER (PARTITION BY doc_id ORDER BY unit)), 1, 15) AS gram FROM b) WHERE gram IS NOT NULL),
+ w AS (SELECT doc_id, unit, list(gram) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS three FROM g),
+ s AS (SELECT DISTINCT doc_id, unit + list_position(three, list_min(three)) - 1 AS unit FROM w WHERE len(three) = 3 OR unit = 0),
+ f AS (SELECT g.doc_id, g.unit, 'g' || gram AS v FROM g JOIN s USING (doc_id, unit) UNION ALL SELECT doc_id, unit, 'l' || substr(m, 1, 15) FROM b WHERE n_words >= 40),
+ p AS (SELECT *, first_value(doc_id) OVER o AS ref, first_value(unit) OVER o AS ref_unit FROM f WINDOW o AS (PARTITION BY v ORDER BY doc_id, unit)),
+ q AS (SELECT doc_id, ref, unit - ref_unit AS diagonal, list(unit) AS places FROM p WHERE doc_id <> ref OR unit <> ref_unit GROUP BY ALL),
+ e AS (SELECT q.doc_id, q.ref, q.diagonal, q.places, a.unit, a.unit - row_number() OVER (PARTITION BY q.doc_id, q.ref, q.diagonal ORDER BY a.unit) AS island
+  FROM q JOIN b a ON a.doc_id = q.doc_id JOIN b c ON c.doc_id = q.ref AND c.unit = a.unit - q.diagonal AND substr(c.m, 1, 15) = substr(a.m, 1, 15)),
+ r AS (SELECT doc_id, unnest(units) AS unit FROM (SELECT doc_id, list(unit) AS units, any_value(places) AS places FROM e GROUP BY doc_id, ref, diagonal, island) WHERE list_has_any(units, places)),
+ d AS (SELECT v.*, r.unit IS NOT NULL AS gone FROM v LEFT JOIN (SELECT DISTINCT * FROM r) r USING (doc_id, unit))
  SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY unit) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted_lines FROM d GROUP BY doc_id""",
 }

@@ -84,21 +84,44 @@ def test_cutoffs_and_verdicts(spark):
 
 
 def test_line_dedup(docs):
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    """Against a plain version: select, look up the first place, walk both ways from it."""
     import re
 
-    seen, want = set(), {None: "null id the of"}
-    for k, t in enumerate(texts()):
-        lines = re.split(line_dedup.CUT, t or "", flags=re.ASCII)
-        bare = [x.rstrip(" \t\n\v\f\r") for x in lines]
-        gone = set()
-        for i in range(len(bare) - 1):
-            if (bare[i], bare[i + 1]) in seen:
-                gone |= {i, i + 1}
-            seen.add((bare[i], bare[i + 1]))
-        want[k] = t if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
-    assert {k: r["text"] for k, r in got.items()} == want
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, long_words=12).collect()}
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    lines = {k: re.split(line_dedup.CUT, t or "", flags=re.ASCII) for k, t in [(-1, "null id the of"), *enumerate(texts())]}
+    hashes = {k: [digest(x.rstrip(" \t\n\v\f\r")) for x in v] for k, v in lines.items()}
+    marks, indexed = {}, 0
+    for k in sorted(hashes):
+        m = hashes[k]
+        grams = [digest(a + b)[:15] for a, b in zip(m, m[1:])]
+        chosen = {j + min(range(len(w)), key=lambda x: (w[x], x)) for j in range(max(1, len(grams) - 2)) if (w := grams[j : j + 3])}
+        found = [(grams[i], i) for i in sorted(chosen)] + [("long" + m[i], i) for i, x in enumerate(lines[k]) if len(x.split()) >= 12]
+        indexed += len(found)
+        for v, i in found:
+            marks.setdefault(v, []).append((k, i))
+    gone = {k: set() for k in lines}
+    for places in marks.values():
+        ref, j0 = min(places)
+        for k, i0 in places:
+            for step in (-1, 1):
+                i, j = i0, j0
+                while (k, i0) != (ref, j0) and 0 <= i < len(hashes[k]) and 0 <= j < len(hashes[ref]) and hashes[k][i] == hashes[ref][j]:
+                    gone[k].add(i)
+                    i, j = i + step, j + step
+    want = {k: "\n".join(x for i, x in enumerate(v) if i not in gone[k]) for k, v in lines.items()}
+    assert {k: r["text"] for k, r in got.items()} == {(None if k < 0 else k): (None if k >= 0 and texts()[k] is None else v) for k, v in want.items()}
     assert got[63]["n_deleted_lines"] == got[63]["n_lines"] or got[63]["n_lines"] == 1
+    assert sum(map(len, gone.values())) > 5
+
+
+def test_line_dedup_of_copied_lines_and_clashing_columns(spark):
+    long = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, f"a\nb\nc\nd\ne\n{long}"), (2, f"x\n{long}\ny"), (3, "q\nb\nc\nd\ne\nr"), (4, "a\nz\nb"), (5, "p\np\np\np\np"), (2, f"x\n{long}\ny"), (6, "")]
+    df = spark.createDataFrame([(*r, 7, 7, 7) for r in rows], "doc_id long, text string, n_lines int, k int, h int")
+    got = sorted((r["doc_id"], r["text"], r["n_deleted_lines"]) for r in line_dedup.dedup_lines(df).collect())
+    assert got == [(1, rows[0][1], 0), (2, "x\ny", 1), (2, "x\ny", 1), (3, "q\nr", 4), (4, "a\nz\nb", 0), (5, "p", 4), (6, "", 0)]
+    assert line_dedup.dedup_lines(df).columns == ["doc_id", "text", "k", "h", "n_lines", "n_deleted_lines"]
 
 
 def test_simhash(docs):
