@@ -3,7 +3,8 @@
 Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating, and share all words by weight; none takes more
 than ``most`` times its own words, the excess goes to the others by weight. A source takes its complete epochs first; the
 rest of its target is filled with documents in the order of the exponential keys -ln(u) / quality, u fixed by the id, by
-prefix sums of their words. Keys are cut into buckets, so a hot source is sorted in many tasks and only sums meet.
+prefix sums of their words. Keys are cut into buckets of equal width in their logarithm, none of which holds more than some
+1 in 500 of exponential keys whatever their scale, so a hot source is sorted in many tasks and only sums meet.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from quarrylog.llm.common import KEY, WORD, row_key
 from quarrylog.plans.lineage import cut
 
-BUCKETS = 1024
+#: Buckets of an octave of keys.
+BUCKETS = 128
 
 
 def n_words(text: str = "text") -> Column:
@@ -45,18 +47,21 @@ def mix(light: DataFrame, most: float = 3.0, seed: int = 17) -> DataFrame:
     """``light`` (doc_id, source, size, quality and others) with source_size, target and taken.
 
     taken counts words with repeats: complete epochs times size, and the document at the end of the budget gives the words
-    left. Documents without words take none. Rows of equal id draw the same key; ties go by id, then size. Null ids are drawn as "null".
+    left. Documents without words take none. Rows of equal id draw the same key; ties go by id, then size, then KEY where ``light``
+    has these columns, so that reruns agree. Null ids are drawn as "null". Columns with the names of the results are replaced.
     """
+    light = light.drop("source_size", "target", "taken")
+    ties = [c for c in KEY if c in light.columns]
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
     df = light.withColumn("__x", -F.log(u) / F.greatest(F.lit(1e-9), F.coalesce("quality", F.lit(1.0))))
-    df = cut(df.withColumn("__b", F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1 - F.exp(-F.col("__x"))))).cast("int")))
+    df = cut(df.withColumn("__b", F.floor(BUCKETS * F.log2("__x")).cast("int")))
     targets = source_targets(df, most)
     sums = df.groupBy("source", "__b").agg(F.sum("size").alias("s"))
     past = Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("__src"), F.col("__b").alias("__at"), F.coalesce(F.sum("s").over(past), F.lit(0)).alias("__before"))
     targets = targets.withColumnRenamed("source", "__src2")
     offsets = cut(sums.join(targets, F.col("__src").eqNullSafe(F.col("__src2"))).drop("__src2"))
-    own = Window.partitionBy("source", "__b").orderBy("__x", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("source", "__b").orderBy("__x", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("__upto", F.sum("size").over(own))
     df = df.join(offsets, F.col("source").eqNullSafe(F.col("__src")) & (F.col("__b") == F.col("__at")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")

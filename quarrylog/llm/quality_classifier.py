@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylog.plans.lineage import cut
+from quarrylog.plans.sampling import least_by_hash
 
 MAX_TRAIN = 20_000
 BINS, DEPTH, TREES, RATE, LEAF, L2 = 64, 4, 60, 0.15, 20, 1.0
@@ -128,11 +129,13 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the text, with held_out, score (0 to 1) and predicted.
 
     Null and empty texts have statistics of zero and are scored like others; a null id is never held out nor labelled; labels
-    that are null or contradict each other teach nothing.
+    that are null or contradict each other teach nothing. Rows that repeat an id are scored each by its own text. Columns of
+    ``docs`` with the names of the results are replaced. An empty table gives an empty one.
     """
     stats = cut(with_statistics(docs.drop("held_out", "score", "predicted")).withColumn("held_out", held_out()))
     taught = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).where("y = z")
-    sample = stats.where("not held_out").join(taught, "doc_id").select("stats", "y", F.xxhash64("doc_id").alias("r"), "doc_id").orderBy("r", "doc_id", "stats").limit(MAX_TRAIN).collect()
+    known = stats.where("not held_out").join(taught, "doc_id").select("stats", "y", "doc_id")
+    sample = least_by_hash(known, F.xxhash64("doc_id"), ["doc_id", "stats"], MAX_TRAIN, known.count()).collect()
     x = np.array([r["stats"] for r in sample], dtype=np.float64).reshape(-1, len(NAMES))
     shared = docs.sparkSession.sparkContext.broadcast(fit(x, np.array([r["y"] for r in sample], dtype=np.float64)))
     rest = [c for c in stats.columns if c != "stats"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylog.llm import line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, spotsigs, substring_dedup, token_counts, url_filter
-from quarrylog.llm.common import table
+from quarrylog.llm.common import row_key, table
 
 
 def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = mixing.mix(docs.select("doc_id", "source", mixing.n_words().alias("size"), mixing.quality_weight().alias("quality")))
+    out = mixing.mix(docs.select("doc_id", "source", mixing.n_words().alias("size"), mixing.quality_weight().alias("quality"), *row_key()))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 

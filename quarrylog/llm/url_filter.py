@@ -1,8 +1,9 @@
 """URL filter: host and path rules, and for the rest personalised PageRank of trust against reversed distrust.
 
-Edges run between the hosts of a page's address and of its links. Trust flows along them from hosts that allow rules name,
-distrust against them from hosts that block rules name; a host without a rule is blocked where its distrust exceeds
-``ratio`` times its trust.
+Edges run from the host of a page to the hosts that its links name, weighted by their number. Trust flows along them from the hosts of
+pages that rules allow, distrust against them from those of pages that rules block. Both walks are iterated in one table until
+they settle; what reaches a host without edges goes back to the seeds. A page without a rule is blocked where its host's distrust
+exceeds ``ratio`` times its trust.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylog.plans.lineage import cut
+from quarrylog.plans.scratch import Scratch
 
 #: Fixed values: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-LINK = r"(?i)href\s*=\s*[\"']?(\w+://[^\"'\s>]+)"
+LINK = r"(?i)href\s*=\s*[\"']?((?:\w+:)?//[^\"'\s>]+)"
 
 
 def _split(df: DataFrame, url: str) -> DataFrame:
@@ -36,38 +38,74 @@ def _rules(df: DataFrame) -> DataFrame:
     return df.withColumn("rule", rule).withColumn("said", said)
 
 
-def _flow(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """Personalised PageRank ``(host, rank)`` over ``(a, b)`` from ``seeds`` (host, seed)."""
-    out = edges.groupBy("a").agg(F.count("*").alias("n"))
-    shares = cut(edges.join(out, "a").select("a", "b", (1 / F.col("n")).alias("share")))
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    for k in range(rounds):
-        moved = rank.join(shares, rank["host"] == shares["a"]).groupBy("b").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = seeds.join(moved, seeds["host"] == moved["b"], "left").select("host", ((1 - damping) * F.col("seed") + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if k % 3 == 2:
-            rank = cut(rank)
-    return rank
+def link_edges(df: DataFrame) -> DataFrame:
+    """``(a, b, w)``: how many links (absolute ones, or without a scheme) lead from pages (host, html) of host a to host b."""
+    links = df.select(F.col("host").alias("a"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 1)).alias("__to"))
+    links = _split(links.withColumn("__to", F.regexp_replace("__to", "^//", "x://")), "__to")
+    return links.where("a <> host and a <> '' and host <> ''").groupBy("a", F.col("host").alias("b")).agg(F.count("*").alias("w"))
 
 
-def judge_pages(pages: DataFrame, rounds: int = 9, damping: float = 0.85, ratio: float = 1.0) -> DataFrame:
-    """``pages`` without html, with host, path, rule and verdict (block or allow).
+def page_ranks(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, max_rounds: int = 200) -> DataFrame:
+    """``(kind, host, rank)``: personalised PageRank over ``edges`` (kind, a, b, w) from ``seeds`` (kind, host, seed), for each kind apart.
 
-    A null url or html has no host or links. Hosts that no seed reaches are allowed; without any seed all are.
+    Seeds are scaled to sum to 1 for each kind; hosts without seeds or edges are not in the result. Rounds end when the ranks of a kind change by
+    less than ``tolerance`` in sum (an error if that takes more than ``max_rounds``); one row for each kind reaches the driver.
     """
-    df = _split(pages.drop("host", "path", "rule", "verdict"), "url")
+    steps = Scratch(edges.sparkSession)
+    total = edges.groupBy("kind", "a").agg(F.sum("w").alias("total"))
+    shares = steps.put(edges.join(total, ["kind", "a"]).select("kind", "a", "b", (F.col("w") / F.col("total")).alias("share")))
+    names = shares.select("kind", F.col("a").alias("host"), F.lit(0.0).alias("seed"), F.lit(1).alias("out"))
+    names = names.union(shares.select("kind", "b", F.lit(0.0), F.lit(0))).union(seeds.select("kind", "host", F.col("seed").cast("double"), F.lit(0)))
+    nodes = steps.put(names.groupBy("kind", "host").agg(F.sum("seed").alias("seed"), F.max("out").alias("out")))
+    sums = {r["kind"]: r["s"] for r in nodes.groupBy("kind").agg(F.sum("seed").alias("s")).collect()}
+    scale = F.lit(0.0)
+    for kind, s in sums.items():
+        scale = F.when(F.col("kind") == kind, 1.0 / s if s else 0.0).otherwise(scale)
+    ranks = steps.put(nodes.withColumn("seed", F.col("seed") * scale).withColumn("rank", F.col("seed")))
+    for _ in range(max_rounds):
+        lost = F.lit(0.0)
+        for r in ranks.where("out = 0").groupBy("kind").agg(F.sum("rank").alias("s")).collect():
+            lost = F.when(F.col("kind") == r["kind"], r["s"]).otherwise(lost)
+        moved = ranks.join(shares.withColumnRenamed("a", "host"), ["kind", "host"]).groupBy("kind", F.col("b").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        rank = (1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + lost * F.col("seed"))
+        after = steps.put(ranks.withColumnRenamed("rank", "was").join(moved, ["kind", "host"], "left").select("kind", "host", "seed", "out", rank.alias("rank"), "was"))
+        change = after.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("c")).agg(F.max("c")).first()[0] or 0.0
+        steps.drop(ranks)
+        ranks = after.drop("was")
+        steps.paths[id(ranks)] = steps.paths.pop(id(after))
+        if change < tolerance:
+            break
+    else:
+        raise RuntimeError(f"ranks did not settle in {max_rounds} rounds")
+    out = cut(ranks.select("kind", "host", "rank"))
+    steps.drop()
+    return out
+
+
+def judge_pages(pages: DataFrame, damping: float = 0.85, ratio: float = 1.0, tolerance: float = 1e-4, parents: bool = False) -> DataFrame:
+    """``pages`` without html, with host, path, rule, trust, distrust and verdict (block or allow).
+
+    A null url or html has no host or links. Hosts that no seed reaches have ranks of 0 and are allowed. A page counts for
+    its host as often as it is in the table. ``parents`` adds edges between a host and its parent domain, both ways, for tables that hold no
+    links between hosts; single labels and parents of two letters and at most three (as co.uk) have none. Columns of
+    ``pages`` with the names of the results are replaced. An empty table gives an empty one.
+    """
+    df = _split(pages.drop("host", "path", "rule", "verdict", "trust", "distrust", "said"), "url")
     light = cut(_rules(df.drop("html")))
-    links = df.select("host", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 1)).alias("__to"))
-    links = _split(links.withColumnRenamed("host", "a"), "__to").select("a", F.col("host").alias("b"))
-    # a host also leads to its parent domain and back, as subdomains share an owner
-    parents = light.select("host").distinct().select(F.col("host").alias("a"), F.expr("substring(host, instr(host, '.') + 1)").alias("b")).where("instr(b, '.') > 0")
-    edges = links.union(parents).union(parents.select("b", "a")).where("a <> b and a <> '' and b <> ''").distinct()
+    edges = link_edges(df)
+    if parents:
+        up = F.expr("substring(host, instr(host, '.') + 1)")
+        hosts = light.select("host").distinct().select(F.col("host").alias("a"), up.alias("b")).where(r"instr(b, '.') > 0 and not b rlike '^[^.]{1,3}\\.[a-z]{2}$'")
+        edges = edges.union(hosts.withColumn("w", F.lit(1))).union(hosts.select("b", "a", F.lit(1))).groupBy("a", "b").agg(F.sum("w").alias("w"))
     edges = cut(edges)
+    both = edges.select(F.lit("trust").alias("kind"), "a", "b", "w").union(edges.select(F.lit("distrust"), "b", "a", "w"))
     share = lambda x: F.avg(F.when(F.col("said") == x, 1.0).otherwise(0.0))
-    seeds = light.groupBy("host").agg(share("allow").alias("t"), share("block").alias("d"))
-    hosts = edges.select(F.col("a").alias("host")).union(edges.select("b")).union(light.select("host")).distinct()
-    seeds = cut(hosts.join(seeds, "host", "left").select("host", F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("d", F.lit(0.0)).alias("d")))
-    trust = _flow(edges, seeds.select("host", F.col("t").alias("seed")), rounds, damping)
-    distrust = _flow(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), seeds.select("host", F.col("d").alias("seed")), rounds, damping)
-    judged = cut(trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host"))
+    seeds = light.where("host <> ''").groupBy("host").agg(share("allow").alias("t"), share("block").alias("d"))
+    seeds = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "t", F.lit("distrust"), "d")).alias("kind", "seed")).where("seed > 0")
+    ranks = page_ranks(both, seeds, damping, tolerance)
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
+    judged = cut(ranks.groupBy(F.col("host").alias("__host")).agg(of("trust"), of("distrust")))
+    out = light.join(judged, F.col("host") == F.col("__host"), "left").drop("__host")
+    out = out.withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
     verdict = F.coalesce("said", F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow"))
-    return light.join(judged, "host", "left").withColumn("verdict", verdict).drop("said")
+    return out.withColumn("verdict", verdict).drop("said")

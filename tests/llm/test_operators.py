@@ -342,11 +342,88 @@ def test_edit_distance_and_common_seeds(spark, monkeypatch):
 
 def test_urls(spark):
     urls = ["http://A.net/x", "https://m.example.net/en/1", "http://example.com/de/2?q", "http://www.org/fr/", None, "nothing", "http://q.example.com/en/#t"]
-    df = spark.createDataFrame([(k, u, "<a href='http://a.net/'>") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    df = spark.createDataFrame([(k, u, "<a href='/x'>") for k, u in enumerate(urls)], "page_id long, url string, html string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_pages(df).collect()}
     assert got[0] == ("a.net", "/x", "net/", "block") and got[1] == ("m.example.net", "/en/1", "example.net/en/", "allow")
     assert got[2] == ("example.com", "/de/2", "example.com/de/", "block") and got[3] == ("www.org", "/fr/", "org/fr/", "allow")
-    assert got[4] == ("", "", None, "allow") == got[5] and got[6] == ("q.example.com", "/en/", None, "block")
+    assert got[4] == ("", "", None, "allow") == got[5] and got[6] == ("q.example.com", "/en/", None, "allow")
+
+
+def test_ranks_against_power_iteration(spark):
+    """Two hundred pages with absolute and scheme-less links, a chain of 14 hosts behind a blocked one, null html, clashing columns."""
+    rng = random.Random(13)
+    hosts = [f"h{k}.{rng.choice(['com', 'org', 'net'])}" for k in range(30)]
+    chain = [f"c{k}.info" for k in range(14)]
+    rows, links = [], {}
+    for k in range(200):
+        host = rng.choice(hosts)
+        to = [rng.choice(hosts[:25]) for _ in range(rng.randrange(4))]
+        html = "".join(f"<a {rng.choice(['href=', 'HREF = '])}{chr(34)}{rng.choice(['https:', ''])}//{x}/p{chr(34)}>" for x in to) + "<a href='/here'>"
+        rows.append((k, f"http://{host}/{rng.choice(['fr', 'de', 'x'])}/{k}", html))
+        for x in to:
+            links[host, x] = links.get((host, x), 0) + (x != host)
+    for k, (x, y) in enumerate(zip(chain, [*chain[1:], "bad.net"], strict=True)):
+        rows.append((500 + k, f"http://{x}/", f"<a href='http://{y}/q'>"))
+        links[x, y] = 1
+    rows += [(900, "http://bad.net/", None), (901, None, "<a href='//h0.com'>"), (902, "nothing", "")]
+    df = spark.createDataFrame([(*r, 1, 1, 1) for r in rows], "page_id long, url string, html string, trust int, distrust int, target int")
+    got = url_filter.judge_pages(df, damping=0.5, tolerance=1e-6).collect()
+    names = sorted({r["host"] for r in got if r["host"]} | {x for e in links for x in e})
+    at = {x: k for k, x in enumerate(names)}
+    w = np.zeros((len(names), len(names)))
+    for (a, b), n in links.items():
+        w[at[a], at[b]] += n
+    for kind, said, m in (("trust", "allow", w), ("distrust", "block", w.T)):
+        share = {x: [r["rule"] is not None and r["verdict"] == said for r in got if r["host"] == x] for x in names}
+        seed = np.array([np.mean(v) if (v := share[x]) else 0.0 for x in names])
+        seed /= seed.sum()
+        out = m.sum(axis=1)
+        rank = seed
+        for _ in range(400):
+            rank = 0.5 * seed + 0.5 * ((rank / np.where(out > 0, out, 1)) @ m + rank[out == 0].sum() * seed)
+        for r in got:
+            assert abs(r[kind] - (rank[at[r["host"]]] if r["host"] else 0.0)) < 1e-5
+    verdicts = {r["page_id"]: r["verdict"] for r in got}
+    assert all(verdicts[500 + k] == "block" for k in range(14)) and verdicts[901] == verdicts[902] == "allow" and len(got) == len(rows)
+    assert url_filter.judge_pages(df.limit(0)).count() == 0
+    near = spark.createDataFrame([(1, "http://a.example.com/de/", ""), (2, "http://example.com/", ""), (3, "http://b.co.uk/", "")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge_pages(near, parents=True).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_mix_of_equal_ids_and_clashing_columns(spark):
+    rows = [(k // 2, f"t{k} " * (1 + k % 5), f"s{k % 2}", 0, 0, 0) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, target int, taken int, source_size int")
+    once, again = ([tuple(r) for r in mixing.mix_documents(x).collect()] for x in (df, df.repartition(7)))
+    assert sorted(once) == sorted(again) and set(once) <= set(rows) and mixing.mix_documents(df).columns == df.columns
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage on what its predecessor kept; columns of documents until the last, and every kept text comes back from its pieces."""
+    import corpus_pipeline
+    import pyarrow as arrow
+    import pyarrow.parquet as parquet
+
+    rng = random.Random(14)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12))
+    boiler = [line() for _ in range(6)]
+    rows = [[k, "\n".join([line() for _ in range(4)] + (boiler if k % 5 == 0 else [])), "en", f"s{k % 3}"] for k in range(60)]
+    rows += [[100, rows[7][1], "en", "s0"], [101, "too few words", "en", "s0"], [102, None, None, None], [103, rows[8][1].replace("\n", " ") + " end", "fr", "s1"]]
+    for r in rows:
+        r.append(len(r[1] or ""))
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    parquet.write_table(arrow.table({c: arrow.array([r[k] for r in rows], type=arrow.int64() if c in ("doc_id", "n_chars") else arrow.string()) for k, c in enumerate(columns)}), tmp_path / "documents.parquet")
+    parquet.write_table(arrow.table({"doc_id": arrow.array([0, 1]), "quality": arrow.array([1, 0]), "toxic": arrow.array([0, 0])}), tmp_path / "labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+        ids = [r["doc_id"] for r in docs.collect()]
+        gone = {"quality rules": {101, 102}, "line dedup": {100}, "near-dedup": {103}}.get(name, set())
+        assert not gone & set(ids)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} <= set(range(60)) and all(r["decoded_ok"] and r["n_pieces"] == len(r["pieces"]) for r in out)
+    texts = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    assert boiler[0] in texts[0] and boiler[0] not in texts[5] and rows[5][1].startswith(texts[5])
 
 
 def test_classifier(spark):
