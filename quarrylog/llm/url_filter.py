@@ -62,18 +62,18 @@ def page_ranks(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolera
     for kind, s in sums.items():
         scale = F.when(F.col("kind") == kind, 1.0 / s if s else 0.0).otherwise(scale)
     ranks = steps.put(nodes.withColumn("seed", F.col("seed") * scale).withColumn("rank", F.col("seed")))
+    ends = {r["kind"]: r["lost"] for r in ranks.groupBy("kind").agg(F.sum(F.when(F.col("out") == 0, F.col("rank")).otherwise(0.0)).alias("lost")).collect()}
     for _ in range(max_rounds):
         lost = F.lit(0.0)
-        for r in ranks.where("out = 0").groupBy("kind").agg(F.sum("rank").alias("s")).collect():
-            lost = F.when(F.col("kind") == r["kind"], r["s"]).otherwise(lost)
+        for kind, mass in ends.items():
+            lost = F.when(F.col("kind") == kind, mass).otherwise(lost)
         moved = ranks.join(shares.withColumnRenamed("a", "host"), ["kind", "host"]).groupBy("kind", F.col("b").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         rank = (1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + lost * F.col("seed"))
-        after = steps.put(ranks.withColumnRenamed("rank", "was").join(moved, ["kind", "host"], "left").select("kind", "host", "seed", "out", rank.alias("rank"), "was"))
-        change = after.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("c")).agg(F.max("c")).first()[0] or 0.0
+        after = steps.put(ranks.drop("was").withColumnRenamed("rank", "was").join(moved, ["kind", "host"], "left").select("kind", "host", "seed", "out", rank.alias("rank"), "was"))
+        seen = after.groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("change"), F.sum(F.when(F.col("out") == 0, F.col("rank")).otherwise(0.0)).alias("lost")).collect()
         steps.drop(ranks)
-        ranks = after.drop("was")
-        steps.paths[id(ranks)] = steps.paths.pop(id(after))
-        if change < tolerance:
+        ranks, ends = after, {r["kind"]: r["lost"] for r in seen}
+        if max([0.0, *(r["change"] for r in seen)]) < tolerance:
             break
     else:
         raise RuntimeError(f"ranks did not settle in {max_rounds} rounds")
