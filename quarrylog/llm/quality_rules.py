@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quarrylog.llm.common import words
 from quarrylog.plans.lineage import cut
 
-#: The score of each rule (higher is worse) and its candidate cutoffs, lenient first.
+#: Our choice: the score of each rule (higher is worse) and its candidate cutoffs, lenient first.
 RULES = {
     "symbols": ("n_symbols / word_chars", (0.9, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)),
     "dup_lines": ("n_dup_lines / n_lines", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2)),

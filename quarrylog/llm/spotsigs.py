@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quarrylog.plans.lineage import cut
 
 CHAIN = 2
-#: Common words of English, German, French and Spanish.
+#: Our choice: common words of English, German, French and Spanish.
 ANCHORS = frozenset("the a an of and to in is that it for on was be with as by this at are from der die und das den von zu ist mit dem ein eine nicht auf le la les de des et un une que qui dans pour est par sur el los las y en del se por con para".split())
 STRIP = ".,;:!?\"'()[]{}|#*$%&"
 
