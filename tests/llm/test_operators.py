@@ -440,3 +440,11 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     for df in (quality_rules.judge_documents(none, labels), line_dedup.dedup_lines(none), simhash.near_duplicate_components(none), mixing.mix_documents(none), spotsigs.edited_likeness(none), substring_dedup.repeated_passages(none), quality_classifier.score_documents(none, labels)):
         assert df.count() == 0
+
+
+def test_empty_tables_of_near_dedup_and_tokens(spark):
+    none = spark.createDataFrame([], DOC)
+    codec = sentencepiece_codec.load_codec(sentencepiece_codec.default_model_file())
+    assert shingle_dedup.keep_one_of_each(none).count() == 0
+    assert sentencepiece_codec.encode_documents(none, codec).count() == 0
+    assert token_counts.count_tokens(none.select("text")).count() == 0
