@@ -5,11 +5,17 @@ segment differs by at most one bit, so both hold the same segment once the right
 indexed under its 2 x 32 one-wildcard segments, an equality join brings the candidates together, and exact distances
 decide. Within a bucket only a spanning forest of the links is given on, never all pairs; components follow from the
 forests of all buckets, as every link lies in at least one.
+
+A bucket of more than SPLIT fingerprints is cut further, so that templated texts don't meet in one task: the other segment
+falls into six pieces, three of which two linked fingerprints share, so each such fingerprint is indexed under its twenty
+triples of pieces. With the bucket's own 31 bits these fix at least 46, so no bucket can hold more than 2^18 fingerprints,
+whatever the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +29,12 @@ from quarrylog.plans.lineage import cut
 
 BITS, MOST, SEED, SHINGLE = 64, 3, 42, 3
 BLOCK = 1 << 21
+SPLIT = 4096
+#: Pieces of a segment of 32 bits, and the masks of any three of them.
+PIECES = (0x3F, 0xFC0, 0x1F000, 0x3E0000, 0x7C00000, 0xF8000000)
+TRIPLES = tuple(sum(three) for three in combinations(PIECES, 3))
+#: Hot keys that may be broadcast; more of them are joined by a shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def simhash(text: str | None) -> int:
@@ -115,10 +127,18 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links(keys, fps)
 
 
-def links(distinct_fps: DataFrame) -> DataFrame:
+def links(distinct_fps: DataFrame, split: int = SPLIT) -> DataFrame:
     """``(a, b)``: links between the distinct values of column ``fp`` that connect what links of up to 3 bits connect."""
-    index = distinct_fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("v")).select(variant_key().alias("key"), "fp")
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(_link_batches, "a long, b long").distinct()
+    index = distinct_fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("v")).select("v", variant_key().alias("key"), "fp")
+    hot = cut(index.groupBy("key").count().where(F.col("count") > split).select("key", F.lit(True).alias("hot")))
+    n_hot = hot.count()
+    if n_hot:
+        index = index.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "key", "left")
+        other = F.expr("shiftrightunsigned(fp, 32 * (1 - v div 32)) & 4294967295L")
+        # a collision of hashes only brings more candidates together
+        finer = F.array(*[F.xxhash64("key", F.lit(k), other.bitwiseAND(F.lit(mask))) for k, mask in enumerate(TRIPLES)])
+        index = index.select(F.explode(F.when(F.col("hot"), finer).otherwise(F.array("key"))).alias("key"), "fp")
+    return index.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_link_batches, "a long, b long").distinct()
 
 
 def _rooted(docs: DataFrame) -> DataFrame:

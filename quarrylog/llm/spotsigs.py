@@ -113,7 +113,8 @@ def edited_likeness(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = _neighbours(docs, parts)
-    df = df.repartition("__b").sortWithinPartitions("__b", "__extra", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    # a bucket is a task: the partition is the bucket's number itself, not its hash, which would put several into one
+    df = df.repartitionById(parts + 1, (F.col("__b") + 1).cast("int")).sortWithinPartitions("__b", "__extra", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     return df.mapInArrow(_rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
@@ -122,7 +123,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     The rarest signatures (by hash order) index a set: two sets of likeness t share one among the first n - ceil(t n) + 1 of
     each. The join key holds the signature and the length partition, whose borders grow by 1/t, so that alike sets lie in
-    the same or the next one.
+    the same or the next one. Rows of null id take no part; texts of one id that are alike give a pair of that id with itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +131,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
             found = [signatures(t).astype(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.list_(pa.int64()))], names=["doc_id", "s"])
 
-    sets = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>").where("size(s) > 0")
-    sets = cut(sets.groupBy("s").agg(F.min("doc_id").alias("doc_id")))
+    sets = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>").where("size(s) > 0")
+    sets = cut(sets.groupBy("s").agg(F.min("doc_id").alias("doc_id")).withColumn("h", F.xxhash64("s")))
     n = F.size("s")
-    keyed = sets.select("doc_id", "s", F.floor(F.log(n.cast("double")) / -np.log(threshold)).cast("int").alias("p"), F.explode(F.slice("s", F.lit(1), n - F.ceil(F.lit(threshold) * n).cast("int") + 1)).alias("k"))
-    other = keyed.select(F.col("doc_id").alias("b"), F.col("s").alias("t"), F.explode(F.array("p", F.col("p") + 1)).alias("p"), "k")
-    pairs = keyed.join(other, ["p", "k"]).where("doc_id <> b and least(size(s), size(t)) >= " + repr(threshold) + " * greatest(size(s), size(t))")
+    share = F.lit(threshold)
+    prefix = F.slice("s", F.lit(1), n - F.ceil(share * n).cast("int") + 1)
+    keyed = sets.select(F.col("h").alias("x"), n.alias("m"), F.floor(F.log(n.cast("double")) / -np.log(threshold)).cast("int").alias("p"), F.explode(prefix).alias("k"))
+    other = keyed.select(F.col("x").alias("y"), F.col("m").alias("o"), F.explode(F.array("p", F.col("p") + 1)).alias("p"), "k")
+    near = keyed.join(other, ["p", "k"]).where((F.col("x") != F.col("y")) & (F.least("m", "o") >= share * F.greatest("m", "o")))
+    # only hashes and sizes meet in the join; a pair's sets are fetched once
+    pairs = near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    pairs = pairs.join(sets.select(F.col("h").alias("x"), "s", F.col("doc_id").alias("a")), "x").join(sets.select(F.col("h").alias("y"), F.col("s").alias("t"), F.col("doc_id").alias("b")), "y")
     both = F.size(F.array_intersect("s", "t"))
     like = both / (F.size("s") + F.size("t") - both)
-    return pairs.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"), like.alias("likeness")).where(F.col("likeness") >= threshold).distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), like.alias("likeness")).where(F.col("likeness") >= threshold)

@@ -1,8 +1,8 @@
 """Token counts by scanning flat token files for end-of-document identifiers.
 
-Files are sequences of 16-bit little-endian ids without any index. Each file is cut into blocks; in a block numpy finds
-the separators and gives the number of them, of the ids before the first and after the last. A prefix scan over the blocks
-of a file numbers the documents and stitches those that span blocks.
+Files are sequences of 16-bit little-endian ids without any index. Each file is cut into blocks, read by byte range and
+spread over the tasks whatever file they belong to; in a block numpy finds the separators. A prefix scan over the blocks of
+a file numbers the documents and stitches those that span blocks.
 """
 
 from __future__ import annotations
@@ -11,16 +11,21 @@ import base64
 import uuid
 from collections.abc import Iterator
 from functools import cache
+from itertools import groupby
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylog.plans.lineage import ensure_checkpoint_dir
+from quarrylog.plans.lineage import cut, ensure_checkpoint_dir, remove_folder
 
 END = 50256
 BLOCK_TOKENS = 1 << 20
+#: Stores whose byte ranges Arrow reads; files of any other are read whole, by Spark.
+RANGE_STORES = frozenset(("file", "hdfs", "s3", "gs", "abfs", "abfss"))
 
 
 @cache
@@ -30,6 +35,8 @@ def _encoding(path: str | None):
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if END in ranks.values() or max(ranks.values()) >= 1 << 16:
+        raise ValueError(f"the vocabulary must leave out id {END} and fit 16 bits")
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -48,40 +55,81 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     df.write.option("encoding", "ISO-8859-1").option("lineSep", separator).text(folder)
 
 
+FOUND = "file string, length long, block long, ends array<long>"
+
+
+def _ends(ids: bytes | memoryview, end: int) -> np.ndarray:
+    return np.flatnonzero(np.frombuffer(ids, dtype="<u2", count=len(ids) // 2) == end).astype(np.int64)
+
+
+def _found(batch: pa.RecordBatch, rows: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "length", "block")), pa.array(rows, type=pa.list_(pa.int64()))], names=["file", "length", "block", "ends"])
+
+
+def _contents(end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _found(batch, [_ends(b.as_buffer(), end) for b in batch.column("bytes")])
+
+    return run
+
+
+def _ranges(end: int, size: int):
+    """Reads the block of each row from its file, which stays open for the rows of it that follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                rows = []
+                for path, group in groupby(zip(part.column("path").to_pylist(), part.column("block").to_pylist(), strict=True), key=lambda r: r[0]):
+                    store, inside = pyarrow.fs.FileSystem.from_uri(quote(path, safe=":/"))
+                    with store.open_input_file(inside) as f:
+                        rows += [_ends(f.read_at(size, block * size), end) for _, block in group]
+                yield _found(part, rows)
+
+    return run
+
+
 def scan_token_files(spark: SparkSession, folder: str, end: int = END, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``(file, document, start, n_tokens)``: the documents of each file from 0, their first id's place and their ids.
 
-    Ids after the last separator are a document, too; an empty file has none. Spark reads a file whole (2 GB at most).
+    Ids after the last separator are a document, too; an empty file has none. ``file`` is its place under ``folder``. In the
+    stores of ``RANGE_STORES`` a task holds one block at a time, whatever a file's length; elsewhere Spark reads a file whole
+    (2 GB at most).
     """
     size = 2 * block_tokens
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where("length > 0")
-    blocks = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "content", F.explode(F.expr(f"sequence(0L, (length - 1) div {size})")).alias("block"))
-    blocks = blocks.select("file", "length", "block", F.expr(f"substring(content, cast(block * {size} + 1 as int), {size})").alias("bytes"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for b in batch.column("bytes"):
-                ids = np.frombuffer(b.as_buffer(), dtype="<u2")
-                rows.append(np.flatnonzero(ids == end).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("length"), batch.column("block"), pa.array(rows, type=pa.list_(pa.int64()))], names=["file", "length", "block", "ends"])
-
-    found = blocks.mapInArrow(run, "file string, length long, block long, ends array<long>")
+    blocks = F.explode(F.expr(f"sequence(0L, (length - 1) div {size})")).alias("block")
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root)
+    name = F.coalesce(F.nullif(F.expr(f"substring(path, {len(root.toString()) + 2})"), F.lit("")), F.lit(root.getName())).alias("file")
+    if root.toUri().getScheme() in RANGE_STORES:
+        # of a file only its length is read here; its blocks go to tasks by their numbers
+        blocks = files.select("path", name, "length", blocks).repartition(F.col("block"), F.col("file"))
+        found = blocks.mapInArrow(_ranges(end, size), FOUND)
+    else:
+        content = F.expr(f"substring(content, cast(block * {size} + 1 as int), {size})").alias("bytes")
+        blocks = files.select(name, "length", "content", blocks).select("file", "length", "block", content)
+        found = blocks.mapInArrow(_contents(end), FOUND)
+    found = cut(found.withColumn("ends", F.transform("ends", lambda x: x + F.col("block") * block_tokens)))
+    # only a count and a place of each block meet in the scan over a file
+    marks = found.select("file", "block", F.size("ends").alias("n"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("end"))
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    place = F.transform("ends", lambda x: x + F.col("block") * block_tokens)
-    found = found.withColumn("ends", place).withColumn("first", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
-    last = F.max(F.when(F.size("ends") > 0, F.element_at("ends", -1))).over(before)
-    tail = F.when(F.lead("block").over(order).isNull(), F.array(F.expr("length div 2"))).otherwise(F.array().cast("array<bigint>"))
-    found = found.withColumn("prior", F.coalesce(last, F.lit(-1))).withColumn("all", F.concat("ends", tail)).withColumn("n", F.size("ends"))
-    out = found.select("file", "first", "prior", "n", "all", F.posexplode("all").alias("k", "stop"))
+    marks = marks.select("file", "block", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.max("end").over(before), F.lit(-1)).alias("prior"), F.lead("block").over(order).isNull().alias("final"))
+    tail = F.when(F.col("final"), F.array(F.expr("length div 2"))).otherwise(F.array().cast("array<bigint>"))
+    out = found.join(marks, ["file", "block"]).withColumn("all", F.concat("ends", tail))
+    out = out.select("file", "first", "prior", "n", "all", F.posexplode("all").alias("k", "stop"))
     out = out.withColumn("start", F.when(F.col("k") == 0, F.col("prior")).otherwise(F.get("all", F.col("k") - 1)) + 1)
     return out.where("k < n or stop > start").select("file", (F.col("first") + F.col("k")).alias("document"), "start", (F.col("stop") - F.col("start")).alias("n_tokens"))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Writes the token files of ``docs`` into the shared folder and scans them."""
+    """Writes the token files of ``docs`` into the shared folder, scans them, and removes them: their separators are kept."""
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, folder, vocabulary)
-    return scan_token_files(spark, folder)
+    out = scan_token_files(spark, folder)
+    remove_folder(spark, folder)
+    return out

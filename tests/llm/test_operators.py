@@ -152,6 +152,31 @@ def test_simhash_keeps_unrelated_rows_of_null_or_repeated_ids(spark):
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, rows))
 
 
+def test_hot_simhash_buckets_are_split_without_losing_links(spark):
+    """Fingerprints of one template, few bits apart: the split index connects what all pairs connect."""
+    rng = random.Random(8)
+    prints = sorted({0x123456789ABCDEF ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 12))) for _ in range(400)} | {rng.getrandbits(64) for _ in range(40)})
+    root = {x: x for x in prints}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def groups(pairs):
+        root.update({x: x for x in prints})
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {x: find(x) for x in prints}
+
+    want = groups((a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3)
+    df = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in prints], "fp long")
+    for split in (1, 3, simhash.SPLIT):
+        assert groups((r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(df, split).collect()) == want
+    assert len(set(want.values())) < len(prints) and sum(simhash.PIECES) == 2**32 - 1
+
+
 def test_near_dedup_stage_against_all_pairs(spark):
     """Copies with edits around a similarity of 0.8, a hot passage in all texts, a hub of near copies, null and repeated ids."""
     import corpus_pipeline
@@ -269,6 +294,25 @@ def test_token_counts(spark, docs, tmp_path):
     assert got == sorted([*(len(encode(t or "")) for t in texts()), len(encode("null id the of"))])
 
 
+def test_one_large_token_file_by_ranges_and_whole(spark, tmp_path, monkeypatch):
+    """Many blocks of one file: documents of no ids, of many blocks, and ids after the last separator."""
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 5, 0, 40_000, 0, 0, *rng.integers(0, 90, 700).tolist(), 17]
+    ids = np.concatenate([np.r_[rng.integers(0, 50_000, n), token_counts.END] for n in sizes])[:-1].astype("<u2")
+    folder = tmp_path / "a folder, 100%"
+    folder.mkdir()
+    ids.tofile(folder / "all tokens.bin")
+    (folder / "empty.bin").touch()
+    starts = np.cumsum([0, *(n + 1 for n in sizes[:-1])]).tolist()
+    want = [("all tokens.bin", k, s, n) for k, (s, n) in enumerate(zip(starts, sizes, strict=True))]
+    for stores in (token_counts.RANGE_STORES, frozenset()):
+        monkeypatch.setattr(token_counts, "RANGE_STORES", stores)
+        got = sorted(tuple(r) for r in token_counts.scan_token_files(spark, str(folder), block_tokens=128).collect())
+        assert got == want
+    spread = token_counts.scan_token_files(spark, str(folder / "all tokens.bin"), block_tokens=1000)
+    assert sorted(r["n_tokens"] for r in spread.collect()) == sorted(sizes)
+
+
 def test_passages(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
@@ -435,6 +479,56 @@ def test_classifier(spark):
     assert len(got) == 601 and len(held) > 100 and all(r["predicted"] == r["doc_id"] % 2 for r in held)
 
 
+def test_tree_walk_and_held_out_accuracy(spark):
+    """Batched walks against one row at a time; ranking of the held-out documents of a test table."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(800, 5))
+    trees = quality_classifier.fit(x, (x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=800) > 0).astype(float))
+
+    def walk(row):
+        raw = trees.start
+        for f, c, v in zip(trees.feature, trees.threshold, trees.value, strict=True):
+            at = 0
+            while f[at] >= 0:
+                at = 2 * at + (2 if row[f[at]] > c[at] else 1)
+            raw += v[at]
+        return 1 / (1 + np.exp(-raw))
+
+    assert len(trees.feature) and np.allclose(trees.score(x), [walk(r) for r in x], rtol=0, atol=1e-12)
+    sf = "/root/testdata/sf0.1"  # sf0.01 has 14 held-out bad rows only
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = quality_classifier.score_documents(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), labels)
+    rows = out.where("held_out").join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 20 and len(bad) > 20
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.95
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.9
+
+
+def test_viterbi_against_a_plain_search():
+    """The best total score over a plain dictionary of pieces, found without the trie, is that of the codec's pieces."""
+    import sentencepiece
+
+    file = sentencepiece_codec.default_model_file()
+    codec, model = sentencepiece_codec.load_codec(file), sentencepiece.SentencePieceProcessor(model_file=file)
+    n = model.get_piece_size()
+    score = {model.id_to_piece(i): codec.scores[i] for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+    longest = max(map(len, score))
+    as_byte = {i: b for b, i in enumerate(codec.byte_ids.tolist())}
+    more = ["Internationalisation of unbelievably straightforward counterexamples", "ウィキペディアは百科事典" * 30, "naïve café — 😀😀 x", "a" * 200]
+    parts = sorted({p.replace(" ", "▁") for t in [*texts(), *more] for p in sentencepiece_codec.PART.findall(t or "")})
+    ids, offsets = codec.solve([p.encode() for p in parts])
+    for k, part in enumerate(parts):
+        best = [0.0] + [-np.inf] * len(part)
+        for e in range(1, len(part) + 1):
+            for s in range(max(0, e - longest), e):
+                best[e] = max(best[e], best[s] + score.get(part[s:e], codec.unknown if e - s == 1 else -np.inf))
+        mine = ids[offsets[k] : offsets[k + 1]].tolist()
+        lone = bytes(as_byte[i] for i in mine if i in as_byte).decode()
+        total = sum(codec.scores[i] for i in mine if i not in as_byte) + codec.unknown * len(lone)
+        assert abs(total - best[-1]) < 1e-6 * max(1, abs(total))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOC)
     labels = spark.createDataFrame([], "doc_id long, quality int")
