@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.llm import line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, spotsigs, substring_dedup, token_counts, url_filter
+from quarrylog.llm import divergence_audit, exact_dedup, line_dedup, mixing, periodic_runs, quality_classifier, quality_rules, sentencepiece_codec, simhash, spotsigs, substring_dedup, token_counts, url_filter
 from quarrylog.llm.common import row_key, table
 
 
@@ -56,7 +56,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spotsigs, op2_simhash, op3_line_dedup, op4_mixing, op5_substring_dedup, op6_url_filter, op7_token_counts, op8_quality_rules, op9_sentencepiece, op10_quality_classifier)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_spotsigs, op2_simhash, op3_line_dedup, op4_mixing, op5_substring_dedup, op6_url_filter, op7_token_counts, op8_quality_rules, op9_sentencepiece, op10_quality_classifier, op11_exact_dedup, op12_periodic_runs, op13_divergence_audit)}
 ORACLES = {
     "op3_line_dedup": r"""WITH l AS (SELECT doc_id, text, i, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
  u AS (SELECT *, count(*) FILTER (i > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]')) OVER (PARTITION BY doc_id ORDER BY i) AS unit FROM l),
@@ -73,4 +85,18 @@ ORACLES = {
  r AS (SELECT doc_id, unnest(units) AS unit FROM (SELECT doc_id, list(unit) AS units, any_value(places) AS places FROM e GROUP BY doc_id, ref, diagonal, island) WHERE list_has_any(units, places)),
  d AS (SELECT v.*, r.unit IS NOT NULL AS gone FROM v LEFT JOIN (SELECT DISTINCT * FROM r) r USING (doc_id, unit))
  SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY unit) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted_lines FROM d GROUP BY doc_id""",
+    "op11_exact_dedup": r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256 FROM d WINDOW g AS (PARTITION BY t)""",
+    "op13_divergence_audit": r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+ w AS (SELECT doc_id, lang, source, unnest(terms) AS term FROM d),
+ k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY ALL HAVING count(DISTINCT doc_id) >= 30),
+ v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY 1),
+ c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+ g AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+ p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.total + 5 * v.v) AS p, 1 + 1000000000::HUGEINT * (k.n + 5) // (v.total + 5 * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, (SELECT coalesce(sum(abs(x.p - y.p)), 0) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+ terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM terms))
+ SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50""",
 }
