@@ -9,6 +9,7 @@ from quarrylog.config import AnalyzerConfig, CorrelationConfig, RiskScoringConfi
 from quarrylog.operators.components import connected_components
 from quarrylog.operators.detectors import ALERT
 from quarrylog.plans.lineage import cut
+from quarrylog.plans.ordered import ordered
 
 #: Severities from the lowest; any other ranks below them all, and counts as MEDIUM where none of them is there.
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
@@ -50,9 +51,8 @@ def memberships(alerts: DataFrame, config: AnalyzerConfig | CorrelationConfig |
     by_ip = F.array(F.concat(F.lit("i|"), address_of())) if c.correlate_by_ip else none
     by_user = F.transform(users_of(), lambda u: F.concat(F.lit("u|"), u)) if c.correlate_by_user else none
     at = alerts.select("alert_id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t"), F.explode(F.array_compact(F.concat(by_ip, by_user))).alias("key"))
-    order = Window.partitionBy("key").orderBy("t", "alert_id")
-    far = F.coalesce(F.col("t") - F.lag("t").over(order) > c.window_seconds * 1_000_000, F.lit(True))
-    heads = at.withColumn("far", far).withColumn("head", F.last(F.when(F.col("far"), F.col("alert_id")), ignorenulls=True).over(order))
+    far = F.coalesce(F.col("t") - F.col("before.t") > c.window_seconds * 1_000_000, F.lit(True))
+    heads = ordered(at, ["key"], ["t", "alert_id"]).previous("before", "t").latest("head", F.when(far, F.col("alert_id"))).rows
     groups = connected_components(heads.where("head <> alert_id").select("alert_id", "head"))
     return alerts.select("alert_id").join(groups, F.col("alert_id") == F.col("node"), "left").select("alert_id", F.coalesce("component", "alert_id").alias("incident_id"))
 

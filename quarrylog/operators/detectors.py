@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections import Counter, deque
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylog.config import AnalyzerConfig, AnomalyConfig, BruteForceConfig, ImpossibleTravelConfig, InsiderThreatConfig, PasswordSprayConfig, block
 from quarrylog.functions.text import folded, haversine_km, html_unescape, url_decoded
+from quarrylog.operators.bursts import SECOND, greedy_bursts
+from quarrylog.plans.ordered import ordered
 
 #: Fixed values: (name, pattern, confidence, risk), in the order in which an alert names those that match.
 SQLI = (
@@ -41,7 +41,6 @@ XSS = (
 #: (alert type, severity, patterns)
 SQLI_BANK = ("SQL_INJECTION", "CRITICAL", SQLI)
 XSS_BANK = ("XSS", "HIGH", XSS)
-SECOND = 1_000_000
 ALERT = ("alert_type", "severity", "timestamp", "username", "ip_address", "confidence", "risk_score", "line_no", "source", "description", "evidence")
 
 
@@ -106,75 +105,6 @@ def web_alerts(entries: DataFrame, banks: Sequence[tuple] = (SQLI_BANK, XSS_BANK
     return df.select("alert_type", "severity", "timestamp", user.alias("username"), "ip_address", "best.confidence", "best.risk_score", "line_no", source.alias("source"), about, evidence, "best.pattern")
 
 
-def _walk(n_keys: int, threshold: int, window: int, distinct: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Streams rows sorted by key and time; holds the events of one window of one key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: deque = deque()
-        users: Counter = Counter()
-        out: list[tuple] = []
-        key: tuple | None = None
-
-        def shut() -> None:
-            """The first window is complete: a burst, or its first event goes."""
-            if (len(users) if distinct else len(held)) >= threshold:
-                members = ",".join(sorted(users)) if distinct else None
-                out.append((*key[:n_keys], held[0][0], held[0][1], len(users) if distinct else len(held), held[-1][0], sorted({x[2] for x in held if x[2]}), members))
-                held.clear(), users.clear()
-            else:
-                user = held.popleft()[3]
-                users[user] -= 1
-                if not users[user]:
-                    del users[user]
-
-        def made() -> pa.RecordBatch:
-            kinds = [*[pa.string()] * n_keys, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.string()]
-            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-            names = [*[f"k{k}" for k in range(n_keys)], "t", "line_no", "n", "end", "seen", "members"]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-            for *new, t, line_no, source, user in zip(*columns, strict=True):
-                if (new := tuple(new)) != key:
-                    while held:
-                        shut()
-                    key = new
-                while held and t - held[0][0] > window:
-                    shut()
-                held.append((t, line_no, source, user))
-                users[user] += 1
-            yield made()
-            out.clear()
-        while held:
-            shut()
-        yield made()
-
-    return run
-
-
-def greedy_bursts(df: DataFrame, keys: list[str], threshold: int, window_s: int, distinct: str | None = None) -> DataFrame:
-    """Non-overlapping bursts: from the first event whose window holds enough events (or distinct values), the next search starts after that window.
-
-    Time is cut into slots as wide as the window. No window spans an empty slot, so a key's runs of filled slots (islands)
-    are walked apart, in many tasks; islands of too few events are dropped before anything but counts is shuffled. One island
-    is streamed by one task, which holds the events of one window.
-    """
-    window = window_s * SECOND
-    t = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    value = F.col(distinct) if distinct else F.lit("")
-    df = df.select(*keys, t.alias("t"), F.floor(t / max(1, window)).alias("slot"), "line_no", "source", value.alias("__value"))
-    slots = df.groupBy(*keys, "slot").agg(F.count("*").alias("n"))
-    slots = slots.withColumn("island", F.col("slot") - F.row_number().over(Window.partitionBy(*keys).orderBy("slot")))
-    slots = slots.withColumn("n", F.sum("n").over(Window.partitionBy(*keys, "island"))).where(F.col("n") >= threshold).drop("n")
-    rows = df.join(slots, [*keys, "slot"]).select(*keys, "island", "t", "line_no", "source", "__value")
-    rows = rows.repartition(*keys, "island").sortWithinPartitions(*keys, "island", "t", "line_no")
-    schema = ", ".join([*[f"k{k} string" for k in range(len(keys))], "t long, line_no long, n int, end long, seen array<string>, members string"])
-    found = rows.mapInArrow(_walk(len(keys), threshold, window, bool(distinct)), schema)
-    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
-    return found.select(*[F.col(f"k{k}").alias(c) for k, c in enumerate(keys)], at("t").alias("timestamp"), "n", "line_no", "members", at("end").alias("end"), "seen")
-
-
 def _graded(df: DataFrame, alert_type: str, threshold: int, window_s: int, user: Column, **more: Column) -> DataFrame:
     over = F.greatest(F.lit(0), F.col("n") - threshold)
     evidence = _evidence(**more, threshold=F.lit(threshold), window_seconds=F.lit(window_s), start_time=_stamp("timestamp"), end_time=_stamp("end"))
@@ -197,7 +127,7 @@ def password_spray(entries: DataFrame, config: AnalyzerConfig | PasswordSprayCon
     """Bursts of failed logins of many users from one address; the alert names the users, sorted, with commas between."""
     c = block(config, PasswordSprayConfig)
     found = greedy_bursts(entries.where(FAILED), ["ip_address"], c.unique_user_threshold, c.window_seconds, "username")
-    return _graded(found, "PASSWORD_SPRAY", c.unique_user_threshold, c.window_seconds, F.col("members"), unique_users=F.col("n"), users=F.split("members", ","))
+    return _graded(found, "PASSWORD_SPRAY", c.unique_user_threshold, c.window_seconds, F.array_join("members", ","), unique_users=F.col("n"), users=F.col("members"))
 
 
 def impossible_travel(entries: DataFrame, places: DataFrame, config: AnalyzerConfig | ImpossibleTravelConfig | None = None) -> DataFrame:
@@ -205,8 +135,8 @@ def impossible_travel(entries: DataFrame, places: DataFrame, config: AnalyzerCon
     most = float(block(config, ImpossibleTravelConfig).max_plausible_speed_kmh)
     logins = entries.where("event_type = 'LOGIN_SUCCESS' and username not in ('', '-')")
     here = logins.join(places, F.trim("ip_address") == F.col("ip"), "left").withColumn("t", F.unix_micros(F.col("timestamp").cast("timestamp")))
-    before = F.lag(F.struct("ip_address", "t", "city", "country", "lat", "lon")).over(Window.partitionBy("username").orderBy("t", "line_no"))
-    df = here.withColumn("p", before).where("p.ip_address <> ip_address and p.city <> city")
+    here = ordered(here.drop("p", "block"), ["username"], ["t", "line_no"]).previous("p", "ip_address", "t", "city", "country", "lat", "lon").rows
+    df = here.where("p.ip_address <> ip_address and p.city <> city")
     df = df.withColumn("km", haversine_km(F.col("p.lat"), F.col("p.lon"), F.col("lat"), F.col("lon"))).withColumn("s", (F.col("t") - F.col("p.t")) / SECOND)
     df = df.withColumn("speed", F.when(F.col("s") <= 0, F.lit(float("inf"))).otherwise(F.col("km") / (F.col("s") / 3600))).where(F.col("speed") > most)
     ratio = F.col("speed") / most if most > 0 else F.lit(1.0)
