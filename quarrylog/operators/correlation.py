@@ -13,6 +13,8 @@ from quarrylog.plans.ordered import ordered
 
 #: Severities from the lowest; any other ranks below them all, and counts as MEDIUM where none of them is there.
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+#: What tells alerts apart.
+KEY = ("alert_type", "timestamp", "ip_address", "username", "evidence")
 
 
 def deduplicate(alerts: DataFrame) -> DataFrame:
@@ -20,11 +22,15 @@ def deduplicate(alerts: DataFrame) -> DataFrame:
 
     First is the least ``seq`` (the detector's place; 0 where ``alerts`` has no such column), then the least line.
     """
-    key = ["alert_type", "timestamp", "ip_address", "username", "evidence"]
     seq = F.col("seq") if "seq" in alerts.columns else F.lit(0)
     df = alerts.select(*ALERT, seq.cast("int").alias("seq"))
-    df = df.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy("seq", "line_no"))).where("__r = 1").drop("__r")
-    return df.withColumn("alert_id", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]), 256))
+    df = df.withColumn("__r", F.row_number().over(Window.partitionBy(*KEY).orderBy("seq", "line_no"))).where("__r = 1").drop("__r")
+    return with_id(df)
+
+
+def with_id(alerts: DataFrame) -> DataFrame:
+    """Adds alert_id, a hash of what tells alerts apart."""
+    return alerts.withColumn("alert_id", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in KEY]), 256))
 
 
 def address_of(c: str = "ip_address") -> Column:

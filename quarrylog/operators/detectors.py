@@ -119,24 +119,40 @@ FAILED = "event_type = 'LOGIN_FAILED' and username <> '' and ip_address <> ''"
 def brute_force(entries: DataFrame, config: AnalyzerConfig | BruteForceConfig | None = None) -> DataFrame:
     """Bursts of failed logins of one user from one address."""
     c = block(config, BruteForceConfig)
-    found = greedy_bursts(entries.where(FAILED), ["username", "ip_address"], c.failed_attempt_threshold, c.window_seconds)
+    return brute_force_alerts(greedy_bursts(entries.where(FAILED), ["username", "ip_address"], c.failed_attempt_threshold, c.window_seconds), c)
+
+
+def brute_force_alerts(found: DataFrame, c: BruteForceConfig) -> DataFrame:
+    """Bursts by user and address as alerts."""
     return _graded(found, "BRUTE_FORCE", c.failed_attempt_threshold, c.window_seconds, F.col("username"), attempts=F.col("n"))
 
 
 def password_spray(entries: DataFrame, config: AnalyzerConfig | PasswordSprayConfig | None = None) -> DataFrame:
     """Bursts of failed logins of many users from one address; the alert names the users, sorted, with commas between."""
     c = block(config, PasswordSprayConfig)
-    found = greedy_bursts(entries.where(FAILED), ["ip_address"], c.unique_user_threshold, c.window_seconds, "username")
+    return password_spray_alerts(greedy_bursts(entries.where(FAILED), ["ip_address"], c.unique_user_threshold, c.window_seconds, "username"), c)
+
+
+def password_spray_alerts(found: DataFrame, c: PasswordSprayConfig) -> DataFrame:
+    """Bursts of distinct users by address as alerts."""
     return _graded(found, "PASSWORD_SPRAY", c.unique_user_threshold, c.window_seconds, F.array_join("members", ","), unique_users=F.col("n"), users=F.col("members"))
 
 
+def logins_at(entries: DataFrame, places: DataFrame) -> DataFrame:
+    """Successful logins of named users with the place of their address (nulls if unknown)."""
+    return entries.where("event_type = 'LOGIN_SUCCESS' and username not in ('', '-')").join(places, F.trim("ip_address") == F.col("ip"), "left")
+
+
 def impossible_travel(entries: DataFrame, places: DataFrame, config: AnalyzerConfig | ImpossibleTravelConfig | None = None) -> DataFrame:
     """Consecutive logins of a user whose places lie too far apart for the time between; an unknown address breaks the pair."""
-    most = float(block(config, ImpossibleTravelConfig).max_plausible_speed_kmh)
-    logins = entries.where("event_type = 'LOGIN_SUCCESS' and username not in ('', '-')")
-    here = logins.join(places, F.trim("ip_address") == F.col("ip"), "left").withColumn("t", F.unix_micros(F.col("timestamp").cast("timestamp")))
-    here = ordered(here.drop("p", "block"), ["username"], ["t", "line_no"]).previous("p", "ip_address", "t", "city", "country", "lat", "lon").rows
-    df = here.where("p.ip_address <> ip_address and p.city <> city")
+    here = logins_at(entries, places).select("username", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t"), "timestamp", "line_no", "source", "ip_address", "city", "country", "lat", "lon")
+    here = ordered(here, ["username"], ["t", "line_no"]).previous("p", "ip_address", "t", "city", "country", "lat", "lon").rows
+    return travel_alerts(here, float(block(config, ImpossibleTravelConfig).max_plausible_speed_kmh))
+
+
+def travel_alerts(pairs: DataFrame, most: float) -> DataFrame:
+    """Logins with the one before as struct p: an alert where another city is reached at over ``most`` km/h."""
+    df = pairs.where("p.ip_address <> ip_address and p.city <> city")
     df = df.withColumn("km", haversine_km(F.col("p.lat"), F.col("p.lon"), F.col("lat"), F.col("lon"))).withColumn("s", (F.col("t") - F.col("p.t")) / SECOND)
     df = df.withColumn("speed", F.when(F.col("s") <= 0, F.lit(float("inf"))).otherwise(F.col("km") / (F.col("s") / 3600))).where(F.col("speed") > most)
     ratio = F.col("speed") / most if most > 0 else F.lit(1.0)

@@ -17,6 +17,9 @@ from quarrylog.plans.lineage import cut
 from quarrylog.reporting import severity_counts
 from quarrylog.service import find_alerts
 from quarrylog.sources.logs import ENTRIES_SQL, PLACES, log_entries, places
+from quarrylog.streaming import bursts as stream_bursts
+from quarrylog.streaming import travel as stream_travel
+from quarrylog.streaming.state import drained
 
 DAY = 86_400
 #: The derived logs have eleven addresses only, so the forest is grown from ten entities on.
@@ -28,6 +31,8 @@ CONFIG = AnalyzerConfig(
 )
 #: The rules alone: the forest's alerts can't be had from SQL.
 RULES = replace(CONFIG, anomaly=replace(CONFIG.anomaly, enabled=False))
+#: How long the streams wait for late events.
+DELAY = "2 days"
 #: Lines of all formats, well and badly formed; %L(ts) and the like stand for a formatted time.
 LINES_SQL = """SELECT event_id AS line_no, CASE event_id % 16
  WHEN 0 THEN concat(%L(ts), ' host sshd[', CAST(event_id AS STRING), ']: Failed password for invalid user u', CAST(user_id AS STRING), ' from 10.0.0.', CAST(user_id % 200 AS STRING), ' port 22 ssh2')
@@ -84,6 +89,18 @@ def _flat(incidents: DataFrame) -> DataFrame:
     return incidents.select("incident_type", "severity", "first_seen", "last_seen", "alert_count", *joined, F.col("risk_score").cast("long").alias("risk_score"))
 
 
+def _force(alerts: DataFrame) -> DataFrame:
+    return alerts.select("username", "ip_address", "timestamp", "end", "source", F.col("n").cast("long").alias("attempts"), _six("confidence"), F.col("risk_score").cast("long"))
+
+
+def _spray(alerts: DataFrame) -> DataFrame:
+    return alerts.select("ip_address", "timestamp", "end", F.col("username").alias("users"), F.col("n").cast("long").alias("unique_users"), _six("confidence"), F.col("risk_score").cast("long"))
+
+
+def _pairs(alerts: DataFrame) -> DataFrame:
+    return alerts.select("username", "ip_address", "timestamp", "line_no", F.round("km", 3).alias("km"), _six("confidence"), F.col("risk_score").cast("long"))
+
+
 QUERIES = {
     "parse_classify": lambda s, d: _parsed(s, d).select("line_no", "outcome", F.coalesce("source", F.lit("")).alias("source")),
     "parse_entries": lambda s, d: _parsed(s, d).where("outcome = 'parsed'").select("line_no", "source", "timestamp", "username", "ip_address", "status", "event_type", "method", "path", "status_code"),
@@ -93,9 +110,12 @@ QUERIES = {
     "top_ip": lambda s, d: detectors.top_value(log_entries(s, d), "ip_address"),
     "sqli_alerts": lambda s, d: _web(s, d, detectors.SQLI_BANK),
     "xss_alerts": lambda s, d: _web(s, d, detectors.XSS_BANK),
-    "brute_force": lambda s, d: detectors.brute_force(log_entries(s, d), CONFIG).select("username", "ip_address", "timestamp", "end", "source", F.col("n").cast("long").alias("attempts"), _six("confidence"), F.col("risk_score").cast("long")),
-    "password_spray": lambda s, d: detectors.password_spray(log_entries(s, d), CONFIG).select("ip_address", "timestamp", "end", F.col("username").alias("users"), F.col("n").cast("long").alias("unique_users"), _six("confidence"), F.col("risk_score").cast("long")),
-    "impossible_travel": lambda s, d: detectors.impossible_travel(log_entries(s, d), places(s)).select("username", "ip_address", "timestamp", "line_no", F.round("km", 3).alias("km"), _six("confidence"), F.col("risk_score").cast("long")),
+    "brute_force": lambda s, d: _force(detectors.brute_force(log_entries(s, d), CONFIG)),
+    "password_spray": lambda s, d: _spray(detectors.password_spray(log_entries(s, d), CONFIG)),
+    "impossible_travel": lambda s, d: _pairs(detectors.impossible_travel(log_entries(s, d), places(s))),
+    "stream_brute_force": lambda s, d: _force(drained(stream_bursts.brute_force(log_entries(s, d, True), CONFIG, DELAY))),
+    "stream_password_spray": lambda s, d: _spray(drained(stream_bursts.password_spray(log_entries(s, d, True), CONFIG, DELAY))),
+    "stream_impossible_travel": lambda s, d: _pairs(drained(stream_travel.impossible_travel(log_entries(s, d, True), places(s), None, DELAY))),
     "insider_scores": lambda s, d: detectors.insider_scores(log_entries(s, d)).select("username", "events", "unusual_hours", "sensitive", F.col("score").cast("long").alias("score"), "majority_ip"),
     "insider_threat": lambda s, d: detectors.insider_threat(log_entries(s, d)).select("username", "timestamp", "ip_address", "line_no", _six("confidence"), F.col("risk_score").cast("long"), "majority_ip", F.array_join("unusual_ips", "|").alias("unusual_ips")),
     "features_ip": lambda s, d: detectors.features(log_entries(s, d), "ip_address"),
@@ -191,6 +211,13 @@ _INCIDENTS = f"""{_ALERTS}, numbered AS (SELECT *, row_number() OVER (ORDER BY t
  CAST(least(100, CASE rank WHEN 4 THEN 90 WHEN 3 THEN 70 WHEN 2 THEN 40 ELSE 20 END + CASE WHEN alert_count >= 2 THEN 10 ELSE 0 END + CASE WHEN types >= 2 THEN 10 ELSE 0 END + CASE WHEN alert_count > types THEN 5 ELSE 0 END + CASE WHEN privileged THEN 5 ELSE 0 END + CASE WHEN sure >= 0.85 THEN 3 ELSE 0 END) AS BIGINT) AS risk_score
  FROM total JOIN chain USING (incident) JOIN who USING (incident)"""
 
+
+def _over(event_type: str, window_s: int) -> str:
+    """Only what the watermark has passed at the end of the stream."""
+    named = " AND username <> '-'" if event_type == "LOGIN_SUCCESS" else ""
+    return f"WHERE epoch_us(timestamp) + {window_s * 1_000_000} <= (SELECT epoch_ms(max(timestamp)) FROM e WHERE event_type = '{event_type}'{named}) * 1000 - {2 * DAY * 1_000_000}"
+
+
 ORACLES = {
     "parse_classify": f"{_LINES} SELECT line_no, outcome, source FROM p",
     "parse_entries": f"{_LINES} SELECT line_no, source, timestamp, username, ip_address, status, event_type, method, path, status_code FROM p WHERE outcome = 'parsed'",
@@ -206,6 +233,9 @@ ORACLES = {
     "brute_force": f"WITH RECURSIVE e AS ({ENTRIES_SQL}), {_FORCE[0]} {_FORCE[1]}",
     "password_spray": f"WITH RECURSIVE e AS ({ENTRIES_SQL}), {_SPRAY[0]} {_SPRAY[1]}",
     "impossible_travel": f"{_E}, {_TRAVEL} {_TRAVEL_ROWS}",
+    "stream_brute_force": f"WITH RECURSIVE e AS ({ENTRIES_SQL}), {_FORCE[0]} SELECT * FROM ({_FORCE[1]}) {_over('LOGIN_FAILED', 3 * DAY)}",
+    "stream_password_spray": f"WITH RECURSIVE e AS ({ENTRIES_SQL}), {_SPRAY[0]} SELECT * FROM ({_SPRAY[1]}) {_over('LOGIN_FAILED', 3 * DAY)}",
+    "stream_impossible_travel": f"{_E}, {_TRAVEL} SELECT * FROM ({_TRAVEL_ROWS}) {_over('LOGIN_SUCCESS', 0)}",
     "insider_scores": f"{_E}, {_INSIDER} SELECT * FROM score",
     "insider_threat": f"{_E}, {_INSIDER} SELECT * FROM insider",
     "features_ip": f"{_E} {_FEATURES.format(c='ip_address', w='')}",

@@ -42,8 +42,10 @@ ENTRIES_SQL = f"""SELECT event_id AS line_no, ts AS timestamp,
  FROM events"""
 
 
-def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+def log_entries(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    events = spark.read.parquet(path := f"{sf_dir}/events.parquet")
+    if stream:
+        events = spark.readStream.schema(events.schema).parquet(path.removesuffix("t") + "[t]")  # a stream reads folders or patterns
     return spark.sql(ENTRIES_SQL.replace("FROM events", "FROM {events}"), events=events)
 
 
