@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylog.plans.lineage import cut
@@ -63,20 +63,25 @@ def _neighbours(docs: DataFrame, parts: int) -> DataFrame:
     low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
     bounds = sorted(set(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.001))) if low is not None else []
     edges = F.array(*[F.lit(int(x)) for x in bounds]) if bounds else F.array().cast("array<bigint>")
-    # the bucket by binary search: bounds are few (one for each shuffle partition)
-    at = F.coalesce(F.size(F.filter(edges, lambda x: x <= F.col("doc_id"))), F.lit(0))
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("doc_id").isNull(), -1).otherwise(at).alias("__b"))
-    heads = df.select("__b", "doc_id").groupBy("__b").agg(F.max("doc_id").alias("head")).orderBy(F.desc("__b")).collect()  # a row for each bucket
-    order = [r["__b"] for r in heads]
-    to = {b: (order[k - 1] if k else order[-1]) for k, b in enumerate(order)}
-    head = F.lit(False)
-    after = F.lit(None).cast("int")
-    for r in heads:
-        here = (F.col("__b") == r["__b"]) & F.col("doc_id").eqNullSafe(F.lit(r["head"]))
-        head, after = head | here, F.when(here, to[r["__b"]]).otherwise(after)
+    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(_at(edges, len(bounds), F.col("doc_id")), F.lit(-1)).alias("__b"))
+    # a row for each bucket: its first row, and the bucket before it, to which a copy of that row goes (the first one's to the last)
+    heads = df.groupBy(F.col("__b").alias("__of")).agg(F.max("doc_id").alias("__head"))
+    order = Window.orderBy(F.desc("__of"))
+    heads = heads.withColumn("__after", F.coalesce(F.lag("__of").over(order), F.min("__of").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    df = df.join(F.broadcast(heads), (F.col("__b") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__head")), "left")
     own = F.struct(F.col("__b").alias("b"), F.lit(0).alias("extra"))
-    more = F.struct(after.alias("b"), F.lit(1).alias("extra"))
-    return df.withColumn("__to", F.explode(F.when(head, F.array(own, more)).otherwise(F.array(own)))).select("doc_id", "text", F.col("__to.b").alias("__b"), F.col("__to.extra").alias("__extra"))
+    more = F.struct(F.col("__after").alias("b"), F.lit(1).alias("extra"))
+    df = df.withColumn("__to", F.explode(F.when(F.col("__after").isNotNull(), F.array(own, more)).otherwise(F.array(own))))
+    return df.select("doc_id", "text", F.col("__to.b").alias("__b"), F.col("__to.extra").alias("__extra"))
+
+
+def _at(edges: Column, n: int, x: Column) -> Column:
+    """How many of the ``n`` ascending edges are at most ``x``, by halving; null for null."""
+    steps = [F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)]
+    if not steps:
+        return F.when(x.isNotNull(), 0)
+    further = lambda at, step: at + F.when((at + step <= n) & (F.get(edges, at + step - 1) <= x), step).otherwise(0)
+    return F.when(x.isNotNull(), F.aggregate(F.array(*steps), F.lit(0), further))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +126,8 @@ def edited_likeness(docs: DataFrame, parts: int | None = None) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``(a, b, likeness)``: pairs between distinct fingerprints' least ids whose sets are alike, found by shared prefixes.
 
-    The rarest signatures (by hash order) index a set: two sets of likeness t share one among the first n - ceil(t n) + 1 of
-    each. The join key holds the signature and the length partition, whose borders grow by 1/t, so that alike sets lie in
+    The signatures of the fewest sets index a set: two sets of likeness t share one among the first n - ceil(t n) + 1 of
+    each, in any order that is the same for all. The join key holds the signature and the length partition, whose borders grow by 1/t, so that alike sets lie in
     the same or the next one. Rows of null id take no part; texts of one id that are alike give a pair of that id with itself.
     """
 
@@ -133,10 +138,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     sets = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>").where("size(s) > 0")
     sets = cut(sets.groupBy("s").agg(F.min("doc_id").alias("doc_id")).withColumn("h", F.xxhash64("s")))
-    n = F.size("s")
     share = F.lit(threshold)
-    prefix = F.slice("s", F.lit(1), n - F.ceil(share * n).cast("int") + 1)
-    keyed = sets.select(F.col("h").alias("x"), n.alias("m"), F.floor(F.log(n.cast("double")) / -np.log(threshold)).cast("int").alias("p"), F.explode(prefix).alias("k"))
+    each = sets.select("h", F.explode("s").alias("k"))
+    each = each.join(each.groupBy("k").agg(F.count("*").alias("sets")), "k")
+    n = F.size("o")
+    rare = each.groupBy(F.col("h").alias("x")).agg(F.array_sort(F.collect_list(F.struct("sets", "k"))).alias("o"))
+    prefix = F.slice("o", F.lit(1), n - F.ceil(share * n).cast("int") + 1)
+    keyed = rare.select("x", n.alias("m"), F.floor(F.log(n.cast("double")) / -np.log(threshold)).cast("int").alias("p"), F.explode(F.transform(prefix, lambda e: e["k"])).alias("k"))
     other = keyed.select(F.col("x").alias("y"), F.col("m").alias("o"), F.explode(F.array("p", F.col("p") + 1)).alias("p"), "k")
     near = keyed.join(other, ["p", "k"]).where((F.col("x") != F.col("y")) & (F.least("m", "o") >= share * F.greatest("m", "o")))
     # only hashes and sizes meet in the join; a pair's sets are fetched once

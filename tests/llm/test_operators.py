@@ -276,6 +276,46 @@ def test_spotsigs(docs):
         assert (got[k]["near_edited"], got[k]["near_next"], got[k]["fingerprint"]) == (spotsigs.likeness(a, b), spotsigs.likeness(a, c), spotsigs.as_string(a))
 
 
+def plain_signatures(text):
+    """Another way to the same sets: each anchor with the two content words that follow it, by scanning ahead."""
+    w = [x for x in (y.strip(".,;:!?\"'()[]{}|#*$%&") for y in (text or "").lower().split()) if x] or (text or "").split()
+    found = set()
+    for k, x in enumerate(w):
+        if x in spotsigs.ANCHORS:
+            chain = [y for y in w[k + 1 :] if y not in spotsigs.ANCHORS][:2]
+            found |= {(x, *chain)} if len(chain) == 2 else set()
+    if not found and w:
+        found = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or {tuple(w)}
+    return {xxhash.xxh32_intdigest(" ".join(s)) for s in found}
+
+
+def test_spotsigs_against_other_signatures_and_many_partitions(spark, docs):
+    """Fingerprints and likenesses without the operator's own code; planned for more partitions than there are rows."""
+    rows = [(k, t or "") for k, t in enumerate(texts())] + [(None, "null id the of")]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    following = {r[0]: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for parts in (3, 1500):
+        found = {r["doc_id"]: r for r in spotsigs.edited_likeness(docs, parts).collect()}
+        for k, t in rows:
+            edited = t[: len(t) - len(t) // 2] + following[k][: len(t) // 2]
+            a, b, c = (plain_signatures(x) for x in (t, edited, following[k]))
+            assert found[k]["fingerprint"] == "".join(f"{x:08x}" for x in sorted(a)) and found[k]["edited_fingerprint"] == "".join(f"{x:08x}" for x in sorted(b))
+            assert (found[k]["near_edited"], found[k]["near_next"]) == (like(a, b), like(a, c))
+
+
+def test_spotsigs_pairs_of_a_very_frequent_signature(spark):
+    """One chain in all sets: it is in no prefix but where sets have nothing rarer."""
+    rows = [(k, f"the same thing. " + " ".join(f"of w{k % 20}x{j} y{j}" for j in range(12 + (k > 19) * (k % 3)))) for k in range(60)]
+    sets = {k: plain_signatures(t) for k, t in rows}
+    first = {}
+    for k, x in sets.items():
+        first.setdefault(frozenset(x), k)
+    want = {(a, b) for x, a in first.items() for y, b in first.items() if a < b and len(x & y) / len(x | y) >= 0.8}
+    found = spotsigs.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r["a"], r["b"]) for r in found.collect()} == want and len(want) > 10
+
+
 def test_spotsigs_pairs(docs):
     known = docs.where("doc_id is not null")
     sets = {}
