@@ -15,7 +15,7 @@ first places of its fingerprints share.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylog.llm.common import KEY, row_key, words
+from quarrylog.llm.periodic_runs import agree, levels_of
 from quarrylog.plans.scratch import Scratch
 
 #: A newline before a line with a word; blank lines stay with the line before them.
 CUT = r"\n(?=[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D])"
 WINDOW, LONG_WORDS = 3, 40
+#: Diagonals of a pair that are compared line by line.
+FEW = 8
 
 
 def lines_of(text: str = "text") -> Column:
@@ -55,37 +58,73 @@ def hashed_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_W
     return df.select(*KEY, "h", marks.alias("marks")).dropDuplicates(list(KEY))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(first, last) of the runs of equal lines on a diagonal that hold one of its places, for each row of columns key..., ref, diagonal, places, h, ref_h."""
-    for batch in batches:
-        rows, first, last = [], [], []
-        for k, (d, places, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("diagonal", "places", "h", "ref_h")), strict=True)):
-            low, high = max(0, d), min(len(a), len(b) + d)
-            same = np.r_[False, np.array(a[low:high], dtype=np.int64) == np.array(b[low - d : high - d], dtype=np.int64), False]
+def _stretches(a: np.ndarray, b: np.ndarray, i: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """(first, last, diagonal) of the runs of equal lines that hold the places i of the diagonals d, each once."""
+    diagonals = np.unique(d)
+    if len(diagonals) <= FEW:
+        found = []
+        for k in diagonals.tolist():
+            low, high = max(0, k), min(len(a), len(b) + k)
+            same = np.r_[False, a[low:high] == b[low - k : high - k], False]
             borders = np.flatnonzero(same[1:] != same[:-1]) + low
-            for s, e in zip(borders[::2].tolist(), borders[1::2].tolist(), strict=True):
-                if any(s <= p < e for p in places):
-                    rows.append(k), first.append(s), last.append(e - 1)
-        kept = batch.take(pa.array(rows, type=pa.int64()))
-        names = [*KEY, "ref", "diagonal"]
-        yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), pa.array(first, type=pa.int32()), pa.array(last, type=pa.int32())], names=[*names, "first", "last"])
-
-
-def repeated_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
-    """Later runs: ``(*KEY, first, last, ref, ref_first)``, ref: (key columns) of the earlier place; lines count from 0."""
+            starts, stops = borders[::2], borders[1::2]
+            run = np.searchsorted(starts, places := np.unique(i[d == k]), side="right") - 1
+            run = np.unique(run[(run >= 0) & (places < stops[np.maximum(run, 0)])]) if len(starts) else run[:0]
+            found.append(np.stack([starts[run], stops[run] - 1, np.full(len(run), k)]))
+        return np.concatenate(found, axis=1)
+    # many diagonals of one pair, as where a line stands very often: names of blocks tell how far each place extends
+    ids = np.unique(np.r_[a, b], return_inverse=True)[1]
+    joined = np.r_[ids[: len(a)], ids.max() + 1, ids[len(a) :]]
+    names, j = levels_of(joined, int(joined.max()) + 1), i - d + len(a) + 1
+    here = joined[i] == joined[j]
+    i, j, d = i[here], j[here], d[here]
+    found = np.stack([i - agree(names, i, j, True), i + agree(names, i, j, False) - 1, d])
+    return np.unique(found, axis=1)
+
+
+def _runs(merged: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The runs of each row (key..., ref, places, h, ref_h); ``merged``: only the stretches of lines that they cover together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, parts = [], []
+            for k in range(len(batch)):
+                a, b = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("h", "ref_h"))
+                places = batch.column("places")[k].values
+                found = _stretches(a, b, *(places.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("i", "d")))
+                if merged and found.shape[1] > 1:
+                    found = found[:, np.argsort(found[0], kind="stable")]
+                    reach = np.maximum.accumulate(found[1])
+                    new = np.flatnonzero(np.r_[True, found[0][1:] > reach[:-1] + 1])
+                    found = np.stack([found[0][new], np.maximum.reduceat(found[1], new), found[2][new]])
+                rows += [k] * found.shape[1]
+                parts.append(found)
+            first, last, diagonal = np.concatenate([*parts, np.empty((3, 0), dtype=np.int64)], axis=1).astype(np.int32)
+            kept = batch.select([*KEY, "ref"]).take(pa.array(rows, type=pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, (diagonal, first, last))], names=[*KEY, "ref", "diagonal", "first", "last"])
+
+    return run
+
+
+def repeated_runs(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, merged: bool = False) -> DataFrame:
+    """Later runs: ``(*KEY, first, last, ref, ref_first)``, ref: (key columns) of the earlier place; lines count from 0.
+
+    ``merged``: runs that touch or overlap, with the same ref, are one (ref_first is then that of its first run). A line that
+    stands n times gives n runs, in time that grows with n log n.
+    """
     steps = Scratch(docs.sparkSession)
     lines = steps.put(hashed_lines(docs, window, long_words))
     at = lines.select(*KEY, F.inline("marks")).select(*KEY, F.col("line").alias("i"), "v")
     firsts = at.groupBy("v").agg(F.min(F.struct(*KEY, "i")).alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = at.join(steps.put(firsts), "v").where(F.struct(*KEY, "i") > F.col("p"))
     ref = F.struct(*[F.col(f"p.{c}") for c in KEY])
-    pairs = later.select(*KEY, ref.alias("ref"), (F.col("i") - F.col("p.i")).alias("diagonal"), "i").groupBy(*KEY, "ref", "diagonal").agg(F.collect_set("i").alias("places"))
+    pairs = later.select(*KEY, ref.alias("ref"), F.struct("i", (F.col("i") - F.col("p.i")).alias("d")).alias("at")).groupBy(*KEY, "ref").agg(F.collect_list("at").alias("places"))
     pairs = steps.put(pairs)
     other = lines.select(F.struct(*KEY).alias("ref"), F.col("h").alias("ref_h"))
     both = pairs.join(lines.select(*KEY, "h"), list(KEY)).join(other, "ref")
     kinds = [(c, lines.schema[c].dataType.simpleString()) for c in KEY]
     key, inner = ", ".join(f"{c} {t}" for c, t in kinds), ", ".join(f"{c}: {t}" for c, t in kinds)
-    found = both.mapInArrow(_runs, f"{key}, ref struct<{inner}>, diagonal int, first int, last int")
+    found = both.mapInArrow(_runs(merged), f"{key}, ref struct<{inner}>, diagonal int, first int, last int")
     return found.select(*KEY, "first", "last", "ref", (F.col("first") - F.col("diagonal")).alias("ref_first"))
 
 
@@ -98,7 +137,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WO
     own = ("n_lines", "n_deleted_lines")
     columns = [c for c in docs.columns if c not in own]
     gone = (
-        repeated_runs(docs, window, long_words)
+        repeated_runs(docs, window, long_words, merged=True)
         .select(*KEY, F.explode(F.sequence("first", "last")).alias("line"))
         .groupBy(*KEY)
         .agg(F.collect_set("line").alias("__gone"))

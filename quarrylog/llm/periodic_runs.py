@@ -48,7 +48,11 @@ def names_of(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         flat += [base + seen.setdefault(w, len(seen)) for w in words]
         base += len(seen) + 1
         flat.append(base - 1)
-    ids = np.array(flat, dtype=np.int64)
+    return levels_of(np.array(flat, dtype=np.int64), base), first
+
+
+def levels_of(ids: np.ndarray, base: int) -> np.ndarray:
+    """By level the name of the block of 1, 2, 4, ... ids from each position on, -1 if it stands once; ids lie below ``base``."""
     level = np.where(np.bincount(ids, minlength=base)[ids] > 1, ids, -1) if len(ids) else ids
     levels, n = [level.astype(np.int32)], len(ids)
     width = 1
@@ -65,11 +69,11 @@ def names_of(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         level[at[twice]] = rank[twice]
         levels.append(level.astype(np.int32))
         width *= 2
-    return np.array(levels), first
+    return np.array(levels)
 
 
-def _agree(names: np.ndarray, i: np.ndarray, j: np.ndarray, back: bool) -> np.ndarray:
-    """For how many words the positions i and j agree from there on, or right before them (``back``); j > i."""
+def agree(names: np.ndarray, i: np.ndarray, j: np.ndarray, back: bool) -> np.ndarray:
+    """For how many words the positions i and j agree from there on, or right before them (``back``); i < j."""
     n = names.shape[1]
     done = np.zeros(len(i), dtype=np.int64)
     for k in range(len(names) - 1, -1, -1):
@@ -110,10 +114,10 @@ def runs_of(docs: list[list[bytes]], least: int = MIN_WORDS) -> list[list[tuple[
         x, y = names[k, i], names[k, np.where(inside, back, 0)]
         hit = ((x >= 0) & (x == names[k, i + p])) | (inside & (y >= 0) & (y == names[k, np.where(inside, back + p, 0)]))
         i, p, of = i[hit], p[hit], of[hit]
-        before = _agree(names, i, i + p, True)
+        before = agree(names, i, i + p, True)
         first_pair = before < p  # further pairs of the grid in one run find it again
         i, p, of, before = i[first_pair], p[first_pair], of[first_pair], before[first_pair]
-        after = _agree(names, i, i + p, False)
+        after = agree(names, i, i + p, False)
         long = before + after >= need[of]
         found.append(np.stack([i - before, p + before + after, p, doc[of]])[:, long])
     if found:

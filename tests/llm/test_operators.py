@@ -124,6 +124,25 @@ def test_line_dedup_of_copied_lines_and_clashing_columns(spark):
     assert line_dedup.dedup_lines(df).columns == ["doc_id", "text", "k", "h", "n_lines", "n_deleted_lines"]
 
 
+def test_line_dedup_of_one_line_very_often(spark, monkeypatch):
+    """Linear in the equal lines of a document, and the same runs whether diagonals are compared one by one or by names."""
+    n = 100_000
+    rows = [(1, "\n".join(["same"] * n)), (2, "\n".join(["head"] + ["same"] * 50 + [f"t{k}" for k in range(9)])), (3, "\n".join(["same", "x"] * 400))]
+    found = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (found[1]["n_lines"], found[1]["n_deleted_lines"], found[1]["text"]) == (n, n - 1, "same")
+    assert found[2]["text"] == "\n".join(["head"] + [f"t{k}" for k in range(9)])
+    rng = random.Random(4)
+    for _ in range(30):
+        a, b = (np.array([rng.randrange(3) for _ in range(rng.randrange(1, 60))]) for _ in range(2))
+        at = [(i, i - j) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j] and rng.random() < 0.2]
+        if at:
+            i, d = np.array(at).T
+            monkeypatch.setattr(line_dedup, "FEW", 10**6)
+            one_by_one = line_dedup._stretches(a, b, i, d)
+            monkeypatch.setattr(line_dedup, "FEW", 0)
+            assert sorted(map(tuple, one_by_one.T.tolist())) == sorted(map(tuple, line_dedup._stretches(a, b, i, d).T.tolist()))
+
+
 def test_simhash(docs):
     got = {r["doc_id"]: r for r in simhash.near_duplicate_components(docs).collect()}
     prints = {}
