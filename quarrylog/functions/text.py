@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 from html.entities import html5
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: The entities that HTML knows without a semicolon, too; the table is Python's.
-_BARE = "|".join(sorted((re.escape(n) for n in html5 if not n.endswith(";")), key=len, reverse=True))
-ENTITY = rf"&(?:#[0-9]|#[xX][0-9a-fA-F]|[A-Za-z][A-Za-z0-9]{{0,31}};|{_BARE})"
+BARE = "|".join(sorted((re.escape(n) for n in html5 if not n.endswith(";")), key=len, reverse=True))
+ENTITY = rf"&(?:#[0-9]|#[xX][0-9a-fA-F]|[A-Za-z][A-Za-z0-9]{{0,31}};|{BARE})"
+
+
+def _tables() -> tuple[str, str]:
+    """The texts of names by their first letter, and of the numbers that don't stand for their own character, as JSON."""
+    names: dict[str, dict[str, str]] = {}
+    for name, text in html5.items():
+        names.setdefault(name[0], {})[name] = text
+    planes = [p * 0x10000 + x for p in range(17) for x in (0xFFFE, 0xFFFF)]
+    odd = [n for n in (*range(0xA0), *range(0xFDD0, 0xFDF0), *planes) if html.unescape(f"&#{n};") != chr(n)]
+    return json.dumps(names), json.dumps({str(n): html.unescape(f"&#{n};") for n in odd})
+
+
+NAMES, ODD = _tables()
 
 
 def normalize_line(c: Column) -> Column:
@@ -34,14 +46,29 @@ def url_decoded(c: Column, passes: int = 2) -> Column:
     return c
 
 
-@F.arrow_udf(StringType())
-def _unescape(texts: pa.Array) -> pa.Array:
-    return pa.array([x if x is None else html.unescape(x) for x in texts.to_pylist()], type=pa.string())
+def _reference(piece: Column) -> Column:
+    """What stands behind an ampersand, with the reference at its beginning undone; with the ampersand where there is none."""
+    names = F.from_json(F.lit(NAMES), "map<string,map<string,string>>")
+    odd = F.from_json(F.lit(ODD), "map<string,string>")
+    text = lambda name: F.try_element_at(F.try_element_at(names, F.substring(name, 1, 1)), name)
+    rest = lambda n: F.substr(piece, F.length(n) + 1)
+    whole = F.regexp_extract(piece, r"^[^\t\n\f <&#;]{1,32};", 0)
+    bare = F.regexp_extract(piece, f"^(?:{BARE})", 0)
+    number = F.regexp_extract(piece, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+    is_hex = F.substring(number, 2, 1).isin("x", "X")
+    digits = F.regexp_replace(number, r"^#[xX]?0*|;$", "")
+    value = F.when(F.length(digits) > 8, F.lit(0x110000)).otherwise(F.coalesce(F.nullif(F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits), F.lit("")).cast("long"), F.lit(0)))
+    point = F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32")
+    char = F.coalesce(F.try_element_at(odd, value.cast("string")), F.when(value.between(0xD800, 0xDFFF) | (value > 0x10FFFF), "\ufffd").otherwise(point))
+    named = F.when(text(whole).isNotNull(), F.concat(text(whole), rest(whole))).when(bare != "", F.concat(text(bare), rest(bare)))
+    return F.when(number != "", F.concat(char, rest(number))).otherwise(F.coalesce(named, F.concat(F.lit("&"), piece)))
 
 
 def html_unescape(c: Column) -> Column:
-    """All character references of HTML undone once; only texts that hold one are sent to Python."""
-    return F.coalesce(_unescape(F.when(c.rlike(ENTITY), c)), c)
+    """All character references of HTML undone once, as Python's library does, in column expressions."""
+    pieces = F.split(c, "&", -1)
+    undone = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _reference), ""))
+    return F.when(c.rlike(ENTITY), undone).otherwise(c)
 
 
 def folded(c: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylog.config import AnalyzerConfig, AnomalyConfig, block
-from quarrylog.operators.detectors import features
+from quarrylog.operators.detectors import entity_features
 from quarrylog.plans.lineage import cut
 from quarrylog.plans.sampling import least_by_hash
 
@@ -23,15 +23,16 @@ NAMES = {
     "total": "total_events", "failed": "failed_logins", "success": "successful_logins", "failed_ratio": "failed_ratio", "users": "unique_users", "ips": "unique_ips",
     "paths": "unique_paths", "http": "http_requests", "http_errors": "http_errors", "auth": "auth_attempts", "unusual_hours": "unusual_hour_events", "sources": "source_diversity",
 }
+#: From what on a feature of an entity without peers is noted.
+ALONE = {"failed_ratio": 0.5, "failed": 10, "total": 10, "unusual_hours": 10, "users": 5, "ips": 5}
 TREE = "entity_type string, tree int, psi int, feature array<int>, split array<double>, child array<int>, path array<double>"
 
 
 def entity_vectors(entries: DataFrame, with_users: bool = True, config: AnalyzerConfig | AnomalyConfig | None = None) -> DataFrame:
-    """``(entity_type, entity_id, last_seen, sources, v)``: the features of each address and, if asked for, of each user."""
-    kinds = (("ip", "ip_address"), ("user", "username"))[: 2 if with_users else 1]
-    more = [F.max("timestamp").alias("last_seen"), F.array_sort(F.collect_set(F.nullif("source", F.lit("")))).alias("seen_sources")]
-    parts = [features(entries, c, more, config).select(F.lit(k).alias("entity_type"), "entity_id", "last_seen", F.col("seen_sources").alias("sources"), F.array(*NAMES).alias("v")) for k, c in kinds]
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    """``(entity_type, entity_id, last_seen, sources, v)``: the features of each address and, if asked for, of each user, from one scan."""
+    df = entity_features(entries, ("ip_address", "username")[: 2 if with_users else 1], config)
+    kind = F.when(F.col("entity") == "ip_address", "ip").otherwise("user").alias("entity_type")
+    return df.select(kind, "entity_id", "last_seen", F.col("seen_sources").alias("sources"), F.array(*NAMES).alias("v"))
 
 
 def mean_depth(n: int) -> float:
@@ -141,19 +142,38 @@ def _notes(mean: list[Column]) -> Column:
     return F.transform(F.slice(F.array_sort(F.array_compact(F.array(*found))), 1, 5), lambda x: x["text"])
 
 
+def alone_notes() -> Column:
+    """The same for an entity without peers, by fixed bounds."""
+    found = []
+    for k, (column, name) in enumerate(NAMES.items()):
+        v = F.get("v", F.lit(k))
+        if column not in ALONE:
+            continue
+        label = F.concat(F.lit("failed login ratio: "), F.format_string("%.2f", v)) if column == "failed_ratio" else F.concat(F.lit(name.replace("_", " ") + ": "), v.cast("long").cast("string"))
+        found.append(F.when(v >= ALONE[column], F.struct((-v).alias("w"), F.lit(k).alias("k"), label.alias("text"))))
+    return F.transform(F.slice(F.array_sort(F.array_compact(F.array(*found))), 1, 5), lambda x: x["text"])
+
+
+def describe(vectors: DataFrame, with_peers: bool = True) -> DataFrame:
+    """``vectors`` with notes: what stands out beside the other entities of the type, or, without peers, by fixed bounds."""
+    if not with_peers:
+        return vectors.withColumn("notes", alone_notes())
+    sums = [F.sum(F.get("v", F.lit(k))).alias(f"s{k}") for k in range(len(NAMES))]
+    totals = vectors.groupBy("entity_type").agg(F.count("*").alias("n"), *sums)
+    mean = [F.coalesce(F.try_divide(F.round(F.col(f"s{k}") - F.get("v", F.lit(k)), 9), F.col("n") - 1), F.lit(0.0)) for k in range(len(NAMES))]
+    return vectors.join(F.broadcast(totals), "entity_type").withColumn("notes", _notes(mean)).select(*vectors.columns, "notes")  # two rows at most
+
+
 def anomalies(entries: DataFrame, config: AnalyzerConfig | AnomalyConfig | None = None) -> DataFrame:
     """Alerts on entities whose score reaches the threshold, with notes on the features that stand out; empty where no type is large enough."""
     c = block(config, AnomalyConfig)
     contamination, trees, seed, minimum, threshold = c.contamination, c.n_estimators, c.random_state, c.minimum_samples, c.alert_threshold
     vectors = cut(entity_vectors(entries, c.include_user_entities, c))
     scored = score(vectors, contamination, trees, 256, seed, minimum)
-    sums = [F.sum(F.get("v", F.lit(k))).alias(f"s{k}") for k in range(len(NAMES))]
-    totals = vectors.groupBy("entity_type").agg(F.count("*").alias("n"), *sums)
-    df = scored.where(F.col("score") >= threshold).join(F.broadcast(totals), "entity_type")  # two rows at most
-    mean = [F.try_divide(F.round(F.col(f"s{k}") - F.get("v", F.lit(k)), 9), F.col("n") - 1) for k in range(len(NAMES))]
+    notes = describe(vectors).select("entity_type", "entity_id", "notes")
+    df = scored.where(F.col("score") >= threshold).join(notes, ["entity_type", "entity_id"])
     s, is_ip = F.col("score"), F.col("entity_type") == "ip"
     sure = 0.5 + s / 200 if threshold <= 0 else 0.55 + F.greatest(F.lit(0.0), s - threshold) / 100 + s / 400
-    df = df.withColumn("notes", _notes(mean))
     shown = F.struct(*[F.get("v", F.lit(k)).alias(n) for k, n in enumerate(NAMES.values())])
     evidence = F.struct(F.lit("IsolationForest").alias("model"), F.struct(F.lit(float(contamination)).alias("contamination"), F.lit(trees).alias("n_estimators"), F.lit(seed).alias("random_state"), F.lit(minimum).alias("minimum_samples"), F.lit(float(threshold)).alias("alert_threshold")).alias("model_parameters"), F.col("entity_id").alias("entity"), "entity_type", F.round("score", 2).alias("anomaly_score"), F.round("decision", 6).alias("decision_function"), shown.alias("features"), F.col("notes").alias("behavioral_notes"), F.col("sources").alias("sample_sources"), F.lit("the score tells how unusual an entity is among its peers, not that it attacks").alias("score_note"))
     about = F.concat(F.lit("Unusual activity of "), "entity_type", F.lit(" "), "entity_id", F.when(F.size("notes") > 0, F.concat(F.lit(": "), F.array_join("notes", "; "))).otherwise(""))

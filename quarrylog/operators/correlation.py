@@ -132,3 +132,8 @@ def incidents(alerts: DataFrame, config: AnalyzerConfig | None = None) -> DataFr
 def by_risk(found: DataFrame) -> DataFrame:
     """The riskiest incidents first, of equals the earlier ones."""
     return found.orderBy(F.desc("risk_score"), "first_seen", "incident_id")
+
+
+def by_first_seen(found: DataFrame) -> DataFrame:
+    """The earliest incidents first, as they are before scores are known."""
+    return found.orderBy("first_seen", "incident_id")

@@ -204,13 +204,40 @@ def insider_threat(entries: DataFrame, config: AnalyzerConfig | InsiderThreatCon
     )
 
 
-def features(entries: DataFrame, entity: str, extra: list[Column] | None = None, config: AnalyzerConfig | AnomalyConfig | None = None) -> DataFrame:
-    """The twelve behaviour features of each address or user, and the ``extra`` aggregates asked for."""
+def entity_features(entries: DataFrame, entities: Sequence[str] = ("ip_address", "username"), config: AnalyzerConfig | AnomalyConfig | None = None) -> DataFrame:
+    """``(entity, entity_id, last_seen, seen_sources, ...)``: the twelve behaviour features of each address and each user, in one scan.
+
+    Every row counts for its address and its user, once with its counts and the other of the two, once with its path and once with its source. These (entity,
+    value) rows are summed before they are shuffled, so each distinct value leaves a task once and a hot entity is spread by its
+    values; what is left to sum by entity is a row for each of its values. entity is the column's name.
+    """
     c = block(config, AnomalyConfig)
-    df = entries.where("username not in ('', '-')") if entity == "username" else entries.where("ip_address <> ''")
-    f = lambda x: F.count_if(x).cast("double")
-    d = lambda x: F.count_distinct(x).cast("double")
     failed, ok, http = (F.col("event_type") == x for x in ("LOGIN_FAILED", "LOGIN_SUCCESS", "HTTP_REQUEST"))
-    unusual = unusual_hour("timestamp", c.unusual_hour_start, c.unusual_hour_end)
-    out = df.groupBy(F.col(entity).alias("entity_id")).agg(F.count("*").cast("double").alias("total"), f(failed).alias("failed"), f(ok).alias("success"), d(F.when(~F.col("username").isin("", "-"), F.col("username"))).alias("users"), d(F.when(F.col("ip_address") != "", F.col("ip_address"))).alias("ips"), d(F.nullif(request_text(entries), F.lit(""))).alias("paths"), f(http).alias("http"), f(http & (F.col("status_code") >= 400)).alias("http_errors"), f(failed | ok).alias("auth"), f(unusual).alias("unusual_hours"), d("source").alias("sources"), *(extra or []))
-    return out.withColumn("failed_ratio", F.col("failed") / F.col("total"))
+    flags = {
+        "total": F.lit(True), "failed": failed, "success": ok, "http": http, "http_errors": http & F.coalesce(F.col("status_code") >= 400, F.lit(False)),
+        "auth": failed | ok, "unusual_hours": unusual_hour("timestamp", c.unusual_hour_start, c.unusual_hour_end),
+    }
+    named = lambda c, *none: F.when(~F.col(c).isin(*none), F.col(c))
+    user, ip, path = named("username", "", "-"), named("ip_address", ""), F.nullif(request_text(entries), F.lit(""))
+    df = entries.select(user.alias("user"), ip.alias("ip"), path.alias("path"), "source", "timestamp", *[F.coalesce(x, F.lit(False)).cast("long").alias(n) for n, x in flags.items()])
+    one = lambda e, kind, value: F.struct(F.lit(e).alias("entity"), F.col({"ip_address": "ip", "username": "user"}[e]).alias("entity_id"), F.lit(kind).alias("kind"), value.alias("value"))
+    other = {"ip_address": "user", "username": "ip"}
+    rows = F.array(*[one(e, k, v) for e in entities for k, v in ((0, F.col(other[e])), (1, F.col("path")), (2, F.col("source")))])
+    df = df.select("timestamp", *flags, F.inline(rows)).where("entity_id is not null")
+    first = F.col("kind") == 0
+    by_value = df.groupBy("entity", "entity_id", "kind", "value").agg(*[F.sum(F.when(first, F.col(n))).alias(n) for n in flags], F.max(F.when(first, F.col("timestamp"))).alias("last_seen"))
+    has = lambda k: F.count_if((F.col("kind") == k) & F.col("value").isNotNull()).cast("double")
+    seen = F.array_sort(F.collect_list(F.when((F.col("kind") == 2) & (F.col("value") != ""), F.col("value")))).alias("seen_sources")
+    out = by_value.groupBy("entity", "entity_id").agg(*[F.sum(n).cast("double").alias(n) for n in flags], F.max("last_seen").alias("last_seen"), has(0).alias("others"), has(1).alias("paths"), has(2).alias("sources"), seen)
+    by_ip, self = F.col("entity") == "ip_address", F.lit(1.0)
+    out = out.withColumns({"users": F.when(by_ip, F.col("others")).otherwise(self), "ips": F.when(by_ip, self).otherwise(F.col("others")), "failed_ratio": F.col("failed") / F.col("total")})
+    return out.select("entity", "entity_id", "last_seen", "seen_sources", *FEATURES)
+
+
+#: The features in the order of their columns.
+FEATURES = ("total", "failed", "success", "users", "ips", "paths", "http", "http_errors", "auth", "unusual_hours", "sources", "failed_ratio")
+
+
+def features(entries: DataFrame, entity: str, config: AnalyzerConfig | AnomalyConfig | None = None) -> DataFrame:
+    """The twelve behaviour features of each address or user."""
+    return entity_features(entries, [entity], config).select("entity_id", *FEATURES)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarrylog.config import AnalyzerConfig
 from quarrylog.exceptions import ParseError
 from quarrylog.functions.text import normalize_line
+from quarrylog.plans.lineage import cut
 
 #: The grammars, in the order in which formats claim a line.
 IP = r"\d{1,3}(?:\.\d{1,3}){3}"
@@ -132,11 +133,17 @@ def parse_logs(lines: DataFrame, year: int | None = None, config: AnalyzerConfig
     return parse(lines, year, config, formats).where("outcome = 'parsed'").drop("outcome").withColumnRenamed("value", "raw_message")
 
 
-def parse_stats(parsed: DataFrame) -> DataFrame:
-    """One row of counts over the rows of ``parse``."""
+def parse_logs_with_stats(lines: DataFrame, year: int | None = None, config: AnalyzerConfig | None = None, formats: Sequence[Format] = FORMATS) -> tuple[DataFrame, DataFrame]:
+    """``parse_logs`` and ``parse_stats`` of the same lines, which are parsed once and written."""
+    parsed = cut(parse(lines, year, config, formats))
+    return parsed.where("outcome = 'parsed'").drop("outcome").withColumnRenamed("value", "raw_message"), parse_stats(parsed, formats)
+
+
+def parse_stats(parsed: DataFrame, formats: Sequence[Format] = FORMATS) -> DataFrame:
+    """One row of counts over the rows of ``parse``; parsed lines by format."""
     count = lambda c: F.count_if(c).cast("long")
     is_parsed = F.col("outcome") == "parsed"
     return parsed.agg(
         F.count("*").alias("total_lines"), count(is_parsed).alias("parsed_lines"), count(F.col("outcome") == "malformed").alias("malformed_lines"), count(F.col("outcome") == "unsupported").alias("unsupported_lines"),
-        *[count(is_parsed & (F.col("source") == f.source)).alias(f"{f.source}_lines") for f in FORMATS],
+        *[count(is_parsed & (F.col("source") == f.source)).alias(f"{f.source}_lines") for f in formats],
     )

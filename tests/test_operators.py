@@ -1,13 +1,16 @@
 """Detectors and components against plain loops and hand-made cases."""
 
+import html
 import random
 from datetime import datetime, timedelta
+from html.entities import html5
 
 from pyspark.sql import functions as F
 
 from quarrylog.config import BruteForceConfig, CorrelationConfig, InsiderThreatConfig, PasswordSprayConfig, RiskScoringConfig
+from quarrylog.functions import text
 from quarrylog.functions.text import normalize_line, normalize_request
-from quarrylog.operators import correlation, detectors, parsing
+from quarrylog.operators import anomaly, correlation, detectors, parsing
 from quarrylog.operators.components import connected_components
 
 T0 = datetime(2026, 6, 26, 9)
@@ -173,3 +176,47 @@ def test_incidents_hold_their_lists_and_settings(spark):
     by_user = correlation.correlate(alerts, CorrelationConfig(correlate_by_ip=False)).collect()
     assert sorted(r["alert_count"] for r in by_user) == [1, 1, 2]
     assert correlation.incidents(alerts.limit(0)).count() == 0
+
+
+def test_html_references_are_undone_as_the_library_does(spark):
+    """Every entity with and without its semicolon, all sorts of numbers, and random strings; no Python in the plan."""
+    rng = random.Random(1)
+    numbers = [*range(200), 0xD800, 0xDFFF, 0xFDD0, 0xFFFE, 0x10FFFF, 0x110000, 10**30, 0x1F600]
+    texts = [f"a&{n}b" for n in html5] + [f"&{n.rstrip(';')}" for n in html5] + [f"&#{n};x" for n in numbers] + [f"&#X{n:x}" for n in numbers]
+    texts += ["&#00065;", "&#;", "&#x;", "&#xg", "&", "&&amp;&", "&amp;amp;", "&notit;", "&notin;", "&" + "a" * 40 + ";", ""]
+    parts = ["&", "#", "x", ";", "amp", "lt", "notin", "not", "copy", "41", "0", "é", " ", "\n", "<", "😀", "&amp;", "&lt", "frac12", "sup1"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(10_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.html_unescape(F.col("t")).alias("u"))
+    assert [(r["t"], r["u"]) for r in df.collect() if r["u"] != html.unescape(r["t"])] == []
+    shown = detectors.web_alerts(spark.createDataFrame([entry(1, 0)], ENTRY))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in shown and "EvalArrow" not in shown and "ArrowEval" not in shown
+
+
+def test_features_of_addresses_and_users_from_one_scan(spark):
+    rng = random.Random(2)
+    rows = [(k, T0 + timedelta(hours=k % 30), rng.choice(["amy", "bo", "", "-"]), rng.choice(["1.1.1.1", "2.2.2.2", ""]), "SUCCESS", rng.choice(["linux", "apache", ""]), rng.choice(["LOGIN_FAILED", "LOGIN_SUCCESS", "HTTP_REQUEST"]), rng.choice(["", "/a", "/b", "/c"]), rng.choice([None, 200, 404, 500])) for k in range(200)]
+    df = spark.createDataFrame(rows, "line_no long, timestamp timestamp_ntz, username string, ip_address string, status string, source string, event_type string, request string, status_code int")
+    found = {(r["entity"], r["entity_id"]): r for r in detectors.entity_features(df).collect()}
+    for column, at, none in (("ip_address", 3, {""}), ("username", 2, {"", "-"})):
+        for key in {r[at] for r in rows} - none:
+            own = [r for r in rows if r[at] == key]
+            count = lambda f: float(sum(map(f, own)))
+            want = {
+                "total": float(len(own)), "failed": count(lambda r: r[6] == "LOGIN_FAILED"), "success": count(lambda r: r[6] == "LOGIN_SUCCESS"), "users": float(len({r[2] for r in own} - {"", "-"})), "ips": float(len({r[3] for r in own} - {""})),
+                "paths": float(len({r[7] for r in own} - {""})), "http": count(lambda r: r[6] == "HTTP_REQUEST"), "http_errors": count(lambda r: r[6] == "HTTP_REQUEST" and (r[8] or 0) >= 400), "auth": count(lambda r: r[6] != "HTTP_REQUEST"),
+                "unusual_hours": count(lambda r: r[1].hour < 5), "sources": float(len({r[5] for r in own})), "last_seen": max(r[1] for r in own), "seen_sources": sorted({r[5] for r in own} - {""}),
+            }
+            got = found[column, key].asDict()
+            assert {n: got[n] for n in want} == want and got["failed_ratio"] == want["failed"] / want["total"]
+    assert len(found) == 4
+    df.write.mode("overwrite").parquet(path := f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/features-test")
+    plan = detectors.entity_features(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Expand" not in plan
+
+
+def test_notes_without_peers(spark):
+    columns = list(anomaly.NAMES)
+    v = dict.fromkeys(columns, 0.0) | {"failed_ratio": 0.5, "failed": 12.0, "users": 5.0, "paths": 99.0, "total": 9.0}
+    df = spark.createDataFrame([("ip", "a", [v[c] for c in columns])], "entity_type string, entity_id string, v array<double>")
+    assert anomaly.describe(df, with_peers=False).first()["notes"] == ["failed logins: 12", "unique users: 5", "failed login ratio: 0.50"]
+    assert anomaly.describe(df).first()["notes"] == ["unique paths: 99", "failed logins: 12", "total events: 9", "unique users: 5"]

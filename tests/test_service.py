@@ -1,15 +1,19 @@
 """From lines to reports in one call."""
 
 import json
+import logging
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylog import reporting
 from quarrylog.config import AnalyzerConfig, AnomalyConfig, BruteForceConfig, block
+from quarrylog.diagnostics import get_logger, setup_logging
 from quarrylog.exceptions import LogFileError, ReportGenerationError
 from quarrylog.service import AnalysisService, DetectorSpec, analyze_file, analyze_lines
-from quarrylog.sources.logs import read_lines
+from quarrylog.operators import correlation, detectors, parsing
+from quarrylog.sources.logs import from_lines, read_lines
 
 CONFIG = AnalyzerConfig(default_log_year=2026)
 LINES = [f"Mar 03 10:00:{2 + 5 * k:02d} gate sshd[5]: Failed password for admin from 9.8.7.6 port {k + 1}" for k in range(5)] + [
@@ -69,3 +73,50 @@ def test_files(spark, tmp_path):
     assert [(r["line_no"], r["value"]) for r in got] == [(0, "a0"), (3, "a3"), *((4 + k, f"b{k}") for k in range(50))]
     (tmp_path / "whole.log").write_text("\n".join(LINES))
     assert analyze_file(spark, str(tmp_path / "whole.log"), CONFIG).incidents.count() == 3
+
+
+def test_own_formats_and_places(spark):
+    """A format and a table of addresses of one's own, through the whole analysis."""
+
+    def entry(text, year):
+        part = lambda k: F.regexp_extract(text, r"^VPN (\S+ \S+) (\S+) (\S+)$", k)
+        return F.when(part(1) != "", F.struct(F.try_to_timestamp(part(1)).cast("timestamp_ntz").alias("timestamp"), part(2).alias("username"), part(3).alias("ip_address"), F.lit(True).alias("ok"), F.lit("").alias("request"), F.lit("").alias("method"), F.lit(None).cast("int").alias("status_code")))
+
+    vpn = parsing.Format("vpn", lambda c: c.startswith("VPN "), entry)
+    places = spark.createDataFrame([("1.1.1.1", "Oslo", 59.9, 10.7, "NO"), ("2.2.2.2", "Lima", -12.0, -77.0, "PE")], "ip string, city string, lat double, lon double, country string")
+    lines = ["VPN 2026-03-01 10:00:00 amy 1.1.1.1", "VPN 2026-03-01 11:00:00 amy 2.2.2.2", "VPN broken", *LINES[:2]]
+    result = AnalysisService(CONFIG, formats=[vpn, *parsing.FORMATS], places=places).analyze_lines(spark, lines)
+    stats = result.parse_stats.first()
+    assert (stats["vpn_lines"], stats["linux_lines"], stats["malformed_lines"]) == (2, 2, 1)
+    (alert,) = result.alerts.collect()
+    assert (alert["alert_type"], alert["username"], alert["source"]) == ("IMPOSSIBLE_TRAVEL", "amy", "vpn")
+    assert json.loads(alert["evidence"])["current_location"] == "Lima, PE"
+    assert AnalysisService(CONFIG).analyze_lines(spark, lines).parse_stats.first()["unsupported_lines"] == 3
+
+
+def test_own_reader_statistics_correlation_and_score(spark):
+    service = AnalysisService(
+        CONFIG, read=lambda spark, path: from_lines(spark, LINES), statistics=lambda e: e.groupBy("source").count(),
+        correlate=lambda alerts, c: correlation.correlate(alerts.where("alert_type <> 'XSS'"), c), score=lambda incidents, c: correlation.score(incidents, c).withColumn("risk_score", F.lit(7)),
+    )
+    result = service.analyze_file(spark, "anywhere")
+    assert result.input_file == "anywhere" and {r["source"]: r["count"] for r in result.statistics.collect()} == {"linux": 5, "apache": 2}
+    assert [(r["incident_type"], r["risk_score"]) for r in correlation.by_first_seen(result.incidents).collect()] == [("BRUTE_FORCE", 7), ("SQL_INJECTION", 7)]
+
+
+def test_lines_with_stats_and_formats_alone(spark):
+    entries, stats = parsing.parse_logs_with_stats(from_lines(spark, LINES), config=CONFIG)
+    assert entries.count() == 7 and stats.first()["parsed_lines"] == 7 and "raw_message" in entries.columns
+    only = parsing.parse(from_lines(spark, LINES), config=CONFIG, formats=parsing.FORMATS[2:])
+    assert only.where("outcome = 'parsed'").count() == 2 and detectors.statistics(only.where("outcome = 'parsed'")).first()["http_requests"] == 2
+
+
+def test_diagnostics_log(spark, caplog):
+    log = setup_logging("warning")
+    assert log.level == logging.WARNING and setup_logging("nonsense").level == logging.INFO and len(log.handlers) == 1 and not log.propagate
+    log.propagate = True
+    setup_logging(verbose=True).propagate = True
+    with caplog.at_level(logging.DEBUG):
+        analyze_lines(spark, LINES[:1], CONFIG)
+    log.propagate = False
+    assert any("detectors: brute_force" in m for m in caplog.messages) and get_logger("x").name == "quarrylog.x"
