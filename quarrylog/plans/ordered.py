@@ -83,6 +83,12 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], limit: int = HOT,
     if n is None:
         return plain
     hot = F.broadcast(hot.drop("__n"))
-    blocks = in_ranges(df.join(hot, keys, "left_semi"), keys, order, n, size).withColumn("block", F.col("block") + 1)
     cold = df.join(hot, keys, "left_anti").withColumn("block", F.lit(0))
-    return Ordered(cold.unionByName(blocks), tuple(keys), tuple(order), True)
+    cut_up = ordered_ranges(df.join(hot, keys, "left_semi"), keys, order, n, size)
+    return replace(cut_up, rows=cold.unionByName(cut_up.rows))
+
+
+def ordered_ranges(df: DataFrame, keys: list[str], order: list[str], rows: int, size: int = RANGE) -> Ordered:
+    """``df``, of ``rows`` rows, with all keys cut into ranges."""
+    blocks = in_ranges(df, keys, order, rows, size).withColumn("block", F.col("block") + 1)
+    return Ordered(blocks, tuple(keys), tuple(order), True)
