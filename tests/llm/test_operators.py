@@ -433,14 +433,19 @@ def test_edit_distance_and_common_seeds(spark, monkeypatch):
     rng = random.Random(12)
     for _ in range(60):
         x, y = (np.array(rng.choices(range(4), k=rng.randrange(0, 40)), dtype=np.uint32) for _ in range(2))
-        assert substring_dedup.edit_distance(x, y) == plain_distance(x.tolist(), y.tolist())
-    monkeypatch.setattr(substring_dedup, "MOST_RARE", 1)
+        assert substring_dedup.edit_distance(x, y) == substring_dedup.edit_distance(x, y, 1) == plain_distance(x.tolist(), y.tolist())
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     hot = [word() for _ in range(80)]
-    df = spark.createDataFrame([(k, " ".join([word() for _ in range(60)] + (hot if k % 3 == 0 else []))) for k in range(300)], "doc_id long, text string")
-    assert len(substring_dedup._common_seeds(df.selectExpr("doc_id as id", "hash(text) as tie", "text"))) > 5
-    got = {(r["doc_id"], r["ref_id"]) for r in substring_dedup.repeated_passages(df).collect()}
-    assert got == {(k, 0) for k in range(3, 300, 3)}
+    texts = [" ".join([word() for _ in range(60)] + (hot[: 60 + k % 20] if k % 3 == 0 else [])) for k in range(300)]
+    df = spark.createDataFrame([*enumerate(texts), (7, texts[6]), (7, texts[6])], "doc_id long, text string")
+    light = df.selectExpr("doc_id as id", "hash(text) as tie", "text")
+    plain = sorted(map(tuple, substring_dedup.repeated_passages(df).collect()))
+    assert len(substring_dedup._common_seeds(light)) == 0 and {(k, 0) for k in range(3, 300, 3)} <= {r[:2] for r in plain} and len({r[:2] for r in plain}) > 150
+    for rare, sample in ((1, 16), (0, 16), (2, 4)):  # whatever the sample finds common, the rows are the same
+        monkeypatch.setattr(substring_dedup, "MOST_RARE", rare)
+        monkeypatch.setattr(substring_dedup, "SAMPLE", sample)
+        assert len(substring_dedup._common_seeds(light)) > 5
+        assert sorted(map(tuple, substring_dedup.repeated_passages(df).collect())) == plain
 
 
 def test_urls(spark):
