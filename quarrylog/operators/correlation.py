@@ -53,25 +53,34 @@ def memberships(alerts: DataFrame, config: AnalyzerConfig | CorrelationConfig |
     c = block(config, CorrelationConfig)
     if not c.enabled:
         return alerts.select("alert_id", F.col("alert_id").alias("incident_id"))
+    groups = connected_components(links(keyed(alerts, c), c))
+    return alerts.select("alert_id").join(groups, F.col("alert_id") == F.col("node"), "left").select("alert_id", F.coalesce("component", "alert_id").alias("incident_id"))
+
+
+def keyed(alerts: DataFrame, c: CorrelationConfig) -> DataFrame:
+    """``(alert_id, t, key)``: a row for each address and user by which an alert may be chained."""
     none = F.array().cast("array<string>")
     by_ip = F.array(F.concat(F.lit("i|"), address_of())) if c.correlate_by_ip else none
     by_user = F.transform(users_of(), lambda u: F.concat(F.lit("u|"), u)) if c.correlate_by_user else none
-    at = alerts.select("alert_id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t"), F.explode(F.array_compact(F.concat(by_ip, by_user))).alias("key"))
+    return alerts.select("alert_id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t"), F.explode(F.array_compact(F.concat(by_ip, by_user))).alias("key"))
+
+
+def links(at: DataFrame, c: CorrelationConfig) -> DataFrame:
+    """``(alert_id, head)``: each alert of a chain, but for the first, with the first."""
     far = F.coalesce(F.col("t") - F.col("before.t") > c.window_seconds * 1_000_000, F.lit(True))
     heads = ordered(at, ["key"], ["t", "alert_id"]).previous("before", "t").latest("head", F.when(far, F.col("alert_id"))).rows
-    groups = connected_components(heads.where("head <> alert_id").select("alert_id", "head"))
-    return alerts.select("alert_id").join(groups, F.col("alert_id") == F.col("node"), "left").select("alert_id", F.coalesce("component", "alert_id").alias("incident_id"))
+    return heads.where("head <> alert_id").select("alert_id", "head")
 
 
-def correlate(alerts: DataFrame, config: AnalyzerConfig | CorrelationConfig | None = None) -> DataFrame:
-    """A row for each incident, without its risk.
+def correlate(alerts: DataFrame, config: AnalyzerConfig | CorrelationConfig | None = None, members: DataFrame | None = None) -> DataFrame:
+    """A row for each incident, without its risk; ``members``: their memberships where these are known.
 
     Lists of addresses, users and alert ids stand in the row; ``memberships`` gives the alerts as rows. attack_chain has the
     types by their first occurrence.
     """
     alerts = cut(alerts)
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.upper("severity")), F.lit(0))
-    df = alerts.join(memberships(alerts, config), "alert_id").withColumn("rank", rank).withColumn("seq", F.coalesce("seq", F.lit(0)) if "seq" in alerts.columns else F.lit(0))
+    df = alerts.join(members if members is not None else memberships(alerts, config), "alert_id").withColumn("rank", rank).withColumn("seq", F.coalesce("seq", F.lit(0)) if "seq" in alerts.columns else F.lit(0))
     sure = F.when(F.col("confidence") > 0, F.col("confidence"))
     place = F.struct("timestamp", "seq", "line_no", "alert_id")
     per_type = df.groupBy("incident_id", "alert_type").agg(

@@ -12,6 +12,7 @@ from quarrylog.operators import correlation, detectors, parsing
 from quarrylog.sources import logs
 from quarrylog.streaming import bursts, lines, travel
 from quarrylog.streaming.bursts import walk
+from quarrylog.streaming.incidents import IncidentStore
 
 T0 = datetime(2026, 3, 1)
 ENTRY = "line_no long, timestamp timestamp_ntz, username string, ip_address string, source string, event_type string"
@@ -147,3 +148,25 @@ def test_lines_of_a_folder_with_running_counts(spark, tmp_path):
     assert sorted(r["alert_id"] for r in alerts.collect()) == sorted(r["alert_id"] for r in whole.collect())
     per_type = run(lines.running_alert_counts(detectors.web_alerts(found)), "per_type", "complete")
     assert [tuple(r) for r in per_type.collect()] == [("SQL_INJECTION", "CRITICAL", 40)]
+
+
+def test_incidents_of_any_batches_are_those_of_all_alerts(spark, tmp_path):
+    rng = random.Random(3)
+    kinds = [("BRUTE_FORCE", "HIGH"), ("XSS", "LOW"), ("SQL_INJECTION", "CRITICAL")]
+    rows = [(*rng.choice(kinds), T0 + timedelta(seconds=rng.randrange(9000)), rng.choice(["admin", "amy,bo", "cy", "-"]), rng.choice(["1.1.1.1", "2.2.2.2", "", "3.3.3.3"]), rng.random(), 50, k, "linux", "", str(k)) for k in range(70)]
+    schema = "alert_type string, severity string, timestamp timestamp_ntz, username string, ip_address string, confidence double, risk_score int, line_no long, source string, description string, evidence string"
+    whole = correlation.deduplicate(spark.createDataFrame(rows, schema))
+    members = sorted(map(tuple, correlation.memberships(whole).collect()))
+    scored = correlation.incidents(whole)
+    want = sorted(map(repr, map(tuple, scored.collect())))
+    assert 5 < len(want) < 60
+    store = IncidentStore(spark, str(tmp_path / "store"))
+    assert store.incidents() is None
+    parts = [rows[:40], rows[40:55] + rows[:5], rows[55:]]  # repeated alerts change nothing
+    for k, part in enumerate(parts):
+        store.add(spark.createDataFrame(part, schema), k)
+    store.add(spark.createDataFrame(parts[2], schema), 2)  # once more, as after a failure
+    assert sorted(map(tuple, store.memberships().collect())) == members
+    found = store.incidents().select(*scored.columns)
+    assert sorted(map(repr, map(tuple, found.collect()))) == want
+    assert spark.read.parquet(str(tmp_path / "store/incidents/batch=2")).count() < len(want)  # only what the batch touched
