@@ -138,15 +138,18 @@ def password_spray_alerts(found: DataFrame, c: PasswordSprayConfig) -> DataFrame
     return _graded(found, "PASSWORD_SPRAY", c.unique_user_threshold, c.window_seconds, F.array_join("members", ","), unique_users=F.col("n"), users=F.col("members"))
 
 
+LOGINS = "event_type = 'LOGIN_SUCCESS' and username not in ('', '-')"
+
+
 def logins_at(entries: DataFrame, places: DataFrame) -> DataFrame:
     """Successful logins of named users with the place of their address (nulls if unknown)."""
-    return entries.where("event_type = 'LOGIN_SUCCESS' and username not in ('', '-')").join(places, F.trim("ip_address") == F.col("ip"), "left")
+    return entries.where(LOGINS).join(places, F.trim("ip_address") == F.col("ip"), "left")
 
 
 def impossible_travel(entries: DataFrame, places: DataFrame, config: AnalyzerConfig | ImpossibleTravelConfig | None = None) -> DataFrame:
     """Consecutive logins of a user whose places lie too far apart for the time between; an unknown address breaks the pair."""
     here = logins_at(entries, places).select("username", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t"), "timestamp", "line_no", "source", "ip_address", "city", "country", "lat", "lon")
-    here = ordered(here, ["username"], ["t", "line_no"]).previous("p", "ip_address", "t", "city", "country", "lat", "lon").rows
+    here = ordered(here, ["username"], ["t", "line_no"], counted=entries.where(LOGINS)).previous("p", "ip_address", "t", "city", "country", "lat", "lon").rows
     return travel_alerts(here, float(block(config, ImpossibleTravelConfig).max_plausible_speed_kmh))
 
 

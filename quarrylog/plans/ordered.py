@@ -70,13 +70,13 @@ class Ordered:
         return replace(out, rows=out.rows.drop("__value"))
 
 
-def ordered(df: DataFrame, keys: list[str], order: list[str], limit: int = HOT, size: int = RANGE) -> Ordered:
+def ordered(df: DataFrame, keys: list[str], order: list[str], limit: int = HOT, size: int = RANGE, counted: DataFrame | None = None) -> Ordered:
     """``df`` by ``keys`` in ``order``, whose columns tell rows apart; keys of over ``limit`` rows are split.
 
-    Up to ``limit`` rows nothing is counted by key. Keys that are null stay whole. The hot keys, at most one for each ``limit`` rows, are broadcast.
+    Up to ``limit`` rows in all (of ``counted``, if a table of as many rows is had for less) nothing is counted by key. Keys that are null stay whole. The hot keys, at most one for each ``limit`` rows, are broadcast.
     """
     plain = Ordered(df, tuple(keys), tuple(order), False)
-    if df.count() <= limit:
+    if (df if counted is None else counted).count() <= limit:
         return plain
     hot = cut(df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit))
     n = hot.agg(F.sum("__n")).first()[0]

@@ -54,10 +54,9 @@ def bursts(spark, rows, threshold, window, distinct, limit, size):
     return sorted(tuple(r[c] for c in ("ip", "timestamp", "line_no", "n", "end", "seen", "members")) for r in found.collect())
 
 
-@pytest.mark.parametrize("distinct", [False, True])
-@pytest.mark.parametrize("seed,n,users,gaps,threshold,window,size", [
-    (1, 90, 6, [0, 0, 1, 3, 9, 30], 4, 10, 12),  # blocks hold several windows, and islands are of many sizes
-    (2, 110, 3, [0, 0, 0, 0, 1], 3, 6, 8),  # windows hold several blocks
+@pytest.mark.parametrize("distinct,seed,n,users,gaps,threshold,window,size", [
+    (False, 1, 90, 6, [0, 0, 1, 3, 9, 30], 4, 10, 12),  # blocks hold several windows, and islands are of many sizes
+    (True, 2, 110, 3, [0, 0, 0, 0, 1], 3, 6, 8),  # windows hold several blocks
 ])
 def test_blocks_of_an_island(spark, seed, n, users, gaps, threshold, window, size, distinct):
     rows = events(seed, n, users, gaps, ("a", "b"))
@@ -118,5 +117,5 @@ def test_detectors_and_incidents_of_hot_keys_are_the_same(spark, monkeypatch):
         return sorted(map(tuple, travel.collect())), sorted(map(tuple, correlation.memberships(alerts, AnalyzerConfig()).collect()))
 
     want = both()
-    monkeypatch.setattr(ordered_rows.ordered, "__defaults__", (50, 20))
+    monkeypatch.setattr(ordered_rows.ordered, "__defaults__", (50, 20, None))
     assert both() == want and len(want[0]) > 20

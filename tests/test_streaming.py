@@ -162,11 +162,11 @@ def test_incidents_of_any_batches_are_those_of_all_alerts(spark, tmp_path):
     assert 5 < len(want) < 60
     store = IncidentStore(spark, str(tmp_path / "store"))
     assert store.incidents() is None
-    parts = [rows[:40], rows[40:55] + rows[:5], rows[55:]]  # repeated alerts change nothing
+    parts = [rows[:50], rows[50:] + rows[:5]]  # repeated alerts change nothing
     for k, part in enumerate(parts):
         store.add(spark.createDataFrame(part, schema), k)
-    store.add(spark.createDataFrame(parts[2], schema), 2)  # once more, as after a failure
+    store.add(spark.createDataFrame(parts[1], schema), 1)  # once more, as after a failure
     assert sorted(map(tuple, store.memberships().collect())) == members
     found = store.incidents().select(*scored.columns)
     assert sorted(map(repr, map(tuple, found.collect()))) == want
-    assert spark.read.parquet(str(tmp_path / "store/incidents/batch=2")).count() < len(want)  # only what the batch touched
+    assert spark.read.parquet(str(tmp_path / "store/incidents/batch=1")).count() < len(want)  # only what the batch touched
