@@ -70,6 +70,27 @@ def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_spotsigs, op2_simhash, op3_line_dedup, op4_mixing, op5_substring_dedup, op6_url_filter, op7_token_counts, op8_quality_rules, op9_sentencepiece, op10_quality_classifier, op11_exact_dedup, op12_periodic_runs, op13_divergence_audit)}
 ORACLES = {
+    "op4_mixing": r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS size FROM documents),
+ k AS (SELECT doc_id, source, size, -ln((('0x' || md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:13])::BIGINT + 0.5::DOUBLE) / pow(2::DOUBLE, 52))
+  / greatest(0.05::DOUBLE, 1 - 5::DOUBLE * length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) / greatest(1, length(t))) AS x FROM d),
+ w AS (SELECT source, sum(size)::DOUBLE AS total, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
+ l AS (SELECT *, (sum(total) OVER () - 3 * coalesce(sum(total) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w WINDOW o AS (ORDER BY total / w, source IS NULL, source)),
+ g AS (SELECT source, total, least(3 * total, w * (SELECT arg_min(level, total / w) FROM l WHERE level * w <= 3 * total)) AS target FROM l),
+ r AS (SELECT k.*, total, target, CASE WHEN total > 0 THEN floor(target / total) ELSE 0 END AS epochs, sum(size) OVER (PARTITION BY k.source ORDER BY x, doc_id, size) - size AS before FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source)
+ SELECT doc_id, size, total::BIGINT AS source_size, target, (epochs * size + greatest(0, least(size, round(target - epochs * total) - before)))::BIGINT AS taken FROM r""",
+    "op8_quality_rules": rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+ v AS (SELECT row, unnest(generate_series(1, len(w) - 4)) AS i, array_to_string(w[i:i + 4], ' ') AS five FROM d),
+ c AS (SELECT row, count(DISTINCT i) AS n FROM (SELECT row, unnest(generate_series(i, i + 4)) AS i FROM (SELECT *, count(*) OVER (PARTITION BY row, five) AS times FROM v) WHERE times > 1) GROUP BY row),
+ s AS (SELECT d.row, doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM d LEFT JOIN c USING (row)),
+ f AS ({" UNION ALL ".join(f"SELECT row, stratum, doc_id, base_failed, '{rule}' AS rule, coalesce({score.split(' / ')[0]}::DOUBLE / nullif({score.split(' / ')[1]}, 0), 0) AS score FROM s" for rule, (score, _) in quality_rules.RULES.items())}),
+ cutoffs(rule, cutoff) AS (VALUES {", ".join(f"('{rule}', {c}::DOUBLE)" for rule, (_, cuts) in quality_rules.RULES.items() for c in cuts)}),
+ good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+ k AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (score > cutoff) AS k FROM (FROM f SEMI JOIN good USING (doc_id) WHERE NOT base_failed) JOIN cutoffs USING (rule) GROUP BY ALL),
+ tail AS (SELECT *, CASE WHEN k >= n * 0.005::DOUBLE THEN 1 ELSE list_sum(list_transform(generate_series(0, k), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005::DOUBLE) + (n - i) * ln(0.995::DOUBLE)))) END AS p FROM k),
+ chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_and(p <= 0.05::DOUBLE / 4 / (SELECT count(DISTINCT stratum) FROM k)) OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS ok FROM tail) WHERE ok GROUP BY ALL),
+ bad AS (SELECT DISTINCT row FROM f JOIN chosen USING (stratum, rule) WHERE score > cutoff)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.row IS NULL AS kept FROM s LEFT JOIN bad USING (row)""",
     "op3_line_dedup": r"""WITH l AS (SELECT doc_id, text, i, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
  u AS (SELECT *, count(*) FILTER (i > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]')) OVER (PARTITION BY doc_id ORDER BY i) AS unit FROM l),
  v AS (SELECT doc_id, unit, string_agg(line, chr(10) ORDER BY i) AS body FROM u GROUP BY ALL),

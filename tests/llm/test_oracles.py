@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.01"
 def test_query(spark, name):
     df = QUERIES[name](spark, SF)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for view in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{SF}/{view}.parquet'")
     columns = sorted(df.columns)
     theirs = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
     assert sorted(map(tuple, df.select(*columns).collect())) == sorted(theirs)
