@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarrylog.config import AnalyzerConfig, AnomalyConfig, BruteForceConfig, PasswordSprayConfig
 from quarrylog.operators import anomaly, correlation, detectors, parsing
 from quarrylog.plans.lineage import cut
-from quarrylog.reporting import severity_counts
+from quarrylog.reporting import attack_type_counts, severity_counts
 from quarrylog.service import find_alerts
 from quarrylog.sources.logs import ENTRIES_SQL, PLACES, log_entries, places
 from quarrylog.streaming import bursts as stream_bursts
@@ -101,6 +101,24 @@ def _pairs(alerts: DataFrame) -> DataFrame:
     return alerts.select("username", "ip_address", "timestamp", "line_no", F.round("km", 3).alias("km"), _six("confidence"), F.col("risk_score").cast("long"))
 
 
+def _told(alerts: DataFrame, keys: tuple[str, ...], **fields: str) -> DataFrame:
+    """Columns of the alerts and the fields of their evidence; lists are joined by bars."""
+    e = F.from_json("evidence", ", ".join(f"{n} {'string' if t == 'timestamp_ntz' else t}" for n, t in fields.items()))
+    shown = [F.array_join(e[n], "|") if t.startswith("array") else e[n].cast(t) for n, t in fields.items()]
+    return alerts.select(*keys, *[c.alias(n) for c, n in zip(shown, fields, strict=True)])
+
+
+_BURST = {"threshold": "bigint", "window_seconds": "bigint", "start_time": "timestamp_ntz", "end_time": "timestamp_ntz"}
+_PLACE = ("username", "line_no")
+_BONUSES = ("base_score", "multiple_alert_bonus", "multiple_attack_type_bonus", "repeated_activity_bonus", "privileged_user_bonus", "confidence_bonus")
+
+
+def _breakdown(incidents: DataFrame) -> DataFrame:
+    e = F.from_json("risk_breakdown", ", ".join(f"{n} bigint" for n in (*_BONUSES, "final_score")) + ", average_alert_confidence double")
+    keys = [F.array_join(c, "|").alias(c) for c in ("source_ips", "usernames", "attack_chain")]
+    return incidents.select("first_seen", "last_seen", "alert_count", *keys, e.alias("e")).select("first_seen", "last_seen", "alert_count", "source_ips", "usernames", "attack_chain", "e.*")
+
+
 QUERIES = {
     "parse_classify": lambda s, d: _parsed(s, d).select("line_no", "outcome", F.coalesce("source", F.lit("")).alias("source")),
     "parse_entries": lambda s, d: _parsed(s, d).where("outcome = 'parsed'").select("line_no", "source", "timestamp", "username", "ip_address", "status", "event_type", "method", "path", "status_code"),
@@ -122,6 +140,19 @@ QUERIES = {
     "features_user": lambda s, d: detectors.features(log_entries(s, d), "username"),
     "alert_counts": lambda s, d: _alerts(s, d, RULES).groupBy("alert_type", "severity").agg(F.count("*").alias("n")),
     "alert_severities": lambda s, d: severity_counts(_alerts(s, d, RULES)),
+    "attack_types": lambda s, d: attack_type_counts(_alerts(s, d, RULES)),
+    "web_evidence": lambda s, d: _told(detectors.web_alerts(log_entries(s, d)), ("line_no", "alert_type"), pattern="string", request="string", normalized_request="string", matched_indicators="array<string>"),
+    "brute_force_evidence": lambda s, d: _told(detectors.brute_force(log_entries(s, d), CONFIG), ("username", "ip_address"), attempts="bigint", **_BURST),
+    "password_spray_evidence": lambda s, d: _told(detectors.password_spray(log_entries(s, d), CONFIG), ("ip_address",), unique_users="bigint", users="array<string>", **_BURST),
+    "impossible_travel_evidence": lambda s, d: _told(
+        detectors.impossible_travel(log_entries(s, d), places(s)), _PLACE, previous_ip="string", current_ip="string", previous_location="string", current_location="string",
+        distance_km="double", elapsed_seconds="double", required_speed_kmh="double", configured_speed_threshold="double",
+    ),
+    "insider_threat_evidence": lambda s, d: _told(
+        detectors.insider_threat(log_entries(s, d)), _PLACE, score="bigint", threshold="bigint", signals="array<string>", event_count="bigint", privileged="boolean", unusual_hour_count="bigint",
+        sensitive_access_count="bigint", majority_ip="string", unusual_ips="array<string>",
+    ),
+    "risk_breakdown": lambda s, d: _breakdown(correlation.incidents(_alerts(s, d, RULES), RULES)),
     "anomaly_scores": lambda s, d: anomaly.score(anomaly.entity_vectors(log_entries(s, d)), minimum=FEW).select("entity_type", "entity_id", "decision", "score"),
     "incident_risk": lambda s, d: _flat(correlation.incidents(_alerts(s, d, RULES), RULES)),
     "incident_risk_with_anomalies": lambda s, d: _flat(correlation.incidents(_alerts(s, d, CONFIG), CONFIG)),
@@ -134,7 +165,7 @@ _FEATURES = """SELECT {c} AS entity_id, CAST(count(*) AS DOUBLE) AS total, CAST(
  CAST(count(DISTINCT CASE WHEN username NOT IN ('', '-') THEN username END) AS DOUBLE) AS users, CAST(count(DISTINCT ip_address) AS DOUBLE) AS ips, CAST(count(DISTINCT CASE WHEN request <> '' THEN request END) AS DOUBLE) AS paths,
  CAST(count(*) FILTER (event_type = 'HTTP_REQUEST') AS DOUBLE) AS http, CAST(count(*) FILTER (event_type = 'HTTP_REQUEST' AND status_code >= 400) AS DOUBLE) AS http_errors, CAST(count(*) FILTER (event_type <> 'HTTP_REQUEST') AS DOUBLE) AS auth,
  CAST(count(*) FILTER (hour(timestamp) < 5) AS DOUBLE) AS unusual_hours, CAST(count(DISTINCT source) AS DOUBLE) AS sources, count(*) FILTER (event_type = 'LOGIN_FAILED') / count(*) AS failed_ratio FROM e {w} GROUP BY 1"""
-_PLACES = ", ".join(f"('{ip}', '{city}', {lat}, {lon})" for ip, city, lat, lon, _ in PLACES)
+_PLACES = ", ".join(f"('{ip}', '{city}', {lat}, {lon}, '{country}')" for ip, city, lat, lon, country in PLACES)
 _LINES = rf"""WITH raw AS ({_lines_sql(True)}), n AS (SELECT line_no, regexp_replace(value, '^\s+|\s+$', '', 'g') AS v FROM raw),
  c AS (SELECT *, CASE WHEN regexp_matches(v, 'sshd\[\d+\]:') THEN 'linux' WHEN regexp_matches(v, 'EVENT_ID=\d+') THEN 'windows' WHEN regexp_matches(v, '^\d{{1,3}}(\.\d{{1,3}}){{3}}\s+\S+\s+\S+\s+\[[^\]]+\]\s+"') THEN 'apache' END AS source FROM n),
  l AS (SELECT *, regexp_extract(v, '^(\w+\s+\d+\s+\d+:\d+:\d+)\s+\S+\s+sshd\[\d+\]:\s+(Accepted|Failed)\s+password\s+for\s+(?:invalid\s+user\s+)?(\S+)\s+from\s+(\d{{1,3}}(?:\.\d{{1,3}}){{3}})\s+port\s+\d+', ['ts', 'said', 'user', 'ip']) AS p,
@@ -179,10 +210,10 @@ def _bursts(keys: str, measure: str, out: str, more: str, tag: str = "") -> tupl
 _MEMBERS = "array_to_string(list_sort(list_distinct(b.members)), ',')"
 _FORCE = _bursts("username, ip_address", "-1", "attempts", "CASE WHEN len(list_distinct(b.seen)) = 1 THEN b.seen[1] ELSE 'mixed' END AS source")
 _SPRAY = _bursts("ip_address", "count(DISTINCT username) FRAME", "unique_users", f"{_MEMBERS} AS users", "_s")
-_TRAVEL = f"""places(ip, city, lat, lon) AS (VALUES {_PLACES}), h AS (SELECT e.*, l.* FROM e LEFT JOIN places l ON e.ip_address = l.ip WHERE event_type = 'LOGIN_SUCCESS' AND username <> '-'),
- p AS (SELECT *, lag(ip_address) OVER w AS i0, lag(city) OVER w AS c0, lag(lat) OVER w AS a0, lag(lon) OVER w AS o0, (epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER w) / 1e6 AS s FROM h WINDOW w AS (PARTITION BY username ORDER BY timestamp, line_no)),
+_TRAVEL = f"""places(ip, city, lat, lon, country) AS (VALUES {_PLACES}), h AS (SELECT e.*, l.* FROM e LEFT JOIN places l ON e.ip_address = l.ip WHERE event_type = 'LOGIN_SUCCESS' AND username <> '-'),
+ p AS (SELECT *, lag(ip_address) OVER w AS i0, lag(city) OVER w AS c0, lag(country) OVER w AS k0, lag(lat) OVER w AS a0, lag(lon) OVER w AS o0, (epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER w) / 1e6 AS s FROM h WINDOW w AS (PARTITION BY username ORDER BY timestamp, line_no)),
  q AS (SELECT *, 2 * 6371.0::DOUBLE * asin(sqrt(pow(sin(radians(lat - a0) / 2), 2) + cos(radians(a0)) * cos(radians(lat)) * pow(sin(radians(lon - o0) / 2), 2))) AS dist FROM p WHERE i0 <> ip_address AND c0 <> city),
- travel AS (SELECT username, ip_address, timestamp, line_no, round(dist, 3) AS km, CASE WHEN s <= 0 THEN 1e308 ELSE dist / (s / 3600) / 900 END AS ratio FROM q WHERE s <= 0 OR dist / (s / 3600) > 900)"""
+ travel AS (SELECT username, ip_address, timestamp, line_no, round(dist, 3) AS km, s, i0, concat(c0, ', ', k0) AS previous_location, concat(city, ', ', country) AS current_location, round(dist, 2) AS distance_km, CASE WHEN s > 0 THEN round(dist / (s / 3600), 2) END AS required_speed_kmh, CASE WHEN s <= 0 THEN 1e308 ELSE dist / (s / 3600) / 900 END AS ratio FROM q WHERE s <= 0 OR dist / (s / 3600) > 900)"""
 _INSIDER = """u AS (SELECT username, count(*) AS events, count(*) FILTER (hour(timestamp) < 5) AS unusual_hours, count(*) FILTER (request LIKE '/admin%') AS sensitive FROM e WHERE username <> '-' GROUP BY 1),
  i AS (SELECT username, ip_address, count(*) AS n, min(line_no) AS first FROM e WHERE username <> '-' GROUP BY 1, 2),
  m AS (SELECT username, max(n) AS majority, count(*) AS ips, first(ip_address ORDER BY n DESC, first) AS majority_ip FROM i GROUP BY 1),
@@ -206,10 +237,12 @@ _INCIDENTS = f"""{_ALERTS}, numbered AS (SELECT *, row_number() OVER (ORDER BY t
  grouped AS (SELECT n.*, g.incident FROM numbered n JOIN (SELECT id, min(other) AS incident FROM reach GROUP BY 1) g USING (id)),
  chain AS (SELECT incident, string_agg(alert_type, '|' ORDER BY first) AS attack_chain, string_agg(alert_type, '|' ORDER BY alert_type) AS alert_types, count(*) AS types FROM (SELECT incident, alert_type, min(id) AS first FROM grouped GROUP BY ALL) GROUP BY 1),
  who AS (SELECT incident, coalesce(string_agg(DISTINCT name, '|' ORDER BY name) FILTER (name NOT IN ('', '-')), '') AS usernames, coalesce(bool_or(name IN ('admin', 'root', 'administrator')), false) AS privileged FROM grouped JOIN named USING (id) GROUP BY 1),
- total AS (SELECT incident, min(timestamp) AS first_seen, max(timestamp) AS last_seen, count(*) AS alert_count, string_agg(DISTINCT trim(ip_address), '|' ORDER BY trim(ip_address)) AS source_ips, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS rank, round(avg(confidence), 9) AS sure FROM grouped GROUP BY 1)
- SELECT CASE WHEN types = 1 THEN attack_chain ELSE 'CORRELATED_ACTIVITY' END AS incident_type, CASE rank WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, first_seen, last_seen, alert_count, source_ips, usernames, attack_chain, alert_types,
- CAST(least(100, CASE rank WHEN 4 THEN 90 WHEN 3 THEN 70 WHEN 2 THEN 40 ELSE 20 END + CASE WHEN alert_count >= 2 THEN 10 ELSE 0 END + CASE WHEN types >= 2 THEN 10 ELSE 0 END + CASE WHEN alert_count > types THEN 5 ELSE 0 END + CASE WHEN privileged THEN 5 ELSE 0 END + CASE WHEN sure >= 0.85 THEN 3 ELSE 0 END) AS BIGINT) AS risk_score
- FROM total JOIN chain USING (incident) JOIN who USING (incident)"""
+ total AS (SELECT incident, min(timestamp) AS first_seen, max(timestamp) AS last_seen, count(*) AS alert_count, string_agg(DISTINCT trim(ip_address), '|' ORDER BY trim(ip_address)) AS source_ips, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS rank, round(avg(confidence), 9) AS sure FROM grouped GROUP BY 1),
+ scored AS (SELECT *, CASE rank WHEN 4 THEN 90 WHEN 3 THEN 70 WHEN 2 THEN 40 ELSE 20 END AS base_score, CASE WHEN alert_count >= 2 THEN 10 END AS multiple_alert_bonus, CASE WHEN types >= 2 THEN 10 END AS multiple_attack_type_bonus,
+  CASE WHEN alert_count > types THEN 5 END AS repeated_activity_bonus, CASE WHEN privileged THEN 5 END AS privileged_user_bonus, CASE WHEN sure >= 0.85 THEN 3 END AS confidence_bonus FROM total JOIN chain USING (incident) JOIN who USING (incident))"""
+
+_FINAL = "CAST(least(100, " + " + ".join(f"coalesce({c}, 0)" for c in _BONUSES) + ") AS BIGINT)"
+_RISK = f"""SELECT CASE WHEN types = 1 THEN attack_chain ELSE 'CORRELATED_ACTIVITY' END AS incident_type, CASE rank WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, first_seen, last_seen, alert_count, source_ips, usernames, attack_chain, alert_types, {_FINAL} AS risk_score FROM scored"""
 
 
 def _over(event_type: str, window_s: int) -> str:
@@ -242,5 +275,15 @@ ORACLES = {
     "features_user": f"{_E} {_FEATURES.format(c='username', w="WHERE username <> '-'")}",
     "alert_counts": f"{_ALERTS} SELECT alert_type, severity, count(*) AS n FROM alerts GROUP BY ALL",
     "alert_severities": f"{_ALERTS} SELECT count(*) FILTER (severity = 'CRITICAL') AS \"CRITICAL\", count(*) FILTER (severity = 'HIGH') AS \"HIGH\", count(*) FILTER (severity = 'MEDIUM') AS \"MEDIUM\", count(*) FILTER (severity = 'LOW') AS \"LOW\" FROM alerts",
-    "incident_risk": _INCIDENTS,
+    "incident_risk": f"{_INCIDENTS} {_RISK}",
+    "attack_types": f"{_ALERTS} SELECT alert_type, count(*) AS n FROM alerts GROUP BY 1",
+    "web_evidence": f"{_E} " + " UNION ALL ".join(f"SELECT line_no, alert_type, pattern, request, {_NORMAL} AS normalized_request, indicators AS matched_indicators FROM ({_bank(b)})" for b in (detectors.SQLI_BANK, detectors.XSS_BANK)),
+    "brute_force_evidence": f'WITH RECURSIVE e AS ({ENTRIES_SQL}), {_FORCE[0]} SELECT username, ip_address, attempts, 3::BIGINT AS threshold, {3 * DAY}::BIGINT AS window_seconds, timestamp AS start_time, "end" AS end_time FROM ({_FORCE[1]})',
+    "password_spray_evidence": f"""WITH RECURSIVE e AS ({ENTRIES_SQL}), {_SPRAY[0]} SELECT ip_address, unique_users, replace(users, ',', '|') AS users, 3::BIGINT AS threshold, {3 * DAY}::BIGINT AS window_seconds, timestamp AS start_time, "end" AS end_time FROM ({_SPRAY[1]})""",
+    "impossible_travel_evidence": f"""{_E}, {_TRAVEL} SELECT username, line_no, i0 AS previous_ip, ip_address AS current_ip, previous_location, current_location, distance_km, s AS elapsed_seconds, required_speed_kmh, 900::DOUBLE AS configured_speed_threshold FROM travel""",
+    "insider_threat_evidence": f"""{_E}, {_INSIDER} SELECT username, line_no, score, 50::BIGINT AS threshold,
+ concat_ws('|', CASE WHEN username = 'admin' THEN 'privileged_account' END, CASE WHEN unusual_hours > 0 THEN 'unusual_hour' END, CASE WHEN events >= 20 THEN 'high_activity_volume' END, CASE WHEN sensitive > 0 THEN 'sensitive_resource_access' END, CASE WHEN majority >= 2 AND ips > 1 THEN 'unusual_source_ip' END) AS signals,
+ events AS event_count, username = 'admin' AS privileged, unusual_hours AS unusual_hour_count, sensitive AS sensitive_access_count, majority_ip, coalesce(unusual_ips, '') AS unusual_ips
+ FROM (SELECT username, line_no, unusual_ips FROM insider) JOIN (SELECT * FROM score) USING (username) JOIN (SELECT username, majority, ips FROM m) USING (username)""",
+    "risk_breakdown": f"""{_INCIDENTS} SELECT first_seen, last_seen, alert_count, source_ips, usernames, attack_chain, {', '.join(f"{c}::BIGINT AS {c}" for c in _BONUSES)}, {_FINAL} AS final_score, CASE WHEN confidence_bonus > 0 THEN round(sure::DECIMAL(18, 9), 3)::DOUBLE END AS average_alert_confidence FROM scored""",
 }

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows(names, found):
     order = sorted(range(len(names)), key=lambda k: names[k])
-    return sorted(tuple(round(r[k], 9) if isinstance(r[k], float) and math.isfinite(r[k]) else r[k] for k in order) for r in found)
+    return sorted((tuple(round(r[k], 9) if isinstance(r[k], float) and math.isfinite(r[k]) else r[k] for k in order) for r in found), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
