@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylog.config import AnalyzerConfig, AnomalyConfig, BruteForceConfig, PasswordSprayConfig
+from quarrylog.functions import sql
 from quarrylog.operators import anomaly, correlation, detectors, parsing
 from quarrylog.plans.lineage import cut
 from quarrylog.reporting import attack_type_counts, severity_counts
@@ -119,9 +120,23 @@ def _breakdown(incidents: DataFrame) -> DataFrame:
     return incidents.select("first_seen", "last_seen", "alert_count", *keys, e.alias("e")).select("first_seen", "last_seen", "alert_count", "source_ips", "usernames", "attack_chain", "e.*")
 
 
+#: Texts that call the functions of ``functions.sql``.
+SQL_ENTRIES = """SELECT line_no, source, timestamp, username, ip_address, status, event_type, method, path, status_code
+ FROM (SELECT line_no, parse_log_line(value, 2024) AS entry FROM {lines}) LATERAL VIEW inline(array(entry)) e WHERE outcome = 'parsed'"""
+SQL_WEB = """SELECT line_no, pattern, round(confidence, 6) AS confidence, CAST(risk_score AS BIGINT) AS risk_score
+ FROM (SELECT line_no, sqli_match(request) AS sqli, xss_match(request) AS xss FROM {entries} WHERE event_type = 'HTTP_REQUEST') LATERAL VIEW inline(array(sqli, xss)) m WHERE pattern IS NOT NULL"""
+
+
+def _sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    sql.register(spark)
+    return spark.sql(text, **tables)
+
+
 QUERIES = {
     "parse_classify": lambda s, d: _parsed(s, d).select("line_no", "outcome", F.coalesce("source", F.lit("")).alias("source")),
     "parse_entries": lambda s, d: _parsed(s, d).where("outcome = 'parsed'").select("line_no", "source", "timestamp", "username", "ip_address", "status", "event_type", "method", "path", "status_code"),
+    "sql_entries": lambda s, d: _sql(s, SQL_ENTRIES, lines=log_lines(s, d)),
+    "sql_web_alerts": lambda s, d: _sql(s, SQL_WEB, entries=log_entries(s, d)),
     "parse_stats": lambda s, d: parsing.parse_stats(_parsed(s, d)),
     "statistics": lambda s, d: detectors.statistics(log_entries(s, d)),
     "top_user": lambda s, d: detectors.top_value(log_entries(s, d), "username"),
@@ -254,6 +269,8 @@ def _over(event_type: str, window_s: int) -> str:
 ORACLES = {
     "parse_classify": f"{_LINES} SELECT line_no, outcome, source FROM p",
     "parse_entries": f"{_LINES} SELECT line_no, source, timestamp, username, ip_address, status, event_type, method, path, status_code FROM p WHERE outcome = 'parsed'",
+    "sql_entries": f"{_LINES} SELECT line_no, source, timestamp, username, ip_address, status, event_type, method, path, status_code FROM p WHERE outcome = 'parsed'",
+    "sql_web_alerts": f"{_E} " + " UNION ALL ".join(f"SELECT line_no, pattern, round(confidence, 6) AS confidence, risk_score FROM ({_bank(b)})" for b in (detectors.SQLI_BANK, detectors.XSS_BANK)),
     "parse_stats": f"""{_LINES} SELECT count(*) AS total_lines, count(*) FILTER (outcome = 'parsed') AS parsed_lines, count(*) FILTER (outcome = 'malformed') AS malformed_lines, count(*) FILTER (outcome = 'unsupported') AS unsupported_lines,
  count(*) FILTER (outcome = 'parsed' AND source = 'linux') AS linux_lines, count(*) FILTER (outcome = 'parsed' AND source = 'windows') AS windows_lines, count(*) FILTER (outcome = 'parsed' AND source = 'apache') AS apache_lines FROM p""",
     "statistics": f"""{_E} SELECT count(*) AS total, count(*) FILTER (source = 'linux') AS linux, count(*) FILTER (source = 'windows') AS windows, count(*) FILTER (source = 'apache') AS apache,
