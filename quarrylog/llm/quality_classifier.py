@@ -134,7 +134,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     stats = cut(with_statistics(docs.drop("held_out", "score", "predicted")).withColumn("held_out", held_out()))
     taught = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).where("y = z")
-    known = stats.where("not held_out").join(taught, "doc_id").select("stats", "y", "doc_id")
+    known = stats.where("not held_out").select("doc_id", "stats").join(taught, "doc_id").select("stats", "y", "doc_id")
     sample = least_by_hash(known, F.xxhash64("doc_id"), ["doc_id", "stats"], MAX_TRAIN, known.count()).collect()
     x = np.array([r["stats"] for r in sample], dtype=np.float64).reshape(-1, len(NAMES))
     shared = docs.sparkSession.sparkContext.broadcast(fit(x, np.array([r["y"] for r in sample], dtype=np.float64)))

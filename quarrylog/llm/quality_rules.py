@@ -161,14 +161,14 @@ def risk_controlled_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, a
 
 def verdicts(stats: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
     """``stats`` with base_failed and kept; a stratum without cutoffs keeps all that the base rules keep."""
-    beyond = F.expr("exists(__scores, s -> s.bin >= coalesce(get(array(bins[s.rule]), 0), 1000))")
-    at = cutoffs.withColumnRenamed("stratum", "__stratum")
+    beyond = F.expr("exists(__scores, s -> s.bin >= coalesce(get(array(__bins[s.rule]), 0), 1000))")
+    at = cutoffs.select(F.col("stratum").alias("__stratum"), F.col("bins").alias("__bins"))
     return (
         stats.withColumn("__scores", _scores())
         .join(at, F.col(stratum) == F.col("__stratum"), "left")
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False)))
-        .drop("__scores", "__stratum", "bins")
+        .drop("__scores", "__stratum", "__bins")
     )
 
 
@@ -186,7 +186,11 @@ def judge_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", a
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns as they were."""
+    """The rows of ``docs`` that the rules keep, with their columns as they were.
+
+    Null and empty texts have too few words and go; a null stratum is one of its own, the empty string. Rows equal in id and
+    text are judged alike, null ids by their text. Other columns, of whatever names, take no part. An empty table gives an empty one.
+    """
     from quarrylog.llm.common import KEY, row_key
 
     light = docs.select("doc_id", F.col(stratum).alias("lang"), "text", *row_key())

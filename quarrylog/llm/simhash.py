@@ -162,7 +162,11 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The row of the least id of every component (of the least text hash where ids repeat), with the columns of ``docs``."""
+    """The row of the least id of every component (of the least text hash where ids repeat), with the columns of ``docs``.
+
+    Texts without words, null ones too, share a fingerprint, so one of them stays. Null ids come last; unrelated rows of null or
+    repeated ids are components of their own. Columns of any name stay as they are; an empty table gives an empty one.
+    """
     light = docs.select("doc_id", "text", *row_key())
     return keep_least(docs, _rooted(light))
 

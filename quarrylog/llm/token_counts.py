@@ -126,7 +126,11 @@ def scan_token_files(spark: SparkSession, folder: str, end: int = END, block_tok
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Writes the token files of ``docs`` into the shared folder, scans them, and removes them: their separators are kept."""
+    """Writes the token files of ``docs`` into the shared folder, scans them, and removes them: their separators are kept.
+
+    A row for each row of ``docs``, in no order: null and empty texts have 0 tokens, repeated rows are counted each. Only the text
+    is read, so other columns can't clash. An empty table gives an empty one.
+    """
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, folder, vocabulary)
