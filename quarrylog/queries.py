@@ -15,8 +15,10 @@ from quarrylog.config import AnalyzerConfig, AnomalyConfig, BruteForceConfig, Pa
 from quarrylog.functions import sql
 from quarrylog.operators import anomaly, correlation, detectors, parsing
 from quarrylog.plans.lineage import cut
+from quarrylog.plans.scratch import Scratch
 from quarrylog.reporting import attack_type_counts, severity_counts
 from quarrylog.service import find_alerts
+from quarrylog.sources import datasource
 from quarrylog.sources.logs import ENTRIES_SQL, PLACES, log_entries, places
 from quarrylog.streaming import bursts as stream_bursts
 from quarrylog.streaming import travel as stream_travel
@@ -132,10 +134,22 @@ def _sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(text, **tables)
 
 
+def _source_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as text files with an index, read through the data source under filters that it takes."""
+    folder = Scratch(spark).folder
+    log_lines(spark, sf_dir).select("value").write.text(f"{folder}/lines")
+    datasource.index_logs(spark, f"{folder}/lines", f"{folder}/index", 2024)
+    datasource.register(spark)
+    entries = spark.read.format("quarrylog").options(index=f"{folder}/index", year=2024).load(f"{folder}/lines")
+    entries = entries.where("timestamp >= timestamp_ntz'2024-01-10 00:00:00' AND timestamp < timestamp_ntz'2024-01-24 12:00:00' AND source IN ('linux', 'apache')")
+    return entries.select("source", "timestamp", "username", "ip_address", "status", "event_type", "method", "path", "status_code")
+
+
 QUERIES = {
     "parse_classify": lambda s, d: _parsed(s, d).select("line_no", "outcome", F.coalesce("source", F.lit("")).alias("source")),
     "parse_entries": lambda s, d: _parsed(s, d).where("outcome = 'parsed'").select("line_no", "source", "timestamp", "username", "ip_address", "status", "event_type", "method", "path", "status_code"),
     "sql_entries": lambda s, d: _sql(s, SQL_ENTRIES, lines=log_lines(s, d)),
+    "source_entries": _source_entries,
     "sql_web_alerts": lambda s, d: _sql(s, SQL_WEB, entries=log_entries(s, d)),
     "parse_stats": lambda s, d: parsing.parse_stats(_parsed(s, d)),
     "statistics": lambda s, d: detectors.statistics(log_entries(s, d)),
@@ -270,6 +284,7 @@ ORACLES = {
     "parse_classify": f"{_LINES} SELECT line_no, outcome, source FROM p",
     "parse_entries": f"{_LINES} SELECT line_no, source, timestamp, username, ip_address, status, event_type, method, path, status_code FROM p WHERE outcome = 'parsed'",
     "sql_entries": f"{_LINES} SELECT line_no, source, timestamp, username, ip_address, status, event_type, method, path, status_code FROM p WHERE outcome = 'parsed'",
+    "source_entries": f"{_LINES} SELECT source, timestamp, username, ip_address, status, event_type, method, path, status_code FROM p WHERE outcome = 'parsed' AND source IN ('linux', 'apache') AND timestamp >= '2024-01-10 00:00:00' AND timestamp < '2024-01-24 12:00:00'",
     "sql_web_alerts": f"{_E} " + " UNION ALL ".join(f"SELECT line_no, pattern, round(confidence, 6) AS confidence, risk_score FROM ({_bank(b)})" for b in (detectors.SQLI_BANK, detectors.XSS_BANK)),
     "parse_stats": f"""{_LINES} SELECT count(*) AS total_lines, count(*) FILTER (outcome = 'parsed') AS parsed_lines, count(*) FILTER (outcome = 'malformed') AS malformed_lines, count(*) FILTER (outcome = 'unsupported') AS unsupported_lines,
  count(*) FILTER (outcome = 'parsed' AND source = 'linux') AS linux_lines, count(*) FILTER (outcome = 'parsed' AND source = 'windows') AS windows_lines, count(*) FILTER (outcome = 'parsed' AND source = 'apache') AS apache_lines FROM p""",
