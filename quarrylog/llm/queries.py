@@ -38,7 +38,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("text"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylog.plans.lineage import cut, ensure_checkpoint_dir, remove_folder
 
@@ -40,19 +41,46 @@ def _encoding(path: str | None):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, text: str = "text") -> None:
-    """The ids of each text and END, one document after another, in flat files. Null texts have no ids before their END."""
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Writes the ids of each text and END, one document after another, in flat files; null texts have no ids before their END.
+
+    Gives ``(file, document)`` of each row, and its ``doc_id`` where ``docs`` has such a column. Each attempt of a task writes a file of its own name; those of attempts
+    that were lost or outrun stay in the folder, but no row names them. The folder must lie in one of ``RANGE_STORES``.
+    """
+    spark = docs.sparkSession
+    at, scheme = _qualified(spark, folder)
+    if scheme not in RANGE_STORES:
+        raise ValueError(f"token files can't be written to {at}: give a folder in one of {', '.join(sorted(RANGE_STORES))}")
+    keys = [doc_id] if doc_id in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(vocabulary).encode_ordinary
+        end = END.to_bytes(2, "little")
+        name, file, n = f"{uuid.uuid4().hex}.bin", None, 0
         for batch in batches:
-            ids = [np.array(encode(t or ""), dtype="<u2").tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.binary())], names=["ids"])
-
-    # the text sink writes a string's bytes as they are, and this separator, in Latin-1, is the two bytes of END
-    separator = END.to_bytes(2, "little").decode("latin-1")
-    df = docs.select(text).mapInArrow(run, "ids binary").select(F.col("ids").cast("string").alias("value"))
-    df.write.option("encoding", "ISO-8859-1").option("lineSep", separator).text(folder)
+            if file is None:
+                store, inside = pyarrow.fs.FileSystem.from_uri(quote(at, safe=":/"))
+                store.create_dir(inside)
+                file = store.open_output_stream(f"{inside}/{name}")
+            for t in batch.column(0):
+                file.write(np.array(encode(t.as_py() or ""), dtype="<u2").tobytes() + end)
+            rows = [pa.array([name] * batch.num_rows), pa.array(range(n, n + batch.num_rows), type=pa.int64()), *batch.columns[1:]]
+            n += batch.num_rows
+            yield pa.RecordBatch.from_arrays(rows, names=["file", "document", *("doc_id" for _ in keys)])
+        if file is not None:
+            file.close()
+
+    schema = T.StructType().add("file", "string").add("document", "long")
+    for c in keys:
+        schema = schema.add("doc_id", docs.schema[c].dataType)
+    return cut(docs.select(text, *keys).mapInArrow(run, schema))
+
+
+def _qualified(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """The whole address of a folder, and its scheme."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+    return path.toString(), path.toUri().getScheme()
 
 
 FOUND = "file string, length long, block long, ends array<long>"
@@ -101,10 +129,9 @@ def scan_token_files(spark: SparkSession, folder: str, end: int = END, block_tok
     size = 2 * block_tokens
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where("length > 0")
     blocks = F.explode(F.expr(f"sequence(0L, (length - 1) div {size})")).alias("block")
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root)
-    name = F.coalesce(F.nullif(F.expr(f"substring(path, {len(root.toString()) + 2})"), F.lit("")), F.lit(root.getName())).alias("file")
-    if root.toUri().getScheme() in RANGE_STORES:
+    root, scheme = _qualified(spark, folder)
+    name = F.coalesce(F.nullif(F.expr(f"substring(path, {len(root) + 2})"), F.lit("")), F.lit(root.rsplit("/", 1)[1])).alias("file")
+    if scheme in RANGE_STORES:
         # of a file only its length is read here; its blocks go to tasks by their numbers
         blocks = files.select("path", name, "length", blocks).repartition(F.col("block"), F.col("file"))
         found = blocks.mapInArrow(_ranges(end, size), FOUND)
@@ -125,15 +152,19 @@ def scan_token_files(spark: SparkSession, folder: str, end: int = END, block_tok
     return out.where("k < n or stop > start").select("file", (F.col("first") + F.col("k")).alias("document"), "start", (F.col("stop") - F.col("start")).alias("n_tokens"))
 
 
-def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Writes the token files of ``docs`` into the shared folder, scans them, and removes them: their separators are kept.
+def count_tokens(docs: DataFrame, vocabulary: str | None = None, folder: str | None = None) -> DataFrame:
+    """``(doc_id, n_tokens)``: writes the token files of ``docs`` into a new folder under ``folder`` (the shared one), scans them, and removes them: their separators are kept.
 
-    A row for each row of ``docs``, in no order: null and empty texts have 0 tokens, repeated rows are counted each. Only the text
-    is read, so other columns can't clash. An empty table gives an empty one.
+    A row for each row of ``docs``, in no order: null and empty texts have 0 tokens, repeated rows and null ids are counted each. Only doc_id
+    (left out where there is none) and text are read, so other columns can't clash. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_token_files(docs, folder, vocabulary)
-    out = scan_token_files(spark, folder)
+    folder = f"{folder or ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    written = write_token_files(docs, folder, vocabulary)
+    if written.isEmpty():  # no task had rows, so there is no folder
+        found = spark.createDataFrame([], "file string, document long, start long, n_tokens long")
+    else:
+        found = scan_token_files(spark, folder)
+    out = written.join(found, ["file", "document"]).drop("file", "document", "start")
     remove_folder(spark, folder)
     return out

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quarrylog.llm import line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, shingle_dedup, simhash, spotsigs, substring_dedup, token_counts, url_filter
 
@@ -351,6 +352,28 @@ def test_token_counts(spark, docs, tmp_path):
     got = sorted(r["n_tokens"] for r in token_counts.scan_token_files(spark, at, block_tokens=64).collect())
     encode = token_counts._encoding(None).encode_ordinary
     assert got == sorted([*(len(encode(t or "")) for t in texts()), len(encode("null id the of"))])
+    assert len(list((tmp_path / "tokens").glob("*.bin"))) == 2  # each task ran once
+
+
+def test_token_counts_by_document(spark, tmp_path, monkeypatch):
+    """Every row has the tokens of its own text: null and repeated ids, clashing names, ids that aren't numbers; files that no row names don't count."""
+    encode = token_counts._encoding(None).encode_ordinary
+    rows = [(k, t) for k, t in enumerate(texts())] + [(None, "null id the of"), (3, "three again"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as file", "1L as document", "2 as n_tokens", "text as start", "3 as ends")
+    want = sorted(((k, len(encode(t or ""))) for k, t in rows), key=repr)
+    for n in (1, 7):
+        got = token_counts.count_tokens(df.repartition(n))
+        assert got.columns == ["doc_id", "n_tokens"] and sorted(map(tuple, got.collect()), key=repr) == want
+    named = token_counts.count_tokens(df.withColumn("doc_id", F.concat(F.lit("é"), "doc_id")).select("text", "doc_id"), folder=str(tmp_path / "own, 100%"))
+    assert sorted(((r[0], r[1]) for r in named.collect()), key=repr) == sorted(((None if k is None else f"é{k}", n) for k, n in want), key=repr)
+    at = str(tmp_path / "lost attempt")
+    listed = token_counts.write_token_files(df.coalesce(2), at)
+    (tmp_path / "lost attempt" / "lost.bin").write_bytes(b"abcdef")
+    found = listed.join(token_counts.scan_token_files(spark, at), ["file", "document"])
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in found.collect()), key=repr) == want
+    monkeypatch.setattr(token_counts, "RANGE_STORES", frozenset(("hdfs",)))
+    with pytest.raises(ValueError, match="can't be written"):
+        token_counts.count_tokens(df)
 
 
 def test_one_large_token_file_by_ranges_and_whole(spark, tmp_path, monkeypatch):
