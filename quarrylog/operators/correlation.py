@@ -75,23 +75,58 @@ def links(at: DataFrame, c: CorrelationConfig) -> DataFrame:
 def correlate(alerts: DataFrame, config: AnalyzerConfig | CorrelationConfig | None = None, members: DataFrame | None = None) -> DataFrame:
     """A row for each incident, without its risk; ``members``: their memberships where these are known.
 
-    Lists of addresses, users and alert ids stand in the row; ``memberships`` gives the alerts as rows. attack_chain has the
-    types by their first occurrence.
+    Lists of addresses, users and alert ids stand in the row; ``large_incidents`` has counts instead, for incidents that no row can hold.
+    attack_chain has the types by their first occurrence.
     """
     alerts = cut(alerts)
+    df = _with_incident(alerts, members if members is not None else memberships(alerts, config))
+    place = F.struct("timestamp", "seq", "line_no", "alert_id")
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    return _incident_rows(
+        df,
+        [F.collect_set(address_of()).alias("ips"), F.flatten(F.collect_set(users_of())).alias("users"), F.collect_list(place).alias("ids")],
+        {"source_ips": merged("ips"), "usernames": merged("users"), "alert_ids": F.transform(F.array_sort(F.flatten(F.collect_list("ids"))), lambda x: x["alert_id"])},
+    )
+
+
+def large_incidents(alerts: DataFrame, config: AnalyzerConfig | None = None, members: DataFrame | None = None) -> DataFrame:
+    """``incidents`` with n_source_ips and n_usernames in place of the lists, however many alerts an incident has.
+
+    No row and no state grows with an incident. ``incident_values`` has the addresses and users as rows, ``memberships`` the alerts.
+    """
+    alerts = cut(alerts)
+    members = cut(members if members is not None else memberships(alerts, config))
+    privileged = [u.lower() for u in block(config, RiskScoringConfig).privileged_users]
+    seen = F.coalesce(F.bool_or(F.exists(users_of(), lambda u: u.isin(*privileged))), F.lit(False))
+    rows = _incident_rows(_with_incident(alerts, members), [seen.alias("seen")], {"privileged": F.bool_or("seen")})
+    values = incident_values(alerts, members).groupBy(F.col("incident_id").alias("of")).agg(F.count_if(F.col("kind") == "ip_address").alias("ips"), F.count_if(F.col("kind") == "username").alias("users"))
+    rows = rows.join(values, F.col("incident_id") == F.col("of"), "left").withColumns({"n_source_ips": F.coalesce("ips", F.lit(0)), "n_usernames": F.coalesce("users", F.lit(0))})
+    return score(rows.drop("of", "ips", "users"), config)
+
+
+def incident_values(alerts: DataFrame, members: DataFrame) -> DataFrame:
+    """``(incident_id, kind, value)``: each address and user of each incident once; kind is ip_address or username."""
+    pair = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+    by_ip = F.when(address_of().isNotNull(), F.array(pair("ip_address", address_of())))
+    found = F.concat(F.coalesce(by_ip, F.array().cast("array<struct<kind:string,value:string>>")), F.transform(users_of(), lambda u: pair("username", u)))
+    return alerts.join(members, "alert_id").select("incident_id", F.explode(found).alias("v")).select("incident_id", "v.*").distinct()
+
+
+def _with_incident(alerts: DataFrame, members: DataFrame) -> DataFrame:
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.upper("severity")), F.lit(0))
-    df = alerts.join(members if members is not None else memberships(alerts, config), "alert_id").withColumn("rank", rank).withColumn("seq", F.coalesce("seq", F.lit(0)) if "seq" in alerts.columns else F.lit(0))
+    return alerts.join(members, "alert_id").withColumn("rank", rank).withColumn("seq", F.coalesce("seq", F.lit(0)) if "seq" in alerts.columns else F.lit(0))
+
+
+def _incident_rows(df: DataFrame, per_alert_type: list[Column], more: dict[str, Column]) -> DataFrame:
+    """Alerts by incident and type, then by incident; ``more`` are columns made of those that ``per_alert_type`` adds to the first step."""
     sure = F.when(F.col("confidence") > 0, F.col("confidence"))
     place = F.struct("timestamp", "seq", "line_no", "alert_id")
     per_type = df.groupBy("incident_id", "alert_type").agg(
-        F.count("*").alias("n"), F.min(place).alias("first"), F.max("timestamp").alias("last_seen"), F.max("rank").alias("rank"), F.sum(sure).alias("sure"), F.count(sure).alias("n_sure"),
-        F.collect_set(address_of()).alias("ips"), F.flatten(F.collect_set(users_of())).alias("users"), F.collect_list(F.struct("timestamp", "seq", "line_no", "alert_id")).alias("ids"),
+        F.count("*").alias("n"), F.min(place).alias("first"), F.max("timestamp").alias("last_seen"), F.max("rank").alias("rank"), F.sum(sure).alias("sure"), F.count(sure).alias("n_sure"), *per_alert_type,
     )
-    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     out = per_type.groupBy("incident_id").agg(
         F.sum("n").alias("alert_count"), F.max("n").alias("most"), F.max("rank").alias("rank"), F.min("first.timestamp").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-        F.round(F.try_divide(F.sum("sure"), F.sum("n_sure")), 9).alias("confidence"), merged("ips").alias("source_ips"), merged("users").alias("usernames"),
-        F.transform(F.array_sort(F.flatten(F.collect_list("ids"))), lambda x: x["alert_id"]).alias("alert_ids"),
+        F.round(F.try_divide(F.sum("sure"), F.sum("n_sure")), 9).alias("confidence"), *[c.alias(name) for name, c in more.items()],
         F.transform(F.array_sort(F.collect_list(F.struct("first", "alert_type"))), lambda x: x["alert_type"]).alias("attack_chain"),
     )
     kind = F.when(F.size("attack_chain") == 1, F.get("attack_chain", F.lit(0))).otherwise("CORRELATED_ACTIVITY")
@@ -100,13 +135,16 @@ def correlate(alerts: DataFrame, config: AnalyzerConfig | CorrelationConfig | No
         F.concat(F.col("alert_count").cast("string"), F.lit(" alerts linked by address or user and time: "), F.array_join("attack_chain", ", "))
     )
     return out.select(
-        "incident_id", kind.alias("incident_type"), severity.alias("severity"), "first_seen", "last_seen", "alert_count", "source_ips", "usernames", "alert_ids", "attack_chain",
+        "incident_id", kind.alias("incident_type"), severity.alias("severity"), "first_seen", "last_seen", "alert_count", *more, "attack_chain",
         F.array_sort("attack_chain").alias("alert_types"), about.alias("description"), F.col("confidence").alias("average_confidence"), (F.col("most") > 1).alias("repeated"),
     )
 
 
 def score(incidents: DataFrame, config: AnalyzerConfig | RiskScoringConfig | None = None) -> DataFrame:
-    """``incidents`` with risk_score (0 to 100) and risk_breakdown, JSON of the parts that count."""
+    """``incidents`` with risk_score (0 to 100) and risk_breakdown, JSON of the parts that count.
+
+    Whether a privileged user takes part is read from ``privileged`` where there is no list of users.
+    """
     c = block(config, RiskScoringConfig)
     bases = F.create_map(*[x for s, n in zip(SEVERITIES, (c.base_low, c.base_medium, c.base_high, c.base_critical), strict=True) for x in (F.lit(s), F.lit(n))])
     base = F.coalesce(F.try_element_at(bases, F.upper("severity")), F.lit(c.base_medium))
@@ -119,7 +157,7 @@ def score(incidents: DataFrame, config: AnalyzerConfig | RiskScoringConfig | Non
         "multiple_alert_bonus": (F.col("alert_count") >= 2, c.multiple_alert_bonus),
         "multiple_attack_type_bonus": (F.size("alert_types") >= 2, c.multiple_attack_type_bonus),
         "repeated_activity_bonus": (F.col("repeated"), c.repeated_activity_bonus),
-        "privileged_user_bonus": (F.exists("usernames", lambda u: u.isin(*privileged)), c.privileged_user_bonus),
+        "privileged_user_bonus": (F.exists("usernames", lambda u: u.isin(*privileged)) if "usernames" in incidents.columns else F.col("privileged"), c.privileged_user_bonus),
         "confidence_bonus": (sure, c.high_confidence_bonus),
     }
     total = base

@@ -184,6 +184,9 @@ QUERIES = {
     "risk_breakdown": lambda s, d: _breakdown(correlation.incidents(_alerts(s, d, RULES), RULES)),
     "anomaly_scores": lambda s, d: anomaly.score(anomaly.entity_vectors(log_entries(s, d)), minimum=FEW).select("entity_type", "entity_id", "decision", "score"),
     "incident_risk": lambda s, d: _flat(correlation.incidents(_alerts(s, d, RULES), RULES)),
+    "large_incident_risk": lambda s, d: correlation.large_incidents(_alerts(s, d, RULES), RULES).select(
+        "incident_type", "severity", "first_seen", "last_seen", "alert_count", "n_source_ips", "n_usernames", F.array_join("attack_chain", "|").alias("attack_chain"), F.col("risk_score").cast("long").alias("risk_score")
+    ),
     "incident_risk_with_anomalies": lambda s, d: _flat(correlation.incidents(_alerts(s, d, CONFIG), CONFIG)),
 }
 
@@ -308,6 +311,8 @@ ORACLES = {
     "alert_counts": f"{_ALERTS} SELECT alert_type, severity, count(*) AS n FROM alerts GROUP BY ALL",
     "alert_severities": f"{_ALERTS} SELECT count(*) FILTER (severity = 'CRITICAL') AS \"CRITICAL\", count(*) FILTER (severity = 'HIGH') AS \"HIGH\", count(*) FILTER (severity = 'MEDIUM') AS \"MEDIUM\", count(*) FILTER (severity = 'LOW') AS \"LOW\" FROM alerts",
     "incident_risk": f"{_INCIDENTS} {_RISK}",
+    "large_incident_risk": f"""SELECT incident_type, severity, first_seen, last_seen, alert_count, attack_chain, risk_score, CASE WHEN source_ips = '' THEN 0 ELSE len(string_split(source_ips, '|')) END AS n_source_ips,
+ CASE WHEN usernames = '' THEN 0 ELSE len(string_split(usernames, '|')) END AS n_usernames FROM ({_INCIDENTS} {_RISK})""",
     "attack_types": f"{_ALERTS} SELECT alert_type, count(*) AS n FROM alerts GROUP BY 1",
     "web_evidence": f"{_E} " + " UNION ALL ".join(f"SELECT line_no, alert_type, pattern, request, {_NORMAL} AS normalized_request, indicators AS matched_indicators FROM ({_bank(b)})" for b in (detectors.SQLI_BANK, detectors.XSS_BANK)),
     "brute_force_evidence": f'WITH RECURSIVE e AS ({ENTRIES_SQL}), {_FORCE[0]} SELECT username, ip_address, attempts, 3::BIGINT AS threshold, {3 * DAY}::BIGINT AS window_seconds, timestamp AS start_time, "end" AS end_time FROM ({_FORCE[1]})',

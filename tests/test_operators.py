@@ -7,7 +7,7 @@ from html.entities import html5
 
 from pyspark.sql import functions as F
 
-from quarrylog.config import BruteForceConfig, CorrelationConfig, InsiderThreatConfig, PasswordSprayConfig, RiskScoringConfig
+from quarrylog.config import AnalyzerConfig, BruteForceConfig, CorrelationConfig, InsiderThreatConfig, PasswordSprayConfig, RiskScoringConfig
 from quarrylog.functions import text
 from quarrylog.functions.text import normalize_line, normalize_request
 from quarrylog.operators import anomaly, correlation, detectors, parsing
@@ -176,6 +176,29 @@ def test_incidents_hold_their_lists_and_settings(spark):
     by_user = correlation.correlate(alerts, CorrelationConfig(correlate_by_ip=False)).collect()
     assert sorted(r["alert_count"] for r in by_user) == [1, 1, 2]
     assert correlation.incidents(alerts.limit(0)).count() == 0
+    for config in (None, AnalyzerConfig(risk_scoring=RiskScoringConfig(privileged_users=("amy",))), AnalyzerConfig(risk_scoring=RiskScoringConfig(enabled=False)), AnalyzerConfig(correlation=CorrelationConfig(enabled=False))):
+        large, usual = correlation.large_incidents(alerts, config), correlation.incidents(alerts, config)
+        shared = [c for c in usual.columns if c not in ("source_ips", "usernames", "alert_ids")]
+        sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in ("source_ips", "usernames")]
+        assert {str(r) for r in large.select(*shared, "n_source_ips", "n_usernames").collect()} == {str(r) for r in usual.select(*shared, *sizes).collect()}
+    members = correlation.memberships(alerts)
+    values = sorted(tuple(r)[1:] for r in correlation.incident_values(alerts, members).where(F.col("incident_id") == first["incident_id"]).collect())
+    assert values == [("ip_address", "1.1.1.1"), ("ip_address", "2.2.2.2"), ("username", "amy"), ("username", "root")]
+    assert correlation.large_incidents(alerts.limit(0)).count() == 0
+
+
+def test_large_incidents_keep_no_lists(spark):
+    """Of one incident of 200,000 alerts, no row has more than counts; alerts without address and user are incidents of their own."""
+    rows = spark.range(200_000).selectExpr(
+        "'XSS' as alert_type", "'HIGH' as severity", "timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as timestamp", "concat('u', id % 101) as username", "if(id % 2 = 0, '1.1.1.1', concat('2.2.', id % 7, '.1')) as ip_address",
+        "0.5D as confidence", "80 as risk_score", "id as line_no", "'apache' as source", "'' as description", "cast(id as string) as evidence",
+    )
+    lone = rows.where("line_no < 2").withColumns({"username": F.lit("-"), "ip_address": F.lit(None).cast("string")})
+    alerts = correlation.deduplicate(rows.union(lone))
+    found = correlation.large_incidents(alerts)
+    got = sorted((r["alert_count"], r["n_source_ips"], r["n_usernames"], r["risk_score"]) for r in found.collect())
+    assert got == [(1, 0, 0, 70), (1, 0, 0, 70), (200_000, 8, 101, 85)]
+    assert not [f.name for f in found.schema if f.name in ("source_ips", "usernames", "alert_ids")]
 
 
 def test_html_references_are_undone_as_the_library_does(spark):
