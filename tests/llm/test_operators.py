@@ -471,6 +471,20 @@ def test_edit_distance_and_common_seeds(spark, monkeypatch):
         assert sorted(map(tuple, substring_dedup.repeated_passages(df).collect())) == plain
 
 
+def test_passages_whose_seeds_others_hold_first_and_last(spark, monkeypatch):
+    """Two texts share a passage; its halves, too short to be passages, stand in texts before both and between them."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    whole = [word() for _ in range(60)]
+    parts = {0: whole[:34], 1: whole[26:], 2: whole, 3: whole[:34], 4: whole[26:], 5: whole}
+    texts = [(k, " ".join([word() for _ in range(40)] + parts.get(k, whole[20:40]) + [word() for _ in range(40)])) for k in range(12)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for hot in (substring_dedup.HOT, 1):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        got = [(r["doc_id"], r["ref_id"], r["start"], r["stop"], r["ref_start"], r["class_id"]) for r in substring_dedup.repeated_passages(df).collect()]
+        assert got == [(5, 2, 40, 100, 40, 2)]
+
+
 def test_urls(spark):
     urls = ["http://A.net/x", "https://m.example.net/en/1", "http://example.com/de/2?q", "http://www.org/fr/", None, "nothing", "http://q.example.com/en/#t"]
     df = spark.createDataFrame([(k, u, "<a href='/x'>") for k, u in enumerate(urls)], "page_id long, url string, html string")
