@@ -22,7 +22,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts alike, the one of the least id; empty texts are alike, null ids come last."""
+    """One row of each group of texts alike (SimHash's links that the exact similarity confirms, then all that it leaves apart), the one of the least id; empty texts are alike, null ids come last."""
     return shingle_dedup.keep_one_of_each(docs)
 
 

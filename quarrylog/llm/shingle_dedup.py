@@ -1,7 +1,8 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, found by shared prefixes.
+"""Near-duplicates by SimHash, checked by the exact Jaccard similarity of word shingles; what SimHash leaves apart is found by shared prefixes.
 
-64 SimHash bits don't hold a similarity of 0.8: such texts differ in some ten bits, more than segments can be looked up for.
-So each distinct set of shingles is indexed under the first n - ceil(t n) + 1 of its n shingles in one global order, rare
+First the components of fingerprints (simhash: one-wildcard segments, 3 bits) bring texts together: each set of shingles in one meets
+the component's least set, and those whose similarity is enough are linked. 64 bits don't hold a similarity of 0.8, though: such texts
+differ in some ten bits, more than segments can be looked up for. So for all that is not one component yet, each distinct set of shingles is indexed under the first n - ceil(t n) + 1 of its n shingles in one global order, rare
 ones first: two sets of similarity t or more share one of these. No pair is missed, whatever the order; it only keeps buckets small.
 
 Buckets aren't paired out at once. In each of some rounds all sets of a bucket meet its most central one, whose prefix lies in
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylog.llm.common import KEY, row_key
-from quarrylog.llm.simhash import keep_least
+from quarrylog.llm.simhash import keep_least, rooted
 from quarrylog.operators.components import connected_components
 from quarrylog.plans.lineage import cut
 from quarrylog.plans.scratch import Scratch
@@ -101,12 +102,36 @@ def _prefix_rows(docs: DataFrame, size: int, similarity: float, often: np.ndarra
     return docs.select(*KEY, "text", "doc_id").mapInArrow(run, f"{_key_schema(docs)}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, sid long, n int, prefix array<long>")
 
 
+def _alike(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity is ``similarity`` or more."""
+    both = near.join(sets.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("t"))
+    return shared.where(f"o >= {similarity!r}D * (t - o) - {EPS}").select("a", "b")
+
+
+def simhash_links(docs: DataFrame, prints: DataFrame, steps: Scratch, size: int, similarity: float) -> DataFrame:
+    """``(node, component)`` of the sets that SimHash finds near and the exact similarity confirms."""
+    roots = rooted(docs).select(*KEY, "root").distinct()
+    of_set = steps.put(prints.select(*KEY, "sid").join(roots, list(KEY)).groupBy("sid", "root").agg(F.min(F.struct(*KEY)).alias("k")))
+    least = of_set.groupBy("root").agg(F.min("sid").alias("a"), F.count("*").alias("c")).where("c > 1")
+    pairs = steps.put(of_set.join(least, "root").where("sid <> a").select("a", F.col("sid").alias("b"), "root").select("a", "b").distinct())
+    known = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    keys = steps.put(of_set.join(known, "sid", "left_semi").groupBy("sid").agg(F.min("k").alias("k")).select(*[F.col(f"k.{c}") for c in KEY]))
+    steps.drop(of_set)
+    sets = steps.put(_sets(docs.join(keys, list(KEY), "left_semi").dropDuplicates(list(KEY)), size).select("sid", "s"))
+    groups = cut(connected_components(_alike(pairs, sets, similarity)))
+    steps.drop(pairs, keys, sets)
+    return groups
+
+
 def _links(docs: DataFrame, prints: DataFrame, steps: Scratch, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """``prints`` without the prefixes, and ``(node, component)`` of the sets that have an alike one. Tables of past steps are removed, so the disk holds one step's at a time."""
+    groups = simhash_links(docs, prints, steps, size, similarity)
     nodes = prints.groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    entries = nodes.select("sid", "n", F.explode("prefix").alias("g"))
-    held = entries.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    left = steps.put(entries.join(held, "g").select("g", "sid", "n", F.col("sid").alias("comp"), "c"))
+    nodes = nodes.join(groups, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("component", "sid").alias("comp"), "prefix")
+    entries = nodes.select("sid", "n", "comp", F.explode("prefix").alias("g"))
+    held = entries.groupBy("g").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g", "c")
+    left = steps.put(entries.join(held, "g").select("g", "sid", "n", "comp", "c"))
     known = left.select("sid").distinct()
     slim = steps.put(prints.select(*KEY, "doc_id", "sid"))
     steps.drop(prints)
@@ -114,7 +139,6 @@ def _links(docs: DataFrame, prints: DataFrame, steps: Scratch, size: int, simila
     steps.drop(known)
     sets = steps.put(_sets(docs.join(keys, list(KEY), "left_semi").dropDuplicates(list(KEY)), size).select("sid", "s", "bits", F.size("s").alias("n")))
     steps.drop(keys)
-    groups = docs.sparkSession.createDataFrame([], "node long, component long")
     share = (1 - similarity) / (1 + similarity)
     for k in range(ROUNDS + 1):
         if left.isEmpty():
@@ -144,9 +168,7 @@ def _links(docs: DataFrame, prints: DataFrame, steps: Scratch, size: int, simila
             steps.drop(pairs)
         some = steps.put(sets.join(near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "sid"), "sid", "left_semi").select("sid", "s"))
         steps.drop(known)
-        both = near.join(some.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a").join(some.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b")
-        shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("t"))
-        alike = steps.put(shared.where(f"o >= {similarity!r}D * (t - o) - {EPS}").select("a", "b"))
+        alike = steps.put(_alike(near, some, similarity))
         steps.drop(near, some)
         if not alike.isEmpty():
             groups = cut(connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(alike)))

@@ -141,14 +141,14 @@ def links(distinct_fps: DataFrame, split: int = SPLIT) -> DataFrame:
     return index.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_link_batches, "a long, b long").distinct()
 
 
-def _rooted(docs: DataFrame) -> DataFrame:
+def rooted(docs: DataFrame) -> DataFrame:
     """``near_duplicate_components`` with ``root``, a fingerprint that names the component whatever its ids."""
     prints = cut(fingerprints(docs.drop("component_id", "root")))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = connected_components(links(nodes.select("fp")))
-    rooted = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = cut(rooted.join(named, "root").select("fp", "component_id", "root"))
+    named_roots = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    named = named_roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_fp = cut(named_roots.join(named, "root").select("fp", "component_id", "root"))
     return prints.join(of_fp, "fp")
 
 
@@ -158,7 +158,7 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     Null texts and texts without words have fingerprint 0 and are linked like others. Rows that repeat an id or a text stay
     rows of their own. A component whose ids are all null has a null component_id. An empty table gives an empty one.
     """
-    return _rooted(docs).drop("root")
+    return rooted(docs).drop("root")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     repeated ids are components of their own. Columns of any name stay as they are; an empty table gives an empty one.
     """
     light = docs.select("doc_id", "text", *row_key())
-    return keep_least(docs, _rooted(light))
+    return keep_least(docs, rooted(light))
 
 
 def keep_least(docs: DataFrame, rooted: DataFrame) -> DataFrame:

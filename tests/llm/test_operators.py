@@ -249,6 +249,33 @@ def test_near_dedup_stage_against_all_pairs(spark):
     assert shingle_dedup.keep_one_of_each(none).count() == 0
 
 
+def test_near_dedup_stage_links_by_simhash_first(spark, monkeypatch):
+    """The stage asks SimHash for links, and its exact check drops those of texts that aren't alike."""
+    import corpus_pipeline
+    from quarrylog.llm.common import row_key
+
+    rng = random.Random(15)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(0, " ".join(text)), (1, " ".join([*text, "end"])), (2, "one two three"), (3, " ".join(text[::-1])), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    links = shingle_dedup.simhash_links
+
+    def noted(docs, prints, *rest):
+        out = links(docs, prints, *rest)
+        sids = {r["doc_id"]: r["sid"] for r in prints.collect()}
+        found.append((sids, {r["node"]: r["component"] for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(shingle_dedup, "simhash_links", noted)
+    # all in one component of SimHash, too: what isn't alike stays apart
+    for roots in (simhash.rooted, lambda docs: docs.select("doc_id", *row_key()).withColumn("root", F.lit(0))):
+        monkeypatch.setattr(shingle_dedup, "rooted", roots)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [0, 2, 3, 4]
+    sids, groups = found[0]
+    assert groups.get(sids[0]) == groups.get(sids[1]) is not None and not {sids[2], sids[3]} & set(groups)
+
+
 def test_mixing(docs):
     light = docs.select("doc_id", "source", mixing.n_words().alias("size"), mixing.quality_weight().alias("quality"))
     rows = mixing.mix(light).collect()
