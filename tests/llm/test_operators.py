@@ -512,6 +512,41 @@ def test_passages_whose_seeds_others_hold_first_and_last(spark, monkeypatch):
         assert got == [(5, 2, 40, 100, 40, 2)]
 
 
+def test_passages_about_a_line_that_many_texts_hold(spark):
+    """A line of 25 words in 400 texts, in some thirds of them within a passage of 55 words with edits; and stretches of one word, in texts that share no more."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line = [word() for _ in range(25)]
+    tails = {k: [word() for _ in range(30)] for k in range(3)}
+
+    def edited(w):
+        return [word() if k % 9 == 8 else x for k, x in enumerate(w)]
+
+    rows = [(k, [word() for _ in range(40)] + line + (edited(tails[k % 3]) if k in (7, 100, 250, 300, 301) else []) + [word() for _ in range(40)]) for k in range(400)]
+    rows += [(1000 + 10 * k + j, [word() for _ in range(60)] + [w] * (50 + j) + [word() for _ in range(10)]) for k, w in enumerate("abcdefghijkl") for j in (0, 3)]
+    want = {(k + 3, k) for k in range(1000, 1120, 10)} | {(100, 7), (250, 7), (301, 7), (250, 100), (301, 100), (301, 250)}
+    got = substring_dedup.repeated_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["ref_id"]) for r in got} <= want
+    assert {r["doc_id"]: r["class_id"] for r in got} == {k + 3: k for k in range(1000, 1120, 10)} | dict.fromkeys((100, 250, 301), 7)
+
+
+def test_words_around_a_seed_against_all_pairs():
+    """Pairs that the hashes give hold all that share a K-mer beyond the run about the seed or grow over a mismatch, found pair by pair."""
+    rng = np.random.default_rng(15)
+    side, k = substring_dedup.SIDE, substring_dedup.K
+    around = rng.integers(1, 2**32, (40, 2 * side + k), dtype=np.uint32)
+    around[:, side - 8 : side + k + 9] = around[0, side - 8 : side + k + 9]
+    around[3, side + 30 : side + 36] = around[5, side + 34 : side + 40]
+    around[7, side - 60 : side - 53] = around[9, side - 60 : side - 53]
+    around[11, side + k + 10 : side + k + 13] = around[12, side + k + 10 : side + k + 13]
+    around[20, side - 40 :] = around[21, side - 40 :]
+    seed = np.full(40, 77, dtype=np.int64)
+    pairs = {(min(i, j), max(i, j)) for entries in substring_dedup._entries(seed, around) for x, y in substring_dedup._crossed(*entries) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    assert {(3, 5), (7, 9), (11, 12)} == pairs
+    good = substring_dedup._can_be_passage(around[[20, 3, 11]], around[[21, 5, 12]])
+    assert good.tolist() == [True, False, False]
+
+
 def test_urls(spark):
     urls = ["http://A.net/x", "https://m.example.net/en/1", "http://example.com/de/2?q", "http://www.org/fr/", None, "nothing", "http://q.example.com/en/#t"]
     df = spark.createDataFrame([(k, u, "<a href='/x'>") for k, u in enumerate(urls)], "page_id long, url string, html string")
