@@ -119,7 +119,7 @@ def simhash_links(docs: DataFrame, prints: DataFrame, steps: Scratch, size: int,
     keys = steps.put(of_set.join(known, "sid", "left_semi").groupBy("sid").agg(F.min("k").alias("k")).select(*[F.col(f"k.{c}") for c in KEY]))
     steps.drop(of_set)
     sets = steps.put(_sets(docs.join(keys, list(KEY), "left_semi").dropDuplicates(list(KEY)), size).select("sid", "s"))
-    groups = cut(connected_components(_alike(pairs, sets, similarity)))
+    groups = connected_components(_alike(pairs, sets, similarity))
     steps.drop(pairs, keys, sets)
     return groups
 
@@ -171,7 +171,7 @@ def _links(docs: DataFrame, prints: DataFrame, steps: Scratch, size: int, simila
         alike = steps.put(_alike(near, some, similarity))
         steps.drop(near, some)
         if not alike.isEmpty():
-            groups = cut(connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(alike)))
+            groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(alike))
         if k < ROUNDS:
             rest = met.where("sid <> f.sid").select("g", "sid", "n", "c").join(groups, F.col("sid") == F.col("node"), "left").select("g", "sid", "n", F.coalesce("component", "sid").alias("comp"), "c")
             rest = steps.put(rest)
