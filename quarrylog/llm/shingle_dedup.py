@@ -14,23 +14,26 @@ and the join itself gives on only what the bitmaps allow. Before the sets of a p
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylog.llm.common import KEY, row_key
 from quarrylog.llm.simhash import keep_least, rooted
 from quarrylog.operators.components import connected_components
 from quarrylog.plans.lineage import cut
-from quarrylog.plans.scratch import Scratch
+from quarrylog.plans.scratch import Scratch, release
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROUNDS = 1
-#: Longs of a set's bitmap.
-BITMAP = 16
+#: Longs of a set's bitmap, and of the wider one by which pairs of sets of LARGE shingles or more are compared before the sets are fetched.
+BITMAP, WIDE, LARGE = 16, 256, 1024
+#: Bytes that pairs may bring into one shuffle, or twice those of the sets if these are more: pairs of more are compared part by part.
+AT_ONCE = 1 << 28
 #: Shingles that often occur in one of SAMPLE texts come last in the order, the MOST_HOT most frequent of them by their number.
 SAMPLE, HOT, MOST_HOT = 16, 4, 20_000
 EPS = 1e-9
@@ -62,7 +65,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             found = [shingles(t, size) for t in batch.column(3).to_pylist()]
-            bits = [np.packbits(np.bincount(s & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1 == 1).view(np.int64) for s in found]
+            bits = [_parity(s, BITMAP) for s in found]
             ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], dtype=np.uint64).view(np.int64)
             found = [(s >> 32).astype(np.int32) for s in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids), pa.array(found, type=pa.list_(pa.int32())), pa.array(bits, type=pa.list_(pa.int64()))], names=[*KEY, "sid", "s", "bits"])
@@ -102,11 +105,55 @@ def _prefix_rows(docs: DataFrame, size: int, similarity: float, often: np.ndarra
     return docs.select(*KEY, "text", "doc_id").mapInArrow(run, f"{_key_schema(docs)}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, sid long, n int, prefix array<long>")
 
 
-def _alike(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity is ``similarity`` or more."""
-    both = near.join(sets.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("t"))
-    return shared.where(f"o >= {similarity!r}D * (t - o) - {EPS}").select("a", "b")
+def _parity(s: np.ndarray, longs: int) -> np.ndarray:
+    """A bit for each remainder of the hashes: whether the set has an odd number of them. Two sets differ in as many hashes at least as these in bits."""
+    return np.packbits(np.bincount(s & (64 * longs - 1), minlength=64 * longs) & 1 == 1).view(np.int64)
+
+
+def _wide(sets: DataFrame) -> DataFrame:
+    """``(sid, n, wide)``: the sizes of sets, and the wide bitmaps of large ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            found = [x.values.to_numpy() for x in batch.column(1)]
+            wide = [_parity(s, WIDE) if len(s) >= LARGE else None for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], type=pa.int32()), pa.array(wide, type=pa.list_(pa.int64()))], names=["sid", "n", "wide"])
+
+    return sets.select("sid", "s").mapInArrow(run, "sid long, n int, wide array<long>")
+
+
+def _bits_apart(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, p: t + p)
+
+
+def _parts(pairs: DataFrame, total: int, at_once: int) -> Iterator[DataFrame]:
+    """Pairs that bring ``total`` bytes into a shuffle, in parts of about ``at_once``; the shuffle files of a part go before the next."""
+    n = max(1, -(-total // at_once))
+    for k in range(n):
+        yield pairs.where(F.pmod(F.xxhash64("a", "b", F.lit(n)), F.lit(n)) == k) if n > 1 else pairs
+        release(pairs.sparkSession)
+
+
+def _alike(near: DataFrame, sets: DataFrame, similarity: float, steps: Scratch) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity is ``similarity`` or more.
+
+    A set is shuffled once for each of its pairs, and pairs grow faster than sets: so the wide bitmaps of large sets are compared
+    first, and the rest in parts, whose shuffles stay in proportion to the sets.
+    """
+    share = (1 - similarity) / (1 + similarity)
+    wide = steps.put(_wide(sets))
+    at_once = max(AT_ONCE, 8 * (wide.agg(F.sum("n")).first()[0] or 0))
+    x, y = (wide.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "ab")
+    found = []
+    for some in _parts(near, near.count() * 8 * WIDE, at_once):
+        can = steps.put(some.join(x, "a").join(y, "b").where(F.coalesce(_bits_apart("wide_a", "wide_b") <= share * (F.col("n_a") + F.col("n_b")) + EPS, F.lit(True))).select("a", "b", "n_a"))
+        for part in _parts(can, 4 * (can.agg(F.sum("n_a")).first()[0] or 0), at_once):
+            both = part.join(sets.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b")
+            shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("t"))
+            found.append(steps.put(shared.where(f"o >= {similarity!r}D * (t - o) - {EPS}").select("a", "b")))
+        steps.drop(can)
+    steps.drop(wide)
+    return reduce(DataFrame.union, found)
 
 
 def simhash_links(docs: DataFrame, prints: DataFrame, steps: Scratch, size: int, similarity: float) -> DataFrame:
@@ -119,22 +166,26 @@ def simhash_links(docs: DataFrame, prints: DataFrame, steps: Scratch, size: int,
     keys = steps.put(of_set.join(known, "sid", "left_semi").groupBy("sid").agg(F.min("k").alias("k")).select(*[F.col(f"k.{c}") for c in KEY]))
     steps.drop(of_set)
     sets = steps.put(_sets(docs.join(keys, list(KEY), "left_semi").dropDuplicates(list(KEY)), size).select("sid", "s"))
-    groups = connected_components(_alike(pairs, sets, similarity))
-    steps.drop(pairs, keys, sets)
+    alike = _alike(pairs, sets, similarity, steps)
+    groups = connected_components(alike)
+    steps.drop(pairs, keys, sets, alike)
     return groups
 
 
 def _links(docs: DataFrame, prints: DataFrame, steps: Scratch, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """``prints`` without the prefixes, and ``(node, component)`` of the sets that have an alike one. Tables of past steps are removed, so the disk holds one step's at a time."""
     groups = simhash_links(docs, prints, steps, size, similarity)
+    slim = steps.put(prints.select(*KEY, "doc_id", "sid"))
     nodes = prints.groupBy("sid").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    nodes = nodes.join(groups, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("component", "sid").alias("comp"), "prefix")
+    nodes = steps.put(nodes.join(groups, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("component", "sid").alias("comp"), "prefix"))
+    steps.drop(prints)
     entries = nodes.select("sid", "n", "comp", F.explode("prefix").alias("g"))
-    held = entries.groupBy("g").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g", "c")
+    # written before it is joined: of the entries, one shuffle at a time is on the disk
+    held = steps.put(entries.groupBy("g").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("g", "c"))
+    release(docs.sparkSession)
     left = steps.put(entries.join(held, "g").select("g", "sid", "n", "comp", "c"))
     known = left.select("sid").distinct()
-    slim = steps.put(prints.select(*KEY, "doc_id", "sid"))
-    steps.drop(prints)
+    steps.drop(nodes, held)
     keys = steps.put(slim.join(known, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(*KEY)).alias("k")).select(*[F.col(f"k.{c}") for c in KEY]))
     steps.drop(known)
     sets = steps.put(_sets(docs.join(keys, list(KEY), "left_semi").dropDuplicates(list(KEY)), size).select("sid", "s", "bits", F.size("s").alias("n")))
@@ -163,12 +214,11 @@ def _links(docs: DataFrame, prints: DataFrame, steps: Scratch, size: int, simila
         near = pairs
         if k < ROUNDS:
             x, y = (sets.select(F.col("sid").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
-            apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, p: t + p)
-            near = steps.put(pairs.join(x, "a").join(y, "b").where(apart <= share * (F.col("n_a") + F.col("n_b")) + EPS).select("a", "b"))
+            near = steps.put(pairs.join(x, "a").join(y, "b").where(_bits_apart("bits_a", "bits_b") <= share * (F.col("n_a") + F.col("n_b")) + EPS).select("a", "b"))
             steps.drop(pairs)
         some = steps.put(sets.join(near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "sid"), "sid", "left_semi").select("sid", "s"))
         steps.drop(known)
-        alike = steps.put(_alike(near, some, similarity))
+        alike = _alike(near, some, similarity, steps)
         steps.drop(near, some)
         if not alike.isEmpty():
             groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(alike))
