@@ -2,7 +2,7 @@
 
 import random
 
-from quarrylog.llm import shingle_dedup
+from quarrylog.llm import shingle_dedup, substring_dedup
 from quarrylog.operators import components
 from quarrylog.plans.scratch import Scratch
 
@@ -47,3 +47,20 @@ def test_sets_of_pairs_are_fetched_in_parts_and_only_for_pairs_that_can_be_alike
     del shuffled[:]
     assert set(map(tuple, shingle_dedup._alike(near, sets, 0.8, Scratch(spark)).collect())) == want
     assert sum(x[0] for x in shuffled[1:]) == 4 * sum(len(found[a][1]) for b in range(16) for a in range(b)) and shuffled[1][0] > shuffled[1][1]
+
+
+def test_seeds_of_a_text_are_made_once(spark, monkeypatch):
+    """For the sample, here every text, and for all texts: the rows of common seeds come from the same pass as the others."""
+    made, plain = spark.sparkContext.accumulator(0), substring_dedup.seeds
+
+    def counted(h):
+        made.add(1)
+        return plain(h)
+
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(substring_dedup, "seeds", counted)
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, passage + " " + " ".join(f"w{k}_{j}" for j in range(30))) for k in range(12)], "doc_id long, text string")
+    found = substring_dedup.repeated_passages(docs).collect()
+    assert {(r["doc_id"], r["ref_id"]) for r in found} == {(k, j) for k in range(1, 12) for j in {0, k - 1}} and {r["class_id"] for r in found} == {0}
+    assert made.value == 2 * 12
